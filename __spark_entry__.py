@@ -60,7 +60,7 @@ def _top(window: str):
 
 def _lookup_names(spark, d) -> DataFrame:
     """Requested names: each registered name upper-cased, plus Pkg0..Pkg13."""
-    ev = spark.read.parquet(f"{d.rstrip('/')}/events.parquet")
+    ev = T.table(spark, d, "events")
     asked_events = ev.select(F.concat(F.lit("Pkg"), (F.col("user_id") % 14).cast("string")).alias("package_name"))
     asked_names = T.packages(spark, d).select(F.upper("package_name").alias("package_name"))
     return asked_names.unionByName(asked_events).distinct()
@@ -142,13 +142,12 @@ def _stream_ingest(spark, d):
     pk, ct = T.packages(spark, d), T.client_types(spark)
 
     def to_feed(batch: DataFrame) -> DataFrame:
-        region = spark.read.parquet(f"{d.rstrip('/')}/region.parquet")
-        return T.raw_requests_from_events(batch, region, carry=SNAPSHOT_COLS)
+        return T.raw_requests_from_events(batch, T.table(spark, d, "region"), carry=SNAPSHOT_COLS)
 
     def transform(feed: DataFrame, carry) -> DataFrame:
         return ingest.ingest_requests_by_date(feed, pk, ct, carry=carry)
 
-    events = spark.read.parquet(f"{d.rstrip('/')}/events.parquet")
+    events = T.table(spark, d, "events")
     run_snapshot_ingest(
         spark,
         source=d.rstrip("/"),
@@ -214,14 +213,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             T.requests_total(s, d), T.packages(s, d), _lookup_names(s, d)
         ),
         "badge_markdown": lambda s, d: summary.badges(T.packages(s, d)),
-        "cleanse_name": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(
+        "cleanse_name": lambda s, d: T.table(s, d, "pages").select(
             "page_id", cleanse_name("url").alias("cleansed")
         ),
-        "cleanse_props": lambda s, d: s.read.parquet(f"{d}/events.parquet").select(
+        "cleanse_props": lambda s, d: T.table(s, d, "events").select(
             "event_id", cleanse_name("props").alias("cleansed")
         ),
         "chart_series": _chart_series,
-        "url_contains": lambda s, d: s.read.parquet(f"{d}/pages.parquet")
+        "url_contains": lambda s, d: T.table(s, d, "pages")
         .where(url_contains("url", "example.org/"))
         .select("page_id", "url"),
         # streaming

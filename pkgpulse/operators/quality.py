@@ -3,14 +3,18 @@
 ``violations(df, spec, dims)`` returns one row per check with the number of
 offending rows (or duplicate key groups), zero included:
 
-* ``not_null``   rows with a null in a column (every column is NOT NULL)
-* ``max_length`` rows whose text is longer than the column limit
-* ``unique``     key values that occur more than once (primary / unique keys)
+* ``not_null``    rows with a null in a column (every column is NOT NULL)
+* ``max_length``  rows whose text is longer than the column limit
+* ``unique``      key values that occur more than once (primary / unique keys)
 * ``foreign_key`` rows whose reference is missing from the dimension
 
-Row-level checks of a table share one aggregate pass; each key check is one
-partial+final aggregation; foreign keys are anti-joins against the (small,
-planner-broadcast) dimension keys. A load fails when any count is non-zero.
+One pass per table does the primary-key check and carries every row-level
+count along: rows are left-joined to each dimension's distinct keys (a small
+side, broadcast by the planner when its estimate allows), grouped by the
+primary key with partial aggregation (a hot duplicate key collapses
+map-side), and a final global aggregate counts duplicate groups and sums the
+row-level counts. Each further unique constraint is one more aggregation.
+A load fails when any count is non-zero.
 """
 
 from __future__ import annotations
@@ -25,54 +29,59 @@ from pkgpulse.schemas import TableSpec
 RESULT_COLUMNS = ("table_name", "check_name", "column_name", "violations")
 
 
-def _row(table: str, check: str, column: str, count) -> list:
-    return [F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), F.lit(column).alias("column_name"), count.cast("bigint").alias("violations")]
-
-
-def row_checks(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Null and length checks for every column in one pass."""
-    aggs, labels = [], []
-    for c in spec.columns:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"n{len(aggs)}"))
-        labels.append(("not_null", c))
-    for c, limit in spec.max_lengths.items():
-        aggs.append(F.count_if(F.length(c) > limit).alias(f"n{len(aggs)}"))
-        labels.append(("max_length", c))
-    counts = df.agg(*aggs)
-    stacked = F.explode(
+def _stack(table: str, counts: DataFrame, labels: list[tuple[str, str, str]]) -> DataFrame:
+    """One-row frame of counts -> one row per (check, column)."""
+    cells = F.explode(
         F.array(
             *[
-                F.struct(F.lit(check).alias("check_name"), F.lit(col).alias("column_name"), F.col(f"n{i}").alias("violations"))
-                for i, (check, col) in enumerate(labels)
+                F.struct(F.lit(check).alias("check_name"), F.lit(col).alias("column_name"), F.col(src).alias("violations"))
+                for check, col, src in labels
             ]
         )
     ).alias("v")
-    return counts.select(stacked).select(
-        F.lit(spec.name).alias("table_name"), "v.check_name", "v.column_name", F.col("v.violations").cast("bigint").alias("violations")
+    return counts.select(cells).select(
+        F.lit(table).alias("table_name"),
+        "v.check_name",
+        "v.column_name",
+        F.col("v.violations").cast("bigint").alias("violations"),
     )
 
 
-def unique_check(df: DataFrame, spec: TableSpec, keys: tuple[str, ...]) -> DataFrame:
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return dup.agg(F.count(F.lit(1)).alias("c")).select(*_row(spec.name, "unique", ",".join(keys), F.col("c")))
+def primary_pass(df: DataFrame, spec: TableSpec, dims: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Primary-key uniqueness plus all row-level checks, in one pass."""
+    checked = df
+    conds: list[tuple[str, str, F.Column]] = [("not_null", c, F.col(c).isNull()) for c in spec.columns]
+    conds += [("max_length", c, F.length(c) > limit) for c, limit in spec.max_lengths.items()]
+    for i, (column, (table, dim_col)) in enumerate(spec.references.items()):
+        if not dims or table not in dims:
+            continue
+        known = dims[table].select(F.col(dim_col).alias(column)).distinct().withColumn(f"_known{i}", F.lit(True))
+        checked = checked.join(known, column, "left")
+        conds.append(("foreign_key", column, F.col(f"_known{i}").isNull()))
+    per_key = checked.groupBy(*spec.keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(cond).alias(f"_c{i}") for i, (_, _, cond) in enumerate(conds)],
+    )
+    totals = per_key.agg(
+        F.count_if(F.col("_rows") > 1).alias("_dup"),
+        *[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias(f"_c{i}") for i in range(len(conds))],
+    )
+    labels = [(check, col, f"_c{i}") for i, (check, col, _) in enumerate(conds)]
+    labels.insert(len(spec.columns) + len(spec.max_lengths), ("unique", ",".join(spec.keys), "_dup"))
+    return _stack(spec.name, totals, labels)
 
 
-def reference_check(df: DataFrame, spec: TableSpec, column: str, dim: DataFrame, dim_col: str) -> DataFrame:
-    missing = df.select(column).join(dim.select(F.col(dim_col).alias(column)), column, "left_anti")
-    return missing.agg(F.count(F.lit(1)).alias("c")).select(*_row(spec.name, "foreign_key", column, F.col("c")))
+def unique_check(df: DataFrame, spec: TableSpec, keys: tuple[str, ...]) -> DataFrame:
+    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    counts = dup.agg(F.count(F.lit(1)).alias("c"))
+    return _stack(spec.name, counts, [("unique", ",".join(keys), "c")])
 
 
 def violations(df: DataFrame, spec: TableSpec, dims: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """All checks of ``spec`` on ``df``; ``dims`` maps table name -> frame."""
-    parts = [row_checks(df, spec)]
-    for keys in (spec.keys, *spec.unique):
-        parts.append(unique_check(df, spec, keys))
-    for column, (table, dim_col) in spec.references.items():
-        if dims and table in dims:
-            parts.append(reference_check(df, spec, column, dims[table], dim_col))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = primary_pass(df, spec, dims)
+    for keys in spec.unique:
+        out = out.unionByName(unique_check(df, spec, keys))
     return out
 
 

@@ -13,8 +13,14 @@ from pkgpulse.schemas import CLIENT_TYPES as CLIENT_TYPES_SPEC
 
 
 def client_types_frame(spark: SparkSession) -> DataFrame:
-    """The 3-row client-type dimension (constant, so safe to broadcast)."""
-    return spark.createDataFrame(list(CLIENT_TYPES), CLIENT_TYPES_SPEC.schema)
+    """The 3-row client-type dimension (constant, so safe to broadcast).
+
+    Built as an inline ``VALUES`` table: a local relation that the optimizer
+    folds and broadcasts without running a job."""
+    rows = ", ".join(f"('{name}', {cid})" for name, cid in CLIENT_TYPES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(client_type, client_type_id)").select(
+        *[F.col(f.name).cast(f.dataType) for f in CLIENT_TYPES_SPEC.schema.fields]
+    )
 
 
 def union_registries(extracts: Sequence[DataFrame]) -> DataFrame:

@@ -12,6 +12,8 @@ ingest operators (``operators.ingest``) run on these feeds.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,46 @@ from pkgpulse.sources.registry import client_types_frame
 N_UUIDS = 12
 N_REGISTERED = 11
 
+# Schemas of the provided test tables read here (declared, so
+# a read needs no schema-inference job).
+TEST_TABLE_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "region": "r_regionkey INT, r_name STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+
+# Fixture frames are lazy plans; building each once per session (and data
+# folder) saves re-reading footers and re-analysing identical subtrees. No
+# data is cached: every action still reads the tables.
+_MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _memo(fn):
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), fn.__name__, args, tuple(sorted(kwargs.items())))
+        hit = _MEMO.get(key)
+        if hit is None:
+            hit = (spark, fn(spark, sf_dir.rstrip("/"), *args, **kwargs))
+            _MEMO[key] = hit
+        return hit[1]
+
+    return wrapper
+
+
+@_memo
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A provided test table (declared schema when known)."""
+    reader = spark.read
+    if name in TEST_TABLE_SCHEMAS:
+        reader = reader.schema(TEST_TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_table = table
 
 
+@_memo
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-grain request log: one row per event, ``request_count`` 1."""
     return raw_requests_from_events(_table(spark, sf_dir, "events"), _table(spark, sf_dir, "region"))
@@ -70,6 +107,7 @@ def raw_requests_from_events(ev: DataFrame, region: DataFrame, carry: tuple[str,
     )
 
 
+@_memo
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The package dimension registered for the fixture log."""
     ev = _table(spark, sf_dir, "events")
@@ -96,6 +134,7 @@ def client_types(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     return client_types_frame(spark)
 
 
+@_memo
 def package_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows as the package-request feeds carry them (event grain)."""
     return raw_requests(spark, sf_dir).select(
@@ -103,6 +142,7 @@ def package_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def systems_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts per full platform string (the systems feed's grain)."""
     return (
@@ -112,6 +152,7 @@ def systems_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def versions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts per full version string (the versions feed's grain)."""
     return (
@@ -121,18 +162,21 @@ def versions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def requests_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_requests_by_date(
         package_feed(spark, sf_dir), packages(spark, sf_dir), client_types(spark)
     )
 
 
+@_memo
 def requests_by_region_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_requests_by_region_date(
         package_feed(spark, sf_dir), packages(spark, sf_dir), client_types(spark)
     )
 
 
+@_memo
 def requests_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-time totals. Here the snapshot is the fixture log itself, so it
     equals the sum of ``requests_by_date``; in production it is its own feed."""
@@ -141,12 +185,14 @@ def requests_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def systems_by_date(spark: SparkSession, sf_dir: str, combine: str = "sum") -> DataFrame:
     return ingest.ingest_systems_by_date(
         systems_feed(spark, sf_dir), client_types(spark), combine=combine, order_col="julia_system"
     )
 
 
+@_memo
 def versions_by_date(spark: SparkSession, sf_dir: str, combine: str = "sum") -> DataFrame:
     return ingest.ingest_versions_by_date(
         versions_feed(spark, sf_dir), client_types(spark), combine=combine, order_col="julia_version_prefix"
