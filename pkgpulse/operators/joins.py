@@ -1,0 +1,25 @@
+"""Join helpers: broadcast only what is proven small.
+
+Report builders leave the choice to the planner: a Parquet dimension's size
+estimate comes from its files, and ``spark.sql.autoBroadcastJoinThreshold``
+(plus AQE's runtime statistics) decides between a broadcast hash join and a
+shuffle join. Jobs that already run actions (the update job) may prove the
+bound explicitly with ``bounded_broadcast``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension row is ~100 bytes (id, 36-char uuid, name); 2M rows ~ 200 MB
+# of hash relation, well inside a default executor.
+DIMENSION_ROW_LIMIT = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
+    unchanged (the planner then picks a shuffle join). The check reads at
+    most ``max_rows + 1`` rows."""
+    rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df

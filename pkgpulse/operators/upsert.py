@@ -63,8 +63,14 @@ def upsert_partitions(
     """``upsert`` restricted to the partitions the batch touches.
 
     The result is exactly the new content of those partitions, ready for a
-    dynamic partition overwrite; untouched partitions are never read back
-    (the semi-join on the partition column becomes a partition filter)."""
+    dynamic partition overwrite. The target is first limited to the batch's
+    ``[min, max]`` partition range with scalar subqueries, which on a
+    partitioned table become partition filters (untouched dates are never
+    listed or read); the semi-join then keeps exactly the touched values.
+    ``incoming`` is read several times, so pass a materialized (staged) batch."""
+    col = F.col(partition_col)
+    lo = incoming.select(F.min(partition_col)).scalar()
+    hi = incoming.select(F.max(partition_col)).scalar()
     touched = incoming.select(partition_col).distinct()
-    in_touched = target.join(touched, partition_col, "left_semi")
+    in_touched = target.where(col.between(lo, hi)).join(touched, partition_col, "left_semi")
     return upsert(in_touched, incoming, keys)

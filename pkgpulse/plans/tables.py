@@ -28,11 +28,22 @@ class QualityError(RuntimeError):
         self.rows = rows
 
 
+def _layout(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """Output layout of a partitioned write: rebalance on the partition
+    columns, so each date's rows go to few tasks (few files per date) while
+    AQE splits a date that is too big for one task and merges small ones."""
+    if spec.partition_by:
+        return df.hint("rebalance", *spec.partition_by)
+    return df
+
+
 def stage(df: DataFrame, spec: TableSpec, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` to a fresh staging folder and read it back."""
+    """Write ``df`` to a fresh staging folder under the shared folder and read
+    it back: the lineage is cut (a lost executor never recomputes the inputs)
+    and the staged copy can be read several times at the cost of a scan."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/staging/{spec.name}/{uuid.uuid4().hex}"
-    writer = df.select(*spec.columns).write.mode("overwrite")
+    writer = _layout(df.select(*spec.columns), spec).write.mode("overwrite")
     if spec.partition_by:
         writer = writer.partitionBy(*spec.partition_by)
     writer.parquet(path)
@@ -48,7 +59,7 @@ def check(staged: DataFrame, spec: TableSpec, dims: Mapping[str, DataFrame] | No
 
 def commit(staged: DataFrame, spec: TableSpec, root: str) -> None:
     """Overwrite the table (only the staged partitions when partitioned)."""
-    writer = staged.write.mode("overwrite")
+    writer = _layout(staged, spec).write.mode("overwrite")
     if spec.partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*spec.partition_by)
     writer.parquet(table_path(root, spec))
@@ -62,12 +73,16 @@ def merge_into_table(
     dims: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Upsert ``incoming`` into the table at ``root`` (replace by key, keep
-    other keys), all-or-nothing. Returns the committed staged rows."""
+    other keys), all-or-nothing. Returns the committed staged rows.
+
+    The batch is staged first (it is read several times below and may be an
+    expensive ingest plan), then merged with the touched partitions only."""
+    batch = stage(incoming, spec, spark)
     target = read_table(spark, spec, root)
     if spec.partition_by:
-        merged = upsert_partitions(target, incoming, spec.keys, spec.partition_by[0])
+        merged = upsert_partitions(target, batch, spec.keys, spec.partition_by[0])
     else:
-        merged = upsert(target, incoming, spec.keys)
+        merged = upsert(target, batch, spec.keys)
     staged = stage(merged, spec, spark)
     check(staged, spec, dims)
     commit(staged, spec, root)
@@ -84,7 +99,7 @@ def replace_table(
     """Replace the whole table (dimensions, the monthly summary)."""
     staged = stage(content, spec, spark)
     check(staged, spec, dims)
-    writer = staged.write.mode("overwrite")
+    writer = _layout(staged, spec).write.mode("overwrite")
     if spec.partition_by:
         writer = writer.option("partitionOverwriteMode", "static").partitionBy(*spec.partition_by)
     writer.parquet(table_path(root, spec))

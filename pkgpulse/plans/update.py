@@ -20,6 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from pkgpulse.operators import ingest
+from pkgpulse.operators.joins import bounded_broadcast
 from pkgpulse.operators.upsert import insert_absent
 from pkgpulse.plans.dimensions import refresh_packages
 from pkgpulse.plans.summary import last_month_summary
@@ -38,7 +39,7 @@ from pkgpulse.schemas import (
 from pkgpulse.sources.registry import client_types_frame, read_registries, union_registries
 from pkgpulse.sources.snapshots import create_if_missing, read_feed, read_table
 
-# feed name -> (target table, ingest function needing packages?)
+# feed name -> (target table, ingest function)
 _PACKAGE_FEEDS = {
     "package_requests": (REQUESTS_TOTAL, ingest.ingest_requests_total),
     "package_requests_by_date": (REQUESTS_BY_DATE, ingest.ingest_requests_by_date),
@@ -79,6 +80,7 @@ def run_update(
         packages = replace_table(spark, refresh_packages(packages, extract, refresh_names), PACKAGES, root)
         written[PACKAGES.name] = packages
     dims = {PACKAGES.name: packages, CLIENT_TYPES.name: client_types}
+    packages = bounded_broadcast(packages)  # grows with the registry, not the log
 
     def load(feed: str) -> DataFrame:
         src = feeds[feed]

@@ -22,7 +22,12 @@ def read_feed(
     path: str | list[str],
     partitions: int | None = None,
 ) -> DataFrame:
-    """Read one raw feed: typed used columns first, other columns as text."""
+    """Read one raw feed: typed used columns first, other columns as text.
+
+    ``partitions`` redistributes rows right after the read. It only pays off
+    for a few large unsplittable (gzip) files feeding heavy per-row work;
+    the ingest's partial aggregation shuffles anyway, so the default is none.
+    At scale prefer many files or a splittable codec."""
     types = RAW_FEEDS[feed]
     raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     missing = [c for c in types if c not in raw.columns]
