@@ -275,7 +275,7 @@ SELECT lower(p.package_name) AS package_key,
 FROM {table} s JOIN packages p ON s.package_id = p.package_id
 WHERE s.client_type_id = 1
 GROUP BY 1"""
-    missing = "to_json({'package_name': a.package_name, 'total_requests': 0})"
+    missing = "CAST(to_json({'package_name': a.package_name, 'total_requests': 0}) AS VARCHAR)"
     hit = "s.package_key IS NOT NULL"
     return _q(
         f"summary_t AS ({_SUMMARY})",
@@ -284,9 +284,10 @@ GROUP BY 1"""
         body=f"""
 SELECT a.package_name, {hit} AS found,
        CAST(coalesce(s.total_requests, 0) AS BIGINT) AS total_requests,
-       CASE WHEN {hit} THEN to_json({{'total_requests': format('{{:,}}', s.total_requests)}})
+       CASE WHEN {hit} THEN CAST(to_json({{'total_requests': format('{{:,}}', s.total_requests)}}) AS VARCHAR)
             ELSE {missing} END AS json_v1,
-       CASE WHEN {hit} THEN to_json({{'total_requests': s.total_requests}}) ELSE {missing} END AS json_v2
+       CASE WHEN {hit} THEN CAST(to_json({{'total_requests': s.total_requests}}) AS VARCHAR)
+            ELSE {missing} END AS json_v2
 FROM asked a LEFT JOIN per_key s ON lower(a.package_name) = s.package_key""",
     )
 
@@ -377,7 +378,7 @@ _NEW = _SNAPSHOT.format(
 
 _SERIES = f"""
 SELECT region, count(*) AS n_points,
-       to_json(list({{'date': date, 'total_requests': total_requests}} ORDER BY date)) AS points_json
+       CAST(to_json(list({{'date': date, 'total_requests': total_requests}} ORDER BY date)) AS VARCHAR) AS points_json
 FROM ({_requests_by_sql('requests_by_region_date', ['region', 'date'])}) t
 GROUP BY region"""
 

@@ -53,3 +53,13 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+_DUCK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "date": "DATE", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - {"stream_ingest"}))
+def test_column_types_match_oracle(spark, duck, name):
+    spark_types = {c: _DUCK_TYPES.get(t, t) for c, t in E.queries()[name](spark, SF001).dtypes}
+    rel = duck.sql(E.oracle_sql()[name])
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
