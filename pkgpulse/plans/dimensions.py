@@ -19,14 +19,24 @@ from pkgpulse.operators.upsert import insert_absent, keep_first
 from pkgpulse.sources.registry import union_registries
 
 
+def first_names(extracts: Sequence[DataFrame] | DataFrame) -> DataFrame:
+    """One (uuid, name) per uuid: the first registry's entry."""
+    registry = extracts if isinstance(extracts, DataFrame) else union_registries(extracts)
+    return keep_first(registry, ["package_uuid"], ["registry_rank"], ["package_name"])
+
+
+def new_packages(existing: DataFrame, extracts: Sequence[DataFrame] | DataFrame) -> DataFrame:
+    """Registry uuids the table does not have yet."""
+    return first_names(extracts).join(existing.select("package_uuid"), "package_uuid", "left_anti")
+
+
 def refresh_packages(
     existing: DataFrame,
     extracts: Sequence[DataFrame] | DataFrame,
     refresh_names: bool = False,
 ) -> DataFrame:
     """New content of the package table (``package_id, package_uuid, package_name``)."""
-    registry = extracts if isinstance(extracts, DataFrame) else union_registries(extracts)
-    first = keep_first(registry, ["package_uuid"], ["registry_rank"], ["package_name"])
+    first = first_names(extracts)
     new = assign_surrogate_keys(existing, first, "package_uuid", "package_id")
     out = insert_absent(existing, new.select("package_id", "package_uuid", "package_name"), ["package_uuid"])
     if refresh_names:

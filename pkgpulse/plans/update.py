@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pkgpulse.operators import ingest
 from pkgpulse.operators.joins import bounded_broadcast
 from pkgpulse.operators.upsert import insert_absent
-from pkgpulse.plans.dimensions import refresh_packages
+from pkgpulse.plans.dimensions import new_packages, refresh_packages
 from pkgpulse.plans.summary import last_month_summary
 from pkgpulse.plans.tables import merge_into_table, replace_table
 from pkgpulse.schemas import (
@@ -37,7 +37,7 @@ from pkgpulse.schemas import (
     VERSIONS_BY_DATE,
 )
 from pkgpulse.sources.registry import client_types_frame, read_registries, union_registries
-from pkgpulse.sources.snapshots import create_if_missing, read_feed, read_table
+from pkgpulse.sources.snapshots import create_if_missing, has_rows, read_feed, read_table
 
 # feed name -> (target table, ingest function)
 _PACKAGE_FEEDS = {
@@ -66,19 +66,25 @@ def run_update(
         create_if_missing(spark, spec, root)
     written: dict[str, DataFrame] = {}
 
-    ct = insert_absent(read_table(spark, CLIENT_TYPES, root), client_types_frame(spark), ["client_type"])
-    client_types = replace_table(spark, ct, CLIENT_TYPES, root)
-    written[CLIENT_TYPES.name] = client_types
+    # Dimensions are rewritten only when something changed (bounded checks).
+    client_types = read_table(spark, CLIENT_TYPES, root)
+    constants = client_types_frame(spark)
+    if has_rows(constants.join(client_types.select("client_type"), "client_type", "left_anti")):
+        ct = insert_absent(client_types, constants, ["client_type"])
+        client_types = replace_table(spark, ct, CLIENT_TYPES, root)
+        written[CLIENT_TYPES.name] = client_types
 
     packages = read_table(spark, PACKAGES, root)
     if registries:
         frames = [r for r in registries if isinstance(r, DataFrame)]
         paths = [r for r in registries if isinstance(r, str)]
-        extract = union_registries(frames) if frames else read_registries(spark, paths)
         if frames and paths:
             raise ValueError("pass registries either all as paths or all as frames")
-        packages = replace_table(spark, refresh_packages(packages, extract, refresh_names), PACKAGES, root)
-        written[PACKAGES.name] = packages
+        extract = union_registries(frames) if frames else read_registries(spark, paths)
+        if refresh_names or has_rows(new_packages(packages, extract)):
+            refreshed = refresh_packages(packages, extract, refresh_names)
+            packages = replace_table(spark, refreshed, PACKAGES, root)
+            written[PACKAGES.name] = packages
     dims = {PACKAGES.name: packages, CLIENT_TYPES.name: client_types}
     packages = bounded_broadcast(packages)  # grows with the registry, not the log
 

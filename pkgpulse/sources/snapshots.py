@@ -51,12 +51,16 @@ def read_table(spark: SparkSession, spec: TableSpec | str, root: str) -> DataFra
     return df.select(*spec.columns)
 
 
-def create_if_missing(spark: SparkSession, spec: TableSpec, root: str) -> None:
-    """``CREATE TABLE IF NOT EXISTS``: write an empty table with the schema."""
+def create_if_missing(spark: SparkSession, spec: TableSpec, root: str) -> bool:
+    """``CREATE TABLE IF NOT EXISTS``: write an empty table with the schema.
+    Returns True when the table had to be created."""
     path = table_path(root, spec)
-    if not _exists(spark, path):
-        empty = spark.createDataFrame([], spec.schema)
-        empty.write.mode("overwrite").parquet(path)
+    try:
+        spark.read.schema(spec.schema).parquet(path)  # path listing only, no job
+        return False
+    except AnalysisException:
+        spark.createDataFrame([], spec.schema).write.mode("overwrite").parquet(path)
+        return True
 
 
 def table_path(root: str, spec: TableSpec | str) -> str:
@@ -64,9 +68,6 @@ def table_path(root: str, spec: TableSpec | str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+def has_rows(df: DataFrame) -> bool:
+    """True when ``df`` has at least one row (reads at most one row)."""
+    return df.limit(1).count() > 0
