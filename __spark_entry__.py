@@ -84,19 +84,30 @@ def _insert_absent(spark, d):
     return dimensions.refresh_packages(T.packages(spark, d), _registry_extracts(spark, d))
 
 
-def _upsert_replace(spark, d):
-    """An earlier load counted failed requests as well; the new snapshot is
-    the correct trailing two weeks. Replaced keys take the new counts,
-    older keys stay as loaded."""
+def _snapshots(spark, d):
+    """An earlier load counted failed requests as well (old table); the new
+    snapshot is the correct trailing two weeks."""
     feed = T.package_feed(spark, d)
     pk, ct = T.packages(spark, d), T.client_types(spark)
     old = ingest.ingest_requests_by_date(feed.withColumn("status", F.lit(200)), pk, ct)
     asof = feed.select(F.max("date")).scalar()
     recent = feed.where(F.col("date") > F.date_sub(asof, 14))
-    new = ingest.ingest_requests_by_date(recent, pk, ct)
+    return old, ingest.ingest_requests_by_date(recent, pk, ct)
+
+
+def _upsert_replace(spark, d):
+    """Replaced keys take the new counts, older keys stay as loaded."""
+    old, new = _snapshots(spark, d)
     return upsert.upsert(old, new, TABLES["requests_by_date"].keys)
 
 
+def _upsert_touched(spark, d):
+    """The new content of the dates the snapshot touches (what a dynamic
+    partition overwrite writes)."""
+    old, new = _snapshots(spark, d)
+    return upsert.upsert_partitions(old, new, TABLES["requests_by_date"].keys, "date")
+
+
 def _quality(spark, d):
     dims = {"packages": T.packages(spark, d), "client_types": T.client_types(spark)}
     frames = {
@@ -175,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keep_last": lambda s, d: T.systems_by_date(s, d, combine="last"),
         "insert_absent": _insert_absent,
         "upsert_replace": _upsert_replace,
+        "upsert_touched_partitions": _upsert_touched,
         "quality_violations": _quality,
         # top / trending
         "top_month": _top("1 month"),

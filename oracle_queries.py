@@ -361,6 +361,14 @@ WHERE NOT EXISTS (SELECT 1 FROM new_t n WHERE n.package_id = o.package_id
 UNION ALL
 SELECT * FROM new_t"""
 
+_UPSERT_TOUCHED = """
+SELECT * FROM old_t o
+WHERE o.date IN (SELECT date FROM new_t)
+  AND NOT EXISTS (SELECT 1 FROM new_t n WHERE n.package_id = o.package_id
+                  AND n.client_type_id = o.client_type_id AND n.date = o.date)
+UNION ALL
+SELECT * FROM new_t"""
+
 _SNAPSHOT = """
 SELECT p.package_id, c.client_type_id, r.date, r.request_count
 FROM (SELECT package_uuid, coalesce(client_type, 'missing') AS client_type, date,
@@ -417,6 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "keep_last": _q(f"feed AS ({_SYSTEMS_FEED})", body=_KEEP_LAST),
         "insert_absent": _q(body=_INSERT_ABSENT),
         "upsert_replace": _q(f"old_t AS ({_OLD})", f"new_t AS ({_NEW})", body=_UPSERT),
+        "upsert_touched_partitions": _q(f"old_t AS ({_OLD})", f"new_t AS ({_NEW})", body=_UPSERT_TOUCHED),
         "quality_violations": _quality(),
         "top_month": _top("1 month"),
         "top_week": _top("7 day"),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pkgpulse.functions.systems import system_prefix, version_prefix
 from pkgpulse.operators.upsert import keep_last
+from pkgpulse.schemas import SYSTEM_FEED_COLUMN, VERSION_FEED_COLUMN
 
 SUCCESS_BELOW = 400
 
@@ -101,7 +102,7 @@ def ingest_systems_by_date(
     raw: DataFrame, client_types: DataFrame, combine: str = "sum", order_col: str | None = None
 ) -> DataFrame:
     return _truncated_feed(
-        raw, client_types, "system", system_prefix("julia_system"), combine, order_col
+        raw, client_types, "system", system_prefix(SYSTEM_FEED_COLUMN), combine, order_col
     )
 
 
@@ -109,5 +110,5 @@ def ingest_versions_by_date(
     raw: DataFrame, client_types: DataFrame, combine: str = "sum", order_col: str | None = None
 ) -> DataFrame:
     return _truncated_feed(
-        raw, client_types, "version", version_prefix("julia_version_prefix"), combine, order_col
+        raw, client_types, "version", version_prefix(VERSION_FEED_COLUMN), combine, order_col
     )

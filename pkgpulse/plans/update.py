@@ -32,8 +32,10 @@ from pkgpulse.schemas import (
     REQUESTS_BY_REGION_DATE,
     REQUESTS_LAST_MONTH,
     REQUESTS_TOTAL,
+    SYSTEM_FEED_COLUMN,
     SYSTEMS_BY_DATE,
     TABLES,
+    VERSION_FEED_COLUMN,
     VERSIONS_BY_DATE,
 )
 from pkgpulse.sources.registry import client_types_frame, read_registries, union_registries
@@ -98,7 +100,7 @@ def run_update(
             written[spec.name] = merge_into_table(spark, rows, spec, root, dims)
     for feed, (spec, fn) in _PLATFORM_FEEDS.items():
         if feed in feeds:
-            order = "julia_system" if feed == "systems_by_date" else "julia_version_prefix"
+            order = SYSTEM_FEED_COLUMN if feed == "systems_by_date" else VERSION_FEED_COLUMN
             rows = fn(load(feed), client_types, combine=combine, order_col=order)
             written[spec.name] = merge_into_table(spark, rows, spec, root, dims)
 

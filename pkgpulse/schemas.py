@@ -137,7 +137,10 @@ TABLES: dict[str, TableSpec] = {
 # Raw snapshot feeds (CSV with header). Only the columns the jobs use are
 # typed; any further columns of a feed are kept as strings so a row with a
 # null in any column can still be dropped where the job requires it.
-# The column names of the published feeds.
+# The column names of the published feeds; the platform and
+# version feeds name their full-string columns as below.
+SYSTEM_FEED_COLUMN = "julia_system"
+VERSION_FEED_COLUMN = "julia_version_prefix"
 RAW_FEEDS: dict[str, dict[str, str]] = {
     "package_requests": {
         "package_uuid": "string",
@@ -162,13 +165,13 @@ RAW_FEEDS: dict[str, dict[str, str]] = {
         "request_count": "int",
     },
     "systems_by_date": {
-        "julia_system": "string",
+        SYSTEM_FEED_COLUMN: "string",
         "client_type": "string",
         "date": "date",
         "request_count": "int",
     },
     "versions_by_date": {
-        "julia_version_prefix": "string",
+        VERSION_FEED_COLUMN: "string",
         "client_type": "string",
         "date": "date",
         "request_count": "int",

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgpulse.operators import ingest
+from pkgpulse.schemas import SYSTEM_FEED_COLUMN, VERSION_FEED_COLUMN
 from pkgpulse.sources.registry import client_types_frame
 
 N_UUIDS = 12
@@ -147,7 +148,7 @@ def systems_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts per full platform string (the systems feed's grain)."""
     return (
         raw_requests(spark, sf_dir)
-        .groupBy(F.col("system_full").alias("julia_system"), "client_type", "date")
+        .groupBy(F.col("system_full").alias(SYSTEM_FEED_COLUMN), "client_type", "date")
         .agg(F.count(F.lit(1)).cast("int").alias("request_count"))
     )
 
@@ -157,7 +158,7 @@ def versions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts per full version string (the versions feed's grain)."""
     return (
         raw_requests(spark, sf_dir)
-        .groupBy(F.col("version_full").alias("julia_version_prefix"), "client_type", "date")
+        .groupBy(F.col("version_full").alias(VERSION_FEED_COLUMN), "client_type", "date")
         .agg(F.count(F.lit(1)).cast("int").alias("request_count"))
     )
 
@@ -188,12 +189,12 @@ def requests_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_memo
 def systems_by_date(spark: SparkSession, sf_dir: str, combine: str = "sum") -> DataFrame:
     return ingest.ingest_systems_by_date(
-        systems_feed(spark, sf_dir), client_types(spark), combine=combine, order_col="julia_system"
+        systems_feed(spark, sf_dir), client_types(spark), combine=combine, order_col=SYSTEM_FEED_COLUMN
     )
 
 
 @_memo
 def versions_by_date(spark: SparkSession, sf_dir: str, combine: str = "sum") -> DataFrame:
     return ingest.ingest_versions_by_date(
-        versions_feed(spark, sf_dir), client_types(spark), combine=combine, order_col="julia_version_prefix"
+        versions_feed(spark, sf_dir), client_types(spark), combine=combine, order_col=VERSION_FEED_COLUMN
     )
