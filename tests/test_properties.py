@@ -46,7 +46,7 @@ def test_upsert_matches_dict_update(spark, old, new):
 
 
 @SETTINGS
-@given(data=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1000), st.integers()), min_size=1, max_size=50, unique_by=lambda r: r[1]))
+@given(data=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1000), st.integers(-(2**63), 2**63 - 1)), min_size=1, max_size=50, unique_by=lambda r: r[1]))
 def test_keep_last_is_max_by_order(spark, data):
     df = spark.createDataFrame(data, "k int, o int, v bigint")
     best = {}
