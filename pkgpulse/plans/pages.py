@@ -11,8 +11,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pkgpulse.functions.client_types import DEFAULT_CLIENT_TYPES
+from pkgpulse.functions.text import cleanse_name
 from pkgpulse.plans import reports, summary
 from pkgpulse.sources.snapshots import read_table
 
@@ -56,8 +58,13 @@ def package_page(
     package_name: str,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
+    cleanse: bool = True,
 ) -> dict[str, DataFrame]:
+    """The package page; the requested name is cleansed first (trimmed,
+    quotes / backslash / ``;`` / ``--`` / ``/`` / ``%`` removed)."""
     ct = tuple(client_types)
+    if cleanse:
+        package_name = cleanse_name(F.lit(package_name))
     region = reports.package_requests_by(
         t.requests_by_region_date, t.packages, ["region", "date"], package_name, timeframe, ct
     )

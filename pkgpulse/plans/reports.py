@@ -73,6 +73,13 @@ def package_key(name: Column | str = "package_name") -> Column:
     return F.lower(F.col(name) if isinstance(name, str) else name)
 
 
+def name_match(package_name: str | Column) -> Column:
+    """Predicate on ``package_key`` for a requested name (text or a Column,
+    e.g. a cleansed input), compared ignoring case."""
+    asked = F.lit(package_name) if isinstance(package_name, str) else package_name
+    return F.col("package_key") == F.lower(asked)
+
+
 def _named(rows: DataFrame, packages: DataFrame) -> DataFrame:
     names = packages.select("package_id", "package_name", package_key().alias("package_key"))
     return rows.join(names, "package_id")
@@ -100,7 +107,7 @@ def package_requests_by(
     fact: DataFrame,
     packages: DataFrame,
     group_cols: Sequence[str],
-    package_name: str | None = None,
+    package_name: str | Column | None = None,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
     order: str | None = "report",
@@ -111,7 +118,7 @@ def package_requests_by(
     rows = _named(_window_rows(fact, timeframe, client_types), packages)
     keys = list(group_cols)
     if package_name is not None:
-        rows = rows.where(F.col("package_key") == F.lower(F.lit(package_name)))
+        rows = rows.where(name_match(package_name))
     else:
         keys = ["package_key", *keys]
     out = rows.groupBy(*keys).agg(F.sum("request_count").alias("total_requests"))
@@ -121,7 +128,7 @@ def package_requests_by(
 def package_daily(
     fact: DataFrame,
     packages: DataFrame,
-    package_name: str | None = None,
+    package_name: str | Column | None = None,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
 ) -> DataFrame:
@@ -149,7 +156,7 @@ def package_share_by(
     fact: DataFrame,
     packages: DataFrame,
     series_col: str,
-    package_name: str | None = None,
+    package_name: str | Column | None = None,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
 ) -> DataFrame:
@@ -192,7 +199,7 @@ def request_kpis(
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
     packages: DataFrame | None = None,
-    package_name: str | None = None,
+    package_name: str | Column | None = None,
     by_package: bool = False,
     week: str = "7d",
     day: str = "1d",
@@ -220,7 +227,7 @@ def request_kpis(
     else:
         rows = _named(rows, packages)
         if package_name is not None:
-            out = rows.where(F.col("package_key") == F.lower(F.lit(package_name))).agg(*sums)
+            out = rows.where(name_match(package_name)).agg(*sums)
         elif by_package:
             per = rows.groupBy("package_key").agg(*sums)
             keys = packages.select(package_key().alias("package_key")).distinct()

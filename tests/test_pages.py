@@ -70,3 +70,11 @@ def test_region_name_over_limit_fails_the_load(spark, tmp_path_factory):
         run_update(spark, root, {"package_requests_by_region_by_date": feed}, [registry])
     assert {r["column_name"] for r in err.value.rows} == {"region"}
     assert read_table(spark, "requests_by_region_date", root).count() == 0
+
+
+def test_package_page_cleanses_the_name(tables):
+    plain = pages.package_page(tables, "alpha")["total_downloads"].collect()
+    dirty = pages.package_page(tables, "  al'pha%; ")["total_downloads"].collect()
+    assert plain == dirty and len(plain) > 0
+    raw = pages.package_page(tables, "  al'pha%; ", cleanse=False)["total_downloads"].count()
+    assert raw == 0
