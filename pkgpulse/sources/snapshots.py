@@ -59,7 +59,10 @@ def create_if_missing(spark: SparkSession, spec: TableSpec, root: str) -> bool:
         spark.read.schema(spec.schema).parquet(path)  # path listing only, no job
         return False
     except AnalysisException:
-        spark.createDataFrame([], spec.schema).write.mode("overwrite").parquet(path)
+        writer = spark.createDataFrame([], spec.schema).write.mode("overwrite")
+        if spec.partition_by:
+            writer = writer.partitionBy(*spec.partition_by)
+        writer.parquet(path)
         return True
 
 
