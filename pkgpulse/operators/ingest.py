@@ -28,11 +28,23 @@ from pkgpulse.operators.upsert import keep_last
 from pkgpulse.schemas import SYSTEM_FEED_COLUMN, VERSION_FEED_COLUMN
 
 SUCCESS_BELOW = 400
+NULL_FEED_VALUE = "package feed row with a null status or request_count"
 
 
-def _package_counts(raw: DataFrame, grain: list[str], measures: dict[str, str]) -> DataFrame:
+def success_filter(strict: bool = True):
+    """``status < 400``. Strict (the default): a row with a null status or
+    count fails the job instead of being skipped, checked inside the same
+    filter (no extra pass over the feed; the staged load stays untouched)."""
+    keep = F.col("status") < SUCCESS_BELOW
+    if not strict:
+        return keep
+    valid = F.col("status").isNotNull() & F.col("request_count").isNotNull()
+    return F.when(valid, keep).otherwise(F.raise_error(F.lit(NULL_FEED_VALUE)))
+
+
+def _package_counts(raw: DataFrame, grain: list[str], measures: dict[str, str], strict: bool = True) -> DataFrame:
     """``grain`` may include carried columns (e.g. a snapshot id)."""
-    filled = raw.where(F.col("status") < SUCCESS_BELOW).withColumn(
+    filled = raw.where(success_filter(strict)).withColumn(
         "client_type", F.coalesce(F.col("client_type"), F.lit("missing"))
     )
     sums = [F.sum(src).alias(dst) for dst, src in measures.items()]
@@ -49,28 +61,40 @@ def _map_keys(agg: DataFrame, packages: DataFrame, client_types: DataFrame) -> D
 
 
 def ingest_requests_total(
-    raw: DataFrame, packages: DataFrame, client_types: DataFrame, carry: Sequence[str] = ()
+    raw: DataFrame,
+    packages: DataFrame,
+    client_types: DataFrame,
+    carry: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
     measures = {"request_addrs": "request_addrs", "request_count": "request_count"}
-    agg = _package_counts(raw, [*carry], measures)
+    agg = _package_counts(raw, [*carry], measures, strict)
     out = _map_keys(agg, packages, client_types)
     count = F.col("request_count").cast("int").alias("request_count")
     return out.select("package_id", "client_type_id", count, *carry)
 
 
 def ingest_requests_by_date(
-    raw: DataFrame, packages: DataFrame, client_types: DataFrame, carry: Sequence[str] = ()
+    raw: DataFrame,
+    packages: DataFrame,
+    client_types: DataFrame,
+    carry: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
-    agg = _package_counts(raw, ["date", *carry], {"request_count": "request_count"})
+    agg = _package_counts(raw, ["date", *carry], {"request_count": "request_count"}, strict)
     out = _map_keys(agg, packages, client_types)
     count = F.col("request_count").cast("int").alias("request_count")
     return out.select("package_id", "client_type_id", "date", count, *carry)
 
 
 def ingest_requests_by_region_date(
-    raw: DataFrame, packages: DataFrame, client_types: DataFrame, carry: Sequence[str] = ()
+    raw: DataFrame,
+    packages: DataFrame,
+    client_types: DataFrame,
+    carry: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
-    agg = _package_counts(raw, ["region", "date", *carry], {"request_count": "request_count"})
+    agg = _package_counts(raw, ["region", "date", *carry], {"request_count": "request_count"}, strict)
     out = _map_keys(agg, packages, client_types)
     count = F.col("request_count").cast("int").alias("request_count")
     return out.select("package_id", "client_type_id", "region", "date", count, *carry)

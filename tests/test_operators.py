@@ -126,3 +126,17 @@ def test_quality_checks(spark):
     assert report[("not_null", "date")] == 1
     assert report[("not_null", "request_count")] == 0
     assert quality.failed(quality.violations(df.where("package_id = 1 AND date IS NOT NULL").limit(1), REQUESTS_BY_REGION_DATE, dims)).count() == 0
+
+
+def test_null_status_fails_the_feed_unless_lenient(spark):
+    import pytest
+
+    raw = spark.createDataFrame(
+        [("u1", "user", 200, "EU", D(2024, 1, 1), 1, 5), ("u1", "user", None, "EU", D(2024, 1, 1), 1, 7)], FEED
+    )
+    strict = ingest.ingest_requests_by_date(raw, _packages(spark), client_types_frame(spark))
+    with pytest.raises(Exception) as err:
+        strict.collect()
+    assert ingest.NULL_FEED_VALUE in str(err.value)
+    lenient = ingest.ingest_requests_by_date(raw, _packages(spark), client_types_frame(spark), strict=False)
+    assert rows(lenient) == [(1, 1, D(2024, 1, 1), 5)]
