@@ -267,9 +267,14 @@ def trending_packages(
     daily_minimum: int = TRENDING_DAILY_MINIMUM,
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
     min_rows: int = TRENDING_MIN_ROWS,
+    last_period: tuple[int, int] = LAST_PERIOD,
+    previous_period: tuple[int, int] = PREVIOUS_PERIOD,
 ) -> DataFrame:
     """Packages growing most from the previous two weeks to the last two.
 
+    Periods are ``(first, last)`` days before the as-of date, both ends
+    included; the defaults share the day asof-14.
+
     Rows count only when ``request_count > daily_minimum``; names matching
     ``%_jll`` are left out; each period needs more than ``min_rows`` rows
     (rows, not distinct dates); only growth is listed. Both periods come
@@ -278,8 +283,8 @@ def trending_packages(
     ``percent_change = round(100 * (last - prev) / prev, 2)`` is computed in
     exact integer arithmetic (half-up on basis points; last > prev > 0)."""
     asof = asof_date(fact)
-    in_last = days_between("date", asof, *LAST_PERIOD)
-    in_prev = days_between("date", asof, *PREVIOUS_PERIOD)
+    in_last = days_between("date", asof, *last_period)
+    in_prev = days_between("date", asof, *previous_period)
     rows = fact.where(
         (in_last | in_prev)
         & client_type_predicate(client_types)

@@ -158,3 +158,13 @@ def test_summary_month_window(spark):
     data = [(1, 1, D(2024, 2, 29), 100), (1, 1, D(2024, 3, 1), 1), (1, 1, ASOF, 2)]
     out = summary.last_month_summary(spark.createDataFrame(data, BY_DATE)).collect()
     assert [(r.package_id, r.total_requests) for r in out] == [(1, 3)]  # 02-29 is the open lower bound
+
+
+def test_trending_periods_are_parameters(spark):
+    # disjoint 7-day periods: last = asof-6..asof, previous = asof-13..asof-7
+    data = [(1, 1, d, 20) for d in daily(D(2024, 3, 25), 7)] + [(1, 1, d, 10) for d in daily(D(2024, 3, 18), 7)]
+    fact = spark.createDataFrame(data, BY_DATE)
+    out = reports.trending_packages(
+        fact, _pk(spark, ["A"]), min_rows=6, last_period=(6, 0), previous_period=(13, 7)
+    ).collect()
+    assert [(r.package_name, r.percent_change) for r in out] == [("A", 100.0)]
