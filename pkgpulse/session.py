@@ -55,18 +55,25 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder; a cluster session without it is an error, because a
     machine-local folder is not visible to other executors.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    current = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no context
+        sc = None
+    if sc is None:
+        if configured:
+            return configured.rstrip("/")
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
+    configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if configured:
         if not current:
-            spark.sparkContext.setCheckpointDir(configured)
+            sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current:
         return os.path.dirname(current.rstrip("/"))
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="pkgpulse-")
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local

@@ -34,14 +34,15 @@ TEST_TABLE_SCHEMAS = {
 
 # Fixture frames are lazy plans; building each once per session (and data
 # folder) saves re-reading footers and re-analysing identical subtrees. No
-# data is cached: every action still reads the tables.
+# data is cached: every action still reads the tables. The session is kept
+# in the entry, so its id cannot be reused while the entry exists.
 _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 
 
 def _memo(fn):
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), fn.__name__, args, tuple(sorted(kwargs.items())))
+        key = (id(spark), sf_dir.rstrip("/"), fn.__name__, args, tuple(sorted(kwargs.items())))
         hit = _MEMO.get(key)
         if hit is None:
             hit = (spark, fn(spark, sf_dir.rstrip("/"), *args, **kwargs))
