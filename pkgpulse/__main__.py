@@ -1,4 +1,5 @@
-"""Command line: ``spark-submit -m pkgpulse update --root ... --feed name=path``.
+"""Command line: ``python -m pkgpulse update --root ... --feed name=path``
+(on a cluster: ``spark-submit --py-files pkgpulse.zip pkgpulse/__main__.py update ...``).
 
 Runs the update job (``plans.update.run_update``) once; a scheduler calls it
 daily with the newest snapshot files.
