@@ -11,11 +11,16 @@ Order of work (each table all-or-nothing: stage, check, commit):
 5. rebuild the monthly summary from the updated by-date table.
 
 Feeds are optional: a run with only some feeds updates only those tables.
+The fact tables are independent of each other, so their loads are submitted
+concurrently (one driver thread each; Spark runs the jobs side by side).
+Each table is still all-or-nothing; a failed load is re-raised after the
+others finish, as each table commits on its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +66,7 @@ def run_update(
     partitions: int | None = None,
     combine: str = "sum",
     refresh_names: bool = False,
+    parallel: bool = True,
 ) -> dict[str, DataFrame]:
     """Run one update. ``feeds`` maps feed name -> CSV path (or a frame with
     the feed's columns); ``registries`` are extract paths (CSV) or frames."""
@@ -94,15 +100,28 @@ def run_update(
         src = feeds[feed]
         return src if isinstance(src, DataFrame) else read_feed(spark, feed, src, partitions)
 
+    loads = []
     for feed, (spec, fn) in _PACKAGE_FEEDS.items():
         if feed in feeds:
-            rows = fn(load(feed), packages, client_types)
-            written[spec.name] = merge_into_table(spark, rows, spec, root, dims)
+            loads.append((spec, fn(load(feed), packages, client_types)))
     for feed, (spec, fn) in _PLATFORM_FEEDS.items():
         if feed in feeds:
             order = SYSTEM_FEED_COLUMN if feed == "systems_by_date" else VERSION_FEED_COLUMN
-            rows = fn(load(feed), client_types, combine=combine, order_col=order)
-            written[spec.name] = merge_into_table(spark, rows, spec, root, dims)
+            loads.append((spec, fn(load(feed), client_types, combine=combine, order_col=order)))
+
+    def merge(item):
+        spec, rows = item
+        return spec.name, merge_into_table(spark, rows, spec, root, dims)
+
+    if parallel and len(loads) > 1:
+        with ThreadPoolExecutor(max_workers=len(loads), thread_name_prefix="pkgpulse-load") as pool:
+            futures = [pool.submit(merge, item) for item in loads]
+        errors = [f.exception() for f in futures if f.exception() is not None]
+        written.update(f.result() for f in futures if f.exception() is None)
+        if errors:
+            raise errors[0]
+    else:
+        written.update(merge(item) for item in loads)
 
     if "package_requests_by_date" in feeds:
         by_date = read_table(spark, REQUESTS_BY_DATE, root)
