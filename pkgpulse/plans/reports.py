@@ -54,6 +54,8 @@ def sort_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _order(df: DataFrame, cols: Sequence[str], order: str | None) -> DataFrame:
+    """Display order. ``None`` leaves the rows unsorted (no global sort:
+    the right choice for batch outputs that feed other jobs)."""
     if order is None:
         return df
     if order == "report":
@@ -110,11 +112,15 @@ def package_requests_by(
     package_name: str | Column | None = None,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
-    order: str | None = "report",
+    order: str | None = "auto",
 ) -> DataFrame:
     """``requests_by`` for one package (name matched ignoring case; packages
     sharing it are summed), or for every package at once when
-    ``package_name`` is None (``package_key`` then leads the keys)."""
+    ``package_name`` is None (``package_key`` then leads the keys).
+
+    ``order='auto'`` sorts a single package's rows for display and leaves
+    the all-package batch unsorted (it feeds other jobs; a global sort of
+    every package's rows would be a needless range shuffle)."""
     rows = _named(_window_rows(fact, timeframe, client_types), packages)
     keys = list(group_cols)
     if package_name is not None:
@@ -122,6 +128,8 @@ def package_requests_by(
     else:
         keys = ["package_key", *keys]
     out = rows.groupBy(*keys).agg(F.sum("request_count").alias("total_requests"))
+    if order == "auto":
+        order = "report" if package_name is not None else None
     return _order(out, keys, order)
 
 
@@ -132,10 +140,10 @@ def package_daily(
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
 ) -> DataFrame:
-    """Daily totals of a package (or of each package), date ascending."""
-    return package_requests_by(
-        fact, packages, ["date"], package_name, timeframe, client_types, order="asc"
-    )
+    """Daily totals of a package, date ascending (for every package at once
+    when ``package_name`` is None: unsorted batch)."""
+    order = "asc" if package_name is not None else None
+    return package_requests_by(fact, packages, ["date"], package_name, timeframe, client_types, order=order)
 
 
 # ------------------------------------------------------------- shares
