@@ -55,12 +55,16 @@ def run_snapshot_ingest(
     checkpoint: str,
     options: dict[str, str] | None = None,
     await_termination: bool = True,
+    trigger: dict | None = None,
 ):
-    """Start (and by default finish) an ``availableNow`` ingest stream.
+    """Start (and by default finish) the ingest stream.
 
     ``to_feed(batch)`` maps stream rows to feed rows and must keep the
     ``SNAPSHOT_COLS``; ``transform(feed, carry)`` is the batch ingest, carrying
-    those columns as extra keys."""
+    those columns as extra keys. ``trigger`` defaults to
+    ``{"availableNow": True}`` (process what is there, then stop); pass e.g.
+    ``{"processingTime": "1 hour"}`` with ``await_termination=False`` to keep
+    watching the folder."""
     reader = spark.readStream.format(source_format).schema(source_schema)
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
@@ -73,7 +77,7 @@ def run_snapshot_ingest(
     query = (
         stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     if await_termination:
