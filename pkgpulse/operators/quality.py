@@ -82,7 +82,7 @@ def violations(df: DataFrame, spec: TableSpec, dims: Mapping[str, DataFrame] | N
     out = primary_pass(df, spec, dims)
     for keys in spec.unique:
         out = out.unionByName(unique_check(df, spec, keys))
-    return out
+    return out.select(*RESULT_COLUMNS)
 
 
 def failed(report: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pkgpulse.functions.client_types import DEFAULT_CLIENT_TYPES, client_type_pr
 from pkgpulse.functions.systems import system_label
 from pkgpulse.functions.text import percent_text, with_thousands
 from pkgpulse.functions.timeframes import days_between, parse_timeframe, trailing
-from pkgpulse.operators.asof import asof_date
+from pkgpulse.operators.asof import asof_date, in_window
 from pkgpulse.operators.shares import with_daily_share
 
 # List sizes and trending thresholds of the reference pages.
@@ -66,8 +66,7 @@ def _order(df: DataFrame, cols: Sequence[str], order: str | None) -> DataFrame:
 
 
 def _window_rows(fact: DataFrame, timeframe, client_types) -> DataFrame:
-    asof = asof_date(fact)
-    return fact.where(trailing("date", asof, timeframe) & client_type_predicate(client_types))
+    return in_window(fact, timeframe).where(client_type_predicate(client_types))
 
 
 def package_key(name: Column | str = "package_name") -> Column:
