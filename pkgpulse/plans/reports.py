@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pkgpulse.functions.client_types import DEFAULT_CLIENT_TYPES, client_type_predicate
 from pkgpulse.functions.systems import system_label
 from pkgpulse.functions.text import percent_text, with_thousands
-from pkgpulse.functions.timeframes import days_between, parse_timeframe, trailing
+from pkgpulse.functions.timeframes import days_between, parse_timeframe
 from pkgpulse.operators.asof import asof_date, in_window
 from pkgpulse.operators.shares import with_daily_share
 
