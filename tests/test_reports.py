@@ -168,3 +168,36 @@ def test_trending_periods_are_parameters(spark):
         fact, _pk(spark, ["A"]), min_rows=6, last_period=(6, 0), previous_period=(13, 7)
     ).collect()
     assert [(r.package_name, r.percent_change) for r in out] == [("A", 100.0)]
+
+
+REGION_FACT = "package_id int, client_type_id int, region string, date date, request_count int"
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda s, f, p: reports.package_share_by(f.withColumn("region", F.lit("EU")), p, "region"),
+        lambda s, f, p: reports.package_requests_by(f.withColumn("region", F.lit("EU")), p, ["region", "date"], "x"),
+        lambda s, f, p: reports.system_share(f.withColumn("system", F.lit("x86_64-linux"))),
+        lambda s, f, p: reports.request_kpis(f, packages=p, by_package=True),
+        lambda s, f, p: summary.package_summary(summary.last_month_summary(f), p),
+        lambda s, f, p: summary.lookup_downloads(
+            summary.package_summary(summary.last_month_summary(f), p), s.createDataFrame([], "package_name string")
+        ),
+        lambda s, f, p: summary.badges(p),
+    ],
+)
+def test_more_empty_inputs(spark, build):
+    fact = spark.createDataFrame([], BY_DATE)
+    assert build(spark, fact, _pk(spark, [])).count() == 0
+
+
+def test_empty_series_and_quality(spark):
+    from pkgpulse.operators import quality
+    from pkgpulse.operators.shares import as_series
+    from pkgpulse.schemas import REQUESTS_BY_REGION_DATE
+
+    empty = spark.createDataFrame([], REGION_FACT)
+    assert as_series(empty.withColumn("total_requests", F.lit(1)), "region").count() == 0
+    report = quality.violations(empty, REQUESTS_BY_REGION_DATE)
+    assert report.count() > 0 and quality.failed(report).count() == 0
