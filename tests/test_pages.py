@@ -9,7 +9,7 @@ from tests.conftest import SF001
 
 
 @pytest.fixture(scope="module")
-def tables(spark, tmp_path_factory):
+def warehouse(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("wh"))
     feed = T.package_feed(spark, SF001)
     feeds = {
@@ -21,7 +21,12 @@ def tables(spark, tmp_path_factory):
     }
     registry = T.packages(spark, SF001).select("package_uuid", "package_name")
     run_update(spark, root, feeds, [registry])
-    return pages.Tables.load(spark, root)
+    return root
+
+
+@pytest.fixture(scope="module")
+def tables(spark, warehouse):
+    return pages.Tables.load(spark, warehouse)
 
 
 def test_all_packages_page(tables):
@@ -78,3 +83,15 @@ def test_package_page_cleanses_the_name(tables):
     assert plain == dirty and len(plain) > 0
     raw = pages.package_page(tables, "  al'pha%; ", cleanse=False)["total_downloads"].count()
     assert raw == 0
+
+
+def test_report_command_writes_each_report(spark, warehouse, tmp_path):
+    import json as _json
+
+    from pkgpulse.__main__ import parse_args, write_reports
+
+    args = parse_args(["report", "--root", warehouse, "--page", "top", "--out", str(tmp_path), "--client-types", "1,2"])
+    names = write_reports(spark, args)
+    assert names == ["day", "month", "trending", "week"]
+    month = [_json.loads(line) for f in (tmp_path / "top" / "month").glob("part-*.json") for line in f.read_text().splitlines()]
+    assert month and {"package_name", "total_requests", "total_requests_fmt"} <= set(month[0])
