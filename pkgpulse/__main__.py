@@ -31,9 +31,10 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     up.add_argument("--master", default=None)
     rep = sub.add_parser("report", help="write a page's reports (one folder per report)")
     rep.add_argument("--root", required=True, help="warehouse folder of the curated tables")
-    rep.add_argument("--page", required=True, choices=("all", "package", "top"))
+    rep.add_argument("--page", required=True, choices=("all", "package", "top", "api"))
     rep.add_argument("--out", required=True, help="output folder")
     rep.add_argument("--package", default=None, help="package name (page 'package')")
+    rep.add_argument("--names", default=None, help="CSV with a package_name column (page 'api')")
     rep.add_argument("--timeframe", default="30d")
     rep.add_argument("--client-types", default="1", help="comma list of ids: 1 user, 2 ci, 3 other")
     rep.add_argument("--system-mode", default="Full", choices=("Full", "CPU Arch", "OS"))
@@ -43,6 +44,8 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     if args.command == "report":
         if args.page == "package" and not args.package:
             parser.error("--page package needs --package")
+        if args.page == "api" and not args.names:
+            parser.error("--page api needs --names")
         args.client_type_ids = tuple(int(x) for x in args.client_types.split(",") if x.strip())
         return args
     feeds = {}
@@ -65,6 +68,9 @@ def write_reports(spark, args) -> list[str]:
         frames = pages.all_packages_page(tables, args.timeframe, ct, args.system_mode)
     elif args.page == "package":
         frames = pages.package_page(tables, args.package, args.timeframe, ct)
+    elif args.page == "api":
+        names = spark.read.option("header", True).csv(args.names).select("package_name")
+        frames = pages.api_downloads(tables, names)
     else:
         frames = pages.top_page(tables, ct, display=False)
     for name, df in frames.items():

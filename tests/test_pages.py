@@ -95,3 +95,18 @@ def test_report_command_writes_each_report(spark, warehouse, tmp_path):
     assert names == ["day", "month", "trending", "week"]
     month = [_json.loads(line) for f in (tmp_path / "top" / "month").glob("part-*.json") for line in f.read_text().splitlines()]
     assert month and {"package_name", "total_requests", "total_requests_fmt"} <= set(month[0])
+
+
+def test_report_command_api_lookups(spark, warehouse, tmp_path):
+    import json as _json
+
+    from pkgpulse.__main__ import parse_args, write_reports
+
+    names = tmp_path / "names.csv"
+    names.write_text("package_name\nPKG2\nnope\n")
+    args = parse_args(["report", "--root", warehouse, "--page", "api", "--names", str(names), "--out", str(tmp_path / "out")])
+    assert write_reports(spark, args) == ["monthly_downloads", "total_downloads"]
+    rows_ = [_json.loads(line) for f in (tmp_path / "out" / "api" / "monthly_downloads").glob("part-*.json") for line in f.read_text().splitlines()]
+    by_name = {r["package_name"]: r for r in rows_}
+    assert by_name["nope"]["json_v2"] == '{"package_name":"nope","total_requests":0}'
+    assert by_name["PKG2"]["found"] is True
