@@ -305,7 +305,10 @@ def trending_packages(
         F.count(F.when(in_prev, F.col("date"))).alias("prev_rows"),
     )
     growing = per.where(
-        (F.col("last_rows") > min_rows) & (F.col("prev_rows") > min_rows) & (F.col("last_total") > F.col("prev_total"))
+        (F.col("last_rows") > min_rows)
+        & (F.col("prev_rows") > min_rows)
+        & (F.col("last_total") > F.col("prev_total"))
+        & (F.col("prev_total") > 0)  # growth from nothing has no percentage
     )
     bp = F.expr("(20000 * (last_total - prev_total) + prev_total) div (2 * prev_total)")
     scored = growing.select("package_name", (bp / F.lit(100.0)).alias("percent_change"))

@@ -201,3 +201,10 @@ def test_empty_series_and_quality(spark):
     assert as_series(empty.withColumn("total_requests", F.lit(1)), "region").count() == 0
     report = quality.violations(empty, REQUESTS_BY_REGION_DATE)
     assert report.count() > 0 and quality.failed(report).count() == 0
+
+
+def test_trending_skips_zero_previous_total(spark):
+    data = [(1, 1, d, 5) for d in daily(D(2024, 3, 18), 14)] + [(1, 1, d, 0) for d in daily(D(2024, 3, 4), 13)]
+    fact = spark.createDataFrame(data, BY_DATE)
+    out = reports.trending_packages(fact, _pk(spark, ["Z"]), daily_minimum=-1).collect()
+    assert out == []
