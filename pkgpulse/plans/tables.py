@@ -19,7 +19,7 @@ from pkgpulse.operators.quality import failed, violations
 from pkgpulse.operators.upsert import upsert, upsert_partitions
 from pkgpulse.schemas import TableSpec
 from pkgpulse.session import shared_dir
-from pkgpulse.sources.snapshots import read_table, table_path
+from pkgpulse.sources.snapshots import has_rows, read_table, table_path
 
 
 class QualityError(RuntimeError):
@@ -79,11 +79,14 @@ def merge_into_table(
     expensive ingest plan), then merged with the touched partitions only."""
     batch = stage(incoming, spec, spark)
     target = read_table(spark, spec, root)
-    if spec.partition_by:
-        merged = upsert_partitions(target, batch, spec.keys, spec.partition_by[0])
+    if not has_rows(target):
+        staged = batch  # first load: the merge is the batch itself
     else:
-        merged = upsert(target, batch, spec.keys)
-    staged = stage(merged, spec, spark)
+        if spec.partition_by:
+            merged = upsert_partitions(target, batch, spec.keys, spec.partition_by[0])
+        else:
+            merged = upsert(target, batch, spec.keys)
+        staged = stage(merged, spec, spark)
     check(staged, spec, dims)
     commit(staged, spec, root)
     return staged
