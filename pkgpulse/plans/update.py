@@ -2,13 +2,13 @@
 
 Order of work (each table all-or-nothing: stage, check, commit):
 
-1. create missing tables (empty, with their schema);
-2. client types: insert the three constant rows if absent;
-3. packages: union the registry extracts, first registry wins per uuid,
+1. client types: insert the three constant rows if absent;
+2. packages: union the registry extracts, first registry wins per uuid,
    new uuids get ids after the current maximum, existing rows are kept;
-4. each fact feed: clean, aggregate, map keys, upsert into its table (only
+3. each fact feed: clean, aggregate, map keys, upsert into its table (only
    the dates the feed covers are rewritten);
-5. rebuild the monthly summary from the updated by-date table.
+4. rebuild the monthly summary from the updated by-date table;
+5. create any table still missing (empty, with its schema).
 
 Feeds are optional: a run with only some feeds updates only those tables.
 The fact tables are independent of each other, so their loads are submitted
@@ -70,8 +70,6 @@ def run_update(
 ) -> dict[str, DataFrame]:
     """Run one update. ``feeds`` maps feed name -> CSV path (or a frame with
     the feed's columns); ``registries`` are extract paths (CSV) or frames."""
-    for spec in TABLES.values():
-        create_if_missing(spark, spec, root)
     written: dict[str, DataFrame] = {}
 
     # Dimensions are rewritten only when something changed (bounded checks).
@@ -128,4 +126,8 @@ def run_update(
         written[REQUESTS_LAST_MONTH.name] = replace_table(
             spark, last_month_summary(by_date), REQUESTS_LAST_MONTH, root, dims
         )
+    # every table exists after a run, even those no feed has filled yet
+    for spec in TABLES.values():
+        if spec.name not in written:
+            create_if_missing(spark, spec, root)
     return written
