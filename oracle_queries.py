@@ -107,23 +107,23 @@ def _trending(ids=(1,)) -> str:
 
     def period(lo: str, hi: str) -> str:
         return f"""
-SELECT p.package_name, sum(b.request_count) AS total_requests, count(b.date) AS n_days
-FROM requests_by_date b JOIN packages p ON b.package_id = p.package_id
-WHERE (b.date BETWEEN {lo} AND {hi}) AND b.{_ct(ids)}
-  AND b.request_count > 5 AND p.package_name NOT LIKE '%_jll'
-GROUP BY p.package_name HAVING count(b.date) > 12"""
+SELECT k.package_name, sum(f.request_count) AS total_requests
+FROM requests_by_date f JOIN packages k ON f.package_id = k.package_id
+WHERE f.date >= {lo} AND f.date <= {hi} AND f.{_ct(ids)}
+  AND f.request_count > 5 AND k.package_name NOT LIKE '%_jll'
+GROUP BY k.package_name HAVING count(*) > 12"""
 
     pct = (
-        "((20000 * (l.total_requests - p.total_requests) + p.total_requests)"
-        " // (2 * p.total_requests)) / 100.0::DOUBLE"
+        "((20000 * (recent.total_requests - earlier.total_requests) + earlier.total_requests)"
+        " // (2 * earlier.total_requests)) / 100.0::DOUBLE"
     )
     return _q(
-        f"lpr AS ({period(f'{m} - INTERVAL 14 DAY', m)})",
-        f"ppr AS ({period(f'{m} - INTERVAL 27 DAY', f'{m} - INTERVAL 14 DAY')})",
+        f"recent AS ({period(f'{m} - INTERVAL 14 DAY', m)})",
+        f"earlier AS ({period(f'{m} - INTERVAL 27 DAY', f'{m} - INTERVAL 14 DAY')})",
         body=f"""
-SELECT l.package_name, {pct} AS percent_change, printf('%.2f%%', {pct}) AS percent_change_fmt
-FROM lpr l JOIN ppr p ON l.package_name = p.package_name
-WHERE l.total_requests > p.total_requests
+SELECT recent.package_name, {pct} AS percent_change, printf('%.2f%%', {pct}) AS percent_change_fmt
+FROM recent JOIN earlier USING (package_name)
+WHERE recent.total_requests > earlier.total_requests
 ORDER BY percent_change DESC, package_name
 LIMIT 10""",
     )
