@@ -208,3 +208,13 @@ def test_trending_skips_zero_previous_total(spark):
     fact = spark.createDataFrame(data, BY_DATE)
     out = reports.trending_packages(fact, _pk(spark, ["Z"]), daily_minimum=-1).collect()
     assert out == []
+
+
+def test_single_series_points_are_date_ascending(spark):
+    from pkgpulse.operators.shares import as_series
+
+    data = [(1, 1, d, i) for i, d in enumerate(reversed(daily(D(2024, 3, 1), 5)))]
+    totals = reports.requests_by(spark.createDataFrame(data, BY_DATE), ["date"], "all")
+    series = as_series(totals, None).first().points
+    assert [p.date for p in series] == daily(D(2024, 3, 1), 5)
+    assert [p.total_requests for p in series] == [4, 3, 2, 1, 0]
