@@ -63,3 +63,20 @@ def test_registered_plans_stay_in_jvm(spark, name):
         assert node not in text, f"{name}: {node}"
     assert "CartesianProduct" not in text, name
     assert "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_upsert_reads_only_the_batch_date_range(spark, partitioned):
+    from pyspark.sql import functions as F
+
+    from pkgpulse.operators.upsert import upsert_partitions
+
+    batch = stage(
+        partitioned.where(F.col("date") >= F.lit("2024-01-25").cast("date")).withColumn("request_count", F.col("request_count") + 1),
+        REQUESTS_BY_DATE,
+        spark,
+    )
+    merged = upsert_partitions(partitioned, batch, REQUESTS_BY_DATE.keys, "date")
+    text = plan(merged)
+    target_scans = [b for b in scans(text) if "PartitionFilters" in b and ".min(date)" in b]
+    assert target_scans and ".max(date)" in target_scans[0]
+    assert merged.count() == partitioned.where(F.col("date") >= F.lit("2024-01-25").cast("date")).count()
