@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries  # noqa: E402
-from pkgpulse.operators import quality, upsert  # noqa: E402
-from pkgpulse.operators.shares import as_series  # noqa: E402
-from pkgpulse.plans import dimensions, reports, summary  # noqa: E402
 from pkgpulse.functions.systems import system_label  # noqa: E402
 from pkgpulse.functions.text import cleanse_name, url_contains  # noqa: E402
-from pkgpulse.operators import ingest  # noqa: E402
+from pkgpulse.operators import ingest, quality, upsert  # noqa: E402
+from pkgpulse.operators.shares import as_series  # noqa: E402
+from pkgpulse.plans import dimensions, reports, summary  # noqa: E402
 from pkgpulse.schemas import TABLES  # noqa: E402
 from pkgpulse.session import shared_dir  # noqa: E402
 from pkgpulse.sources import testdata as T  # noqa: E402
