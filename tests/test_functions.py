@@ -98,3 +98,18 @@ def test_badge_and_url_filter(spark):
     assert badge.endswith("](https://s.example/pkg/Foo)")
     urls = spark.createDataFrame([("https://github.com/a/b",), ("https://gitlab.com/a",)], "url string")
     assert urls.where(url_contains("url")).count() == 1
+
+
+def test_arch_and_os_helpers(spark):
+    from pkgpulse.functions.systems import system_arch, system_os
+
+    df = spark.createDataFrame([("arm64-apple",), ("i586-linux",), ("riscv64-linux",)], "system string")
+    got = [tuple(r) for r in df.select(system_arch("system"), system_os("system")).collect()]
+    assert got == [("aarch64", "macos"), ("i686", "linux"), ("riscv64", "linux")]
+
+
+def test_timeframe_sql_literal(spark):
+    assert parse_timeframe("30d").sql() == "INTERVAL '30' DAY"
+    assert parse_timeframe("1 month").sql() == "INTERVAL '1' MONTH"
+    row = spark.sql(f"SELECT DATE'2024-03-31' - {parse_timeframe('1 month').sql()} AS d").first()
+    assert row.d == D(2024, 2, 29)
