@@ -162,3 +162,14 @@ def schema_struct(spark, ddl):
 
 def test_snapshot_cols_constant():
     assert SNAPSHOT_COLS == ("_snapshot_time", "_snapshot_path")
+
+
+def test_registry_csv_extracts_first_wins(spark, scratch):
+    from pkgpulse.plans.dimensions import refresh_packages
+    from pkgpulse.sources.registry import read_registries
+
+    a = _csv(f"{scratch}/a.csv", "package_uuid,package_name", [" U1 ,FromA", "u2,Two"])
+    b = _csv(f"{scratch}/b.csv", "package_uuid,package_name", ["u1,FromB", "u3,Three"])
+    extract = read_registries(spark, [a, b])
+    empty = spark.createDataFrame([], TABLES["packages"].schema)
+    assert rows(refresh_packages(empty, extract)) == [(1, "u1", "FromA"), (2, "u2", "Two"), (3, "u3", "Three")]
