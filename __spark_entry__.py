@@ -8,6 +8,7 @@ log fixtures of ``pkgpulse.sources.testdata``, which Spark derives from
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 import uuid
@@ -31,6 +32,12 @@ from pkgpulse.session import shared_dir  # noqa: E402
 from pkgpulse.sources import testdata as T  # noqa: E402
 from pkgpulse.streaming.snapshots import SNAPSHOT_COLS, run_snapshot_ingest  # noqa: E402
 
+# the training-data operators are optional: without their subpackage the rest works
+if importlib.util.find_spec("pkgpulse.llm") is not None:
+    from pkgpulse.llm import queries as llm  # noqa: E402
+else:
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -236,8 +243,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .select("page_id", "url"),
         # streaming
         "stream_ingest": _stream_ingest,
+        **(llm.queries() if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    return oracle_queries.oracle_sql() | (llm.oracle_sql() if llm else {})
