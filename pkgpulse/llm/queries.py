@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pkgpulse.llm import oracles
+from pkgpulse.llm import bpe_stream, oracles, token_store
 from pkgpulse.llm.jaccard_join import jaccard_components
 from pkgpulse.llm.shared import ship, table
 
@@ -16,7 +18,25 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, p=9, q=10)
 
 
-_QUERIES = [op2_jaccard_join]
+def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_stream.round_trip(table(spark, sf_dir, "documents"), path).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of all documents, written and read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = token_store.write_store(table(spark, sf_dir, "documents"), path, end=2)
+    return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_QUERIES = [op2_jaccard_join, op9_bpe_stream, op10_token_store]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
