@@ -17,7 +17,8 @@ scheme, so no link is lost. Candidates are verified on the whole sets.
 Links are needed only as far as they connect texts, so equal sets are one
 vertex, and each group of sets with a common segment value is first compared
 with one hub (a star); then only pairs that are still in different components
-are compared, all of them. Results are exact up to collisions of 64-bit
+are compared, all of them, but for those whose parity sketches prove that they
+differ too much. Results are exact up to collisions of 64-bit
 hashes (shingles, set fingerprints).
 
 Nulls and special cases: a null text, or one without words, has an empty set
@@ -37,7 +38,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgpulse.llm.components import connected_components
@@ -49,6 +50,8 @@ BAND = 1.37
 #: segments of at most this many shingles may be given allowance 2
 SMALL = 2
 
+FACTS = "doc_id long, n_shingles long, fp long, own array<long>, half array<long>"
+
 # kinds of postings
 FULL, DELETION, WIDE_PROBE = 0, 1, 2
 
@@ -138,18 +141,36 @@ def _segment_keys(values: np.ndarray, band: int, segments: int, used: int):
     return keys, at, kinds, small[at]
 
 
-def _describe(k: int):
+def parity_sketch(values: np.ndarray, bits: int) -> list[int]:
+    """Bit i: whether an odd number of shingles fall into bucket i of ``bits``
+    (a power of two, 64 at least). Two sets differ in at least as many
+    shingles as their sketches differ in bits."""
+    odd = np.bincount((values >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _sketch_bits(units: int) -> int:
+    return max(128, 1 << (8 * units - 1).bit_length())
+
+
+def _describe(k: int, p: int, q: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scheme = _scheme(p, q)
         for frame in blocks(frames, "text"):
-            sizes, prints = [], []
+            sizes, prints, own, half = [], [], [], []
             for values in shingle_sets(frame["text"], k):
                 sizes.append(len(values))
                 prints.append(fingerprint(values) if len(values) else None)
+                bits = _sketch_bits(scheme.units(len(values)))
+                own.append(parity_sketch(values, bits))
+                half.append(parity_sketch(values, bits // 2))
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"].astype("Int64"),
                     "n_shingles": np.array(sizes, np.int64),
                     "fp": pd.array(prints, "Int64"),
+                    "own": own,
+                    "half": half,
                 }
             )
 
@@ -254,7 +275,7 @@ def jaccard_components(
     q * |intersection| >= p * |union| of their ``shingle``-word sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scheme = _scheme(p, q)
-    facts = written(docs.mapInPandas(_describe(shingle), "doc_id long, n_shingles long, fp long"), "sets")
+    facts = written(docs.mapInPandas(_describe(shingle, p, q), FACTS), "sets")
     classes = facts.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count("*").alias("members")
     )
@@ -274,7 +295,8 @@ def jaccard_components(
     spare_of = F.udf(lambda n: scheme.used(n, scheme.band(n)) - scheme.units(n), "int")
     lives = live.select("fp").distinct().join(classes, "fp")
     by_size = lives.select("n").distinct().withColumn("spare", spare_of("n"))
-    sizes = written(lives.join(by_size, "n"), "sizes")
+    sketches = facts.where("fp is not null").select("fp", "own", "half").dropDuplicates(["fp"])
+    sizes = written(lives.join(by_size, "n").join(sketches, "fp"), "sizes")
 
     probes = _allocate(live, sizes, "spare")
     probes = written(probes, "probes")
@@ -283,10 +305,11 @@ def jaccard_components(
     both = probes.select("key", "fp", F.lit(True).alias("prober")).unionByName(
         index.select("key", "fp", F.lit(False).alias("prober"))
     )
-    members = written(both.join(sizes.select("fp", "n"), "fp"), "members")
+    members = written(both.join(sizes.select("fp", "n", "own", "half"), "fp"), "members")
 
+    groups = members.select("key", "fp")
     hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("hub"))
-    stars = members.join(hubs, "key").where("fp <> hub")
+    stars = groups.join(hubs, "key").where("fp <> hub")
     first = written(_verified(docs, sizes, _pairs(stars, "fp", "hub"), shingle, p, q), "links")
     roots = connected_components(first)
 
@@ -301,9 +324,10 @@ def jaccard_components(
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.root") != F.col("y.root"))
         & (F.col("x.n") <= F.col("y.n"))
-        & (F.col("y.n") * p <= F.col("x.n") * q),
+        & (F.col("y.n") * p <= F.col("x.n") * q)
+        & _may_link("x", "y", p, q),
     ).select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other"))
-    second = written(_verified(docs, sizes, written(_pairs(rest, "fp", "other"), "pairs"), shingle, p, q), "links")
+    second = written(_verified(docs, sizes, _pairs(rest, "fp", "other"), shingle, p, q), "links")
     components = connected_components(first.unionByName(second))
 
     # smallest id of each component, then of every row's set
@@ -319,6 +343,15 @@ def jaccard_components(
     )
 
 
+def _may_link(x: str, y: str, p: int, q: int) -> Column:
+    """False only if the sketches prove that x (not the larger) and y differ
+    in more shingles than linked sets of their sizes can."""
+    own, other = F.col(f"{x}.own"), F.col(f"{y}.own")
+    other = F.when(F.size(own) == F.size(other), other).when(F.size(own) == F.size(f"{y}.half"), F.col(f"{y}.half"))
+    apart = F.aggregate(F.zip_with(own, other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+    return F.coalesce(apart * (q + p) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (q - p), F.lit(True))
+
+
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 

@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pkgpulse.llm.components import connected_components
-from pkgpulse.llm.jaccard_join import _scheme, jaccard_components
+from pkgpulse.llm.jaccard_join import _scheme, jaccard_components, parity_sketch
 
 SCHEMA = "doc_id long, text string, key long"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -115,6 +116,16 @@ def test_units_cover_every_partner(p, q):
             assert scheme.used(y, scheme.band(x)) >= scheme.used(x, scheme.band(x)) >= scheme.units(x)
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(1)
+    for n, edits in [(5, 1), (60, 9), (500, 40), (500, 400)]:
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[edits:], rng.integers(0, 2**63, edits).astype(np.uint64)])
+        for bits in (64, 128, 1024):
+            a, b = (np.array(parity_sketch(v, bits), np.int64).view(np.uint64) for v in (x, y))
+            assert sum(int(v).bit_count() for v in a ^ b) <= 2 * edits
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)]
