@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgpulse.llm import bpe_stream, oracles, token_store
+from pkgpulse.llm import bpe_stream, language_id, oracles, quality_cotraining, quality_trees, token_store
 from pkgpulse.llm.jaccard_join import jaccard_components
-from pkgpulse.llm.shared import ship, table
+from pkgpulse.llm.shared import remainder, ship, table
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,27 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, p=9, q=10)
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined score of both views for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_cotraining.judge(docs, quality_cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(remainder("doc_id", 5) != 0))
+    return language_id.predict(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_trees.judge(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,7 +57,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op2_jaccard_join, op9_bpe_stream, op10_token_store]
+_QUERIES = [op2_jaccard_join, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -88,7 +88,7 @@ def windows(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     counts = np.diff(words.bounds)
     n = len(hashes)
     acc = np.full(n, U64(k), U64)
-    for j in range(k):
+    for j in range(min(k, n)):
         acc[: n - j] = acc[: n - j] * _MULTIPLIER + hashes[j:]
     position = np.arange(n) - np.repeat(words.bounds[:-1], counts)
     keep = position + k <= np.repeat(counts, counts)
