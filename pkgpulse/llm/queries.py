@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgpulse.llm import bpe_stream, language_id, oracles, quality_cotraining, quality_trees, token_store
+from pkgpulse.llm import bpe_stream, decontaminate, language_id, lm_mixing, oracles, quality_cotraining, quality_trees, token_store
 from pkgpulse.llm.jaccard_join import jaccard_components
 from pkgpulse.llm.shared import remainder, ship, table
 
@@ -18,6 +18,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, p=9, q=10)
 
 
+def op3_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents whose crc32(doc_id) mod 7 is not 2; all are scored."""
+    return lm_mixing.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 words of every benchmark item in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combined score of both views for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -57,7 +67,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op2_jaccard_join, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store]
+_QUERIES = [op2_jaccard_join, op3_lm_mixing, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
