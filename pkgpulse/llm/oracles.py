@@ -33,6 +33,53 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)
 """
 
+_LONG = "('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'co.za', 'com.cn')"
+
+
+def _strength(units: str) -> str:
+    return f"""(SELECT 1 / least(greatest(coalesce(CASE WHEN sum(bad) > 0 AND sum(bad) < sum(n) THEN
+        (sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) - sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) * (count(*) - 1))
+        / (sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1))) END, 0), 0.001), 0.5) - 1
+      FROM {units} WHERE n > 0)"""
+
+
+OP4 = rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS is_bad FROM labels GROUP BY 1),
+hosts AS (
+  SELECT host, CAST(count(is_bad) AS DOUBLE) AS n, CAST(coalesce(sum(is_bad::INT), 0) AS DOUBLE) AS bad,
+    string_split(host, '.') AS s, array_to_string(s[-2:], '.') AS two,
+    CASE WHEN two IN {_LONG} THEN array_to_string(s[-3:], '.') ELSE two END AS domain,
+    CASE WHEN two IN {_LONG} THEN two ELSE s[-1] END AS suffix
+  FROM p LEFT JOIN l ON doc_id = TRY_CAST(nullif(regexp_extract(path, '([0-9]{{1,18}})(\.html)?/?$', 1), '') AS BIGINT)
+  GROUP BY host
+),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+m AS (SELECT {_strength('suffixes')} AS s, {_strength('domains')} AS d, {_strength('hosts')} AS h,
+        (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM suffixes) AS o),
+sm AS (SELECT suffix, (bad + m.s * m.o) / (n + m.s) AS mean FROM suffixes, m),
+dm AS (SELECT domain, (bad + m.d * sm.mean) / (n + m.d) AS mean FROM domains JOIN sm USING (suffix), m),
+hm AS (SELECT host, hosts.n, hosts.bad, (hosts.bad + m.h * dm.mean) / (hosts.n + m.h) AS mean, hosts.n + m.h AS w
+       FROM hosts JOIN dm USING (domain), m),
+rules(rule, h, pre, verdict) AS (VALUES
+  ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+fit AS (
+  SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS v
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, fit.rule,
+  coalesce(v, CASE WHEN p.host <> '' AND mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(hm.n AS BIGINT) AS host_n, CAST(hm.bad AS BIGINT) AS host_bad
+FROM p JOIN hm USING (host) LEFT JOIN fit USING (page_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5}
+    return {"op4_host_reputation": OP4, "op5_decontaminate": OP5}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgpulse.llm import bpe_stream, decontaminate, language_id, lm_mixing, oracles, quality_cotraining, quality_trees, token_store
+from pkgpulse.llm import bpe_stream, decontaminate, host_reputation, language_id, lm_mixing, oracles, quality_cotraining, quality_trees, token_store
 from pkgpulse.llm.jaccard_join import jaccard_components
 from pkgpulse.llm.shared import remainder, ship, table
 
@@ -23,6 +23,23 @@ def op3_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_mixing.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
 
 
+#: rules of the URL filter: host/path prefix -> verdict
+URL_RULES = {
+    "org/": "allow",
+    "example.org/es/": "block",
+    "example.org/en/1": "block",
+    "com/fr/": "allow",
+    "com/de/": "block",
+}
+
+
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by rules, else by the reputation of its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = host_reputation.page_outcomes(pages, table(spark, sf_dir, "labels"))
+    return host_reputation.judge(pages, outcomes, URL_RULES)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item in every document."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
@@ -67,7 +84,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op2_jaccard_join, op3_lm_mixing, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store]
+_QUERIES = [op2_jaccard_join, op3_lm_mixing, op4_host_reputation, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
