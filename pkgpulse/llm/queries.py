@@ -8,11 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgpulse.llm import bpe_stream, decontaminate, host_reputation, language_id, lm_mixing, oracles, quality_cotraining, quality_trees, token_store
+from pkgpulse.llm import (
+    bpe_stream,
+    decontaminate,
+    host_reputation,
+    html_extract,
+    language_id,
+    lm_mixing,
+    oracles,
+    quality_cotraining,
+    quality_trees,
+    token_store,
+)
 from pkgpulse.llm.jaccard_join import jaccard_components
 from pkgpulse.llm.shared import remainder, ship, table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard similarity of 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, p=9, q=10)
@@ -84,7 +100,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op2_jaccard_join, op3_lm_mixing, op4_host_reputation, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store]
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = [op1_html_extract, op2_jaccard_join, op3_lm_mixing, op4_host_reputation, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store, pipeline]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
