@@ -64,6 +64,17 @@ def _top(window: str):
     return run
 
 
+def _totals_by_toggles(spark, d) -> DataFrame:
+    """The month's total for every choice of client types; none chosen is 0."""
+    out = None
+    for chosen in ((), (1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3)):
+        daily = reports.requests_by(_by_date(spark, d), ["date"], client_types=chosen, order=None)
+        total = daily.agg(F.coalesce(F.sum("total_requests"), F.lit(0)).alias("total_requests"))
+        part = total.select(F.lit(",".join(map(str, chosen))).alias("chosen"), "total_requests")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _lookup_names(spark, d) -> DataFrame:
     """Requested names: each registered name upper-cased, plus Pkg0..Pkg13."""
     ev = T.table(spark, d, "events")
@@ -165,17 +176,22 @@ def _stream_ingest(spark, d):
         return ingest.ingest_requests_by_date(feed, pk, ct, carry=carry)
 
     events = T.table(spark, d, "events")
+    # a file stream watches a folder: that of the table's part files, or of its one file
+    source, options = f"{d.rstrip('/')}/events.parquet", {}
+    if events.inputFiles()[0].endswith("/events.parquet"):
+        source, options = d.rstrip("/"), {"pathGlobFilter": "events.parquet"}
     run_snapshot_ingest(
         spark,
-        source=d.rstrip("/"),
+        source=source,
         source_format="parquet",
         source_schema=events.schema,
-        options={"pathGlobFilter": "events.parquet"},
         to_feed=to_feed,
         transform=transform,
         spec=TABLES["requests_by_date"],
         table_root=f"{root}/tables",
+        options=options,
         checkpoint=f"{root}/checkpoint",
+        dims={"packages": pk, "client_types": ct},
     )
     return spark.read.parquet(f"{root}/tables/requests_by_date").select(*TABLES["requests_by_date"].columns)
 
@@ -204,7 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # all-package series
         "totals_by_date": lambda s, d: R.requests_by(_by_date(s, d), ["date"]),
-        "totals_no_client_types": lambda s, d: R.requests_by(_by_date(s, d), ["date"], client_types=()),
+        "totals_by_toggles": _totals_by_toggles,
         "totals_all_time": lambda s, d: R.requests_by(_by_date(s, d), ["date"], "all", (1, 2, 3)),
         "versions_by_date": lambda s, d: R.requests_by(T.versions_by_date(s, d), ["version", "date"]),
         "version_share": lambda s, d: R.share_by(T.versions_by_date(s, d), "version"),

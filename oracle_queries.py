@@ -37,7 +37,7 @@ SELECT * FROM (VALUES ('user', 1), ('ci', 2), ('missing', 3)) t(client_type, cli
 requests_by_date AS (
 SELECT p.package_id, c.client_type_id, r.date, r.request_count
 FROM (SELECT package_uuid, coalesce(client_type, 'missing') AS client_type, date,
-             CAST(count(*) AS INT) AS request_count
+             count(*) AS request_count
       FROM raw_requests WHERE status < 400 GROUP BY 1, 2, 3) r
 JOIN packages p ON r.package_uuid = p.package_uuid
 JOIN client_types c ON r.client_type = c.client_type
@@ -45,24 +45,24 @@ JOIN client_types c ON r.client_type = c.client_type
 requests_by_region_date AS (
 SELECT p.package_id, c.client_type_id, r.region, r.date, r.request_count
 FROM (SELECT package_uuid, coalesce(client_type, 'missing') AS client_type, region, date,
-             CAST(count(*) AS INT) AS request_count
+             count(*) AS request_count
       FROM raw_requests WHERE status < 400 GROUP BY 1, 2, 3, 4) r
 JOIN packages p ON r.package_uuid = p.package_uuid
 JOIN client_types c ON r.client_type = c.client_type
 ),
 requests_total AS (
-SELECT package_id, client_type_id, CAST(sum(request_count) AS INT) AS request_count
+SELECT package_id, client_type_id, CAST(sum(request_count) AS BIGINT) AS request_count
 FROM requests_by_date GROUP BY 1, 2
 ),
 systems_by_date AS (
 SELECT concat(split_part(system_full, '-', 1), '-', split_part(system_full, '-', 2)) AS system,
-       c.client_type_id, r.date, CAST(count(*) AS INT) AS request_count
+       c.client_type_id, r.date, count(*) AS request_count
 FROM raw_requests r JOIN client_types c ON r.client_type = c.client_type
 GROUP BY 1, 2, 3
 ),
 versions_by_date AS (
 SELECT concat(split_part(version_full, '.', 1), '.', split_part(version_full, '.', 2)) AS version,
-       c.client_type_id, r.date, CAST(count(*) AS INT) AS request_count
+       c.client_type_id, r.date, count(*) AS request_count
 FROM raw_requests r JOIN client_types c ON r.client_type = c.client_type
 GROUP BY 1, 2, 3
 )
@@ -102,30 +102,44 @@ LIMIT 100"""
     )
 
 
+def _totals_by_toggles() -> str:
+    """One scan of the month, summed per choice of client types."""
+    choices = ["", "1", "2", "3", "1,2", "1,3", "2,3", "1,2,3"]
+    rows = ", ".join(f"('{c}')" for c in choices)
+    return _q(
+        body=f"""
+SELECT c.chosen, CAST(coalesce(sum(b.request_count), 0) AS BIGINT) AS total_requests
+FROM (VALUES {rows}) c(chosen)
+LEFT JOIN requests_by_date b ON list_contains(string_split(c.chosen, ','), CAST(b.client_type_id AS VARCHAR))
+  AND b.{_window('requests_by_date', '30 day')}
+GROUP BY c.chosen"""
+    )
+
+
 def _trending(ids=(1,)) -> str:
+    """From the meaning of the report: give every qualifying row its age in
+    days, and per package compare the ages 0..14 with the ages 14..27."""
     m = _asof("requests_by_date")
-
-    def period(lo: str, hi: str) -> str:
-        return f"""
-SELECT k.package_name, sum(f.request_count) AS total_requests
-FROM requests_by_date f JOIN packages k ON f.package_id = k.package_id
-WHERE f.date >= {lo} AND f.date <= {hi} AND f.{_ct(ids)}
-  AND f.request_count > 5 AND k.package_name NOT LIKE '%_jll'
-GROUP BY k.package_name HAVING count(*) > 12"""
-
-    pct = (
-        "((20000 * (recent.total_requests - earlier.total_requests) + earlier.total_requests)"
-        " // (2 * earlier.total_requests)) / 100.0::DOUBLE"
-    )
+    allowed = ", ".join(str(i) for i in ids)
     return _q(
-        f"recent AS ({period(f'{m} - INTERVAL 14 DAY', m)})",
-        f"earlier AS ({period(f'{m} - INTERVAL 27 DAY', f'{m} - INTERVAL 14 DAY')})",
-        body=f"""
-SELECT recent.package_name, {pct} AS percent_change, printf('%.2f%%', {pct}) AS percent_change_fmt
-FROM recent JOIN earlier USING (package_name)
-WHERE recent.total_requests > earlier.total_requests
-ORDER BY percent_change DESC, package_name
-LIMIT 10""",
+        f"aged AS (SELECT package_id, request_count AS n, date_diff('day', date, {m}) AS age FROM requests_by_date"
+        f" WHERE request_count > 5 AND client_type_id IN ({allowed}))",
+        """per_name AS (
+  SELECT package_name,
+         coalesce(sum(n) FILTER (age <= 14), 0) AS now_n, count(*) FILTER (age <= 14) AS now_rows,
+         coalesce(sum(n) FILTER (age >= 14), 0) AS then_n, count(*) FILTER (age >= 14) AS then_rows
+  FROM aged, packages
+  WHERE age BETWEEN 0 AND 27 AND aged.package_id = packages.package_id
+    AND NOT regexp_matches(package_name, '.jll$')
+  GROUP BY package_name
+)""",
+        """growth AS (
+  SELECT package_name, (20000 * (now_n - then_n) + then_n) // (2 * then_n) / 100.0::DOUBLE AS percent_change
+  FROM per_name WHERE least(now_rows, then_rows) > 12 AND now_n > then_n AND then_n > 0
+)""",
+        body="""
+SELECT package_name, percent_change, printf('%.2f%%', percent_change) AS percent_change_fmt
+FROM growth ORDER BY percent_change DESC, package_name LIMIT 10""",
     )
 
 
@@ -332,7 +346,7 @@ def _quality() -> str:
 
 
 _SYSTEMS_FEED = """
-SELECT system_full AS julia_system, client_type, date, CAST(count(*) AS INT) AS request_count
+SELECT system_full AS julia_system, client_type, date, count(*) AS request_count
 FROM raw_requests GROUP BY 1, 2, 3"""
 
 _KEEP_LAST = """
@@ -372,7 +386,7 @@ SELECT * FROM new_t"""
 _SNAPSHOT = """
 SELECT p.package_id, c.client_type_id, r.date, r.request_count
 FROM (SELECT package_uuid, coalesce(client_type, 'missing') AS client_type, date,
-             CAST(count(*) AS INT) AS request_count
+             count(*) AS request_count
       FROM raw_requests WHERE {where} GROUP BY 1, 2, 3) r
 JOIN packages p ON r.package_uuid = p.package_uuid
 JOIN client_types c ON r.client_type = c.client_type"""
@@ -401,9 +415,9 @@ def _cleanse(col: str) -> str:
 _BADGE = """
 SELECT DISTINCT package_name,
        concat('[![Downloads](https://img.shields.io/badge/dynamic/json?url='
-              || 'https%3A%2F%2Fpkgstats.example.org%2Fapi%2Fv1%2Fmonthly_downloads%2F',
+              || 'https%3A%2F%2Fbadges.example.org%2Fapi%2Fv1%2Fmonthly_downloads%2F',
               package_name,
-              '&query=total_requests&suffix=%2Fmonth&label=Downloads)](https://pkgstats.example.org/pkg/',
+              '&query=total_requests&suffix=%2Fmonth&label=Downloads)](https://badges.example.org/pkg/',
               package_name, ')') AS badge
 FROM packages"""
 
@@ -433,7 +447,7 @@ def oracle_sql() -> dict[str, str]:
         "trending": _trending(),
         "trending_all_clients": _trending((1, 2, 3)),
         "totals_by_date": _requests_by("requests_by_date", ["date"]),
-        "totals_no_client_types": _requests_by("requests_by_date", ["date"], ids=()),
+        "totals_by_toggles": _totals_by_toggles(),
         "totals_all_time": _requests_by("requests_by_date", ["date"], "100 years", ids=(1, 2, 3)),
         "versions_by_date": _requests_by("versions_by_date", ["version", "date"]),
         "version_share": _share("versions_by_date", "version"),

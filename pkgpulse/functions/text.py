@@ -16,7 +16,7 @@ CLEANSE_REMOVALS = ("'", '"', "\\", ";", "--", "/", "%")
 REPO_HOST = "github.com/"
 
 BADGE_SERVICE = "https://img.shields.io/badge/dynamic/json"
-DEFAULT_SITE = "https://pkgstats.example.org"
+DEFAULT_SITE = "https://badges.example.org"
 
 
 def cleanse_name(col: Column | str) -> Column:

@@ -7,13 +7,13 @@ unregistered uuids drop out) and client type -> id (unknown types drop out).
 System / version feeds: drop rows with a null in any column, truncate the
 platform / version string, map the client type, and combine rows that now
 share a key (``sum`` by default; ``last`` keeps the row latest in an explicit
-order column, which is what a row-by-row upsert of the feed produces).
+order column; it equals a row-by-row upsert of the feed only if that column
+is unique and follows the feed's row order).
 
 Aggregation runs before the joins: the shuffle carries partial sums, and
 hot keys are combined map-side. The dimension joins then see one row per
-key. The client-type dimension is a 3-row constant (always broadcast); the
-package dimension is broadcast by the planner when its size estimate is
-under the broadcast threshold, shuffle-joined otherwise.
+key. The planner broadcasts a dimension whose size estimate is under the
+broadcast threshold and shuffle-joins it otherwise.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _package_counts(raw: DataFrame, grain: list[str], measures: dict[str, str],
 
 def _map_keys(agg: DataFrame, packages: DataFrame, client_types: DataFrame) -> DataFrame:
     pk = packages.select("package_uuid", "package_id")
-    return agg.join(pk, "package_uuid").join(F.broadcast(client_types), "client_type")
+    return agg.join(pk, "package_uuid").join(client_types, "client_type")
 
 
 # ``carry``: extra columns kept as grouping keys and passed through (the
@@ -70,8 +70,7 @@ def ingest_requests_total(
     measures = {"request_addrs": "request_addrs", "request_count": "request_count"}
     agg = _package_counts(raw, [*carry], measures, strict)
     out = _map_keys(agg, packages, client_types)
-    count = F.col("request_count").cast("int").alias("request_count")
-    return out.select("package_id", "client_type_id", count, *carry)
+    return out.select("package_id", "client_type_id", "request_count", *carry)
 
 
 def ingest_requests_by_date(
@@ -83,8 +82,7 @@ def ingest_requests_by_date(
 ) -> DataFrame:
     agg = _package_counts(raw, ["date", *carry], {"request_count": "request_count"}, strict)
     out = _map_keys(agg, packages, client_types)
-    count = F.col("request_count").cast("int").alias("request_count")
-    return out.select("package_id", "client_type_id", "date", count, *carry)
+    return out.select("package_id", "client_type_id", "date", "request_count", *carry)
 
 
 def ingest_requests_by_region_date(
@@ -96,8 +94,7 @@ def ingest_requests_by_region_date(
 ) -> DataFrame:
     agg = _package_counts(raw, ["region", "date", *carry], {"request_count": "request_count"}, strict)
     out = _map_keys(agg, packages, client_types)
-    count = F.col("request_count").cast("int").alias("request_count")
-    return out.select("package_id", "client_type_id", "region", "date", count, *carry)
+    return out.select("package_id", "client_type_id", "region", "date", "request_count", *carry)
 
 
 def _truncated_feed(
@@ -107,32 +104,37 @@ def _truncated_feed(
     prefix,
     combine: str,
     order_col: str | None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    rows = raw.na.drop(how="any")  # over every feed column, as read
-    mapped = rows.withColumn(key, prefix).join(F.broadcast(client_types), "client_type")
-    keys = [key, "client_type_id", "date"]
+    """Combine to one row per truncated key before the client type is joined."""
+    rows = raw.na.drop(how="any").withColumn(key, prefix)  # over every feed column, as read
+    keys = [key, "client_type", "date", *carry]
     if combine == "sum":
-        out = mapped.groupBy(*keys).agg(F.sum("request_count").cast("int").alias("request_count"))
+        out = rows.groupBy(*keys).agg(F.sum("request_count").alias("request_count"))
     elif combine == "last":
         if not order_col:
             raise ValueError("combine='last' needs an explicit order column")
-        out = keep_last(mapped, keys, [order_col], ["request_count"])
+        out = keep_last(rows, keys, [order_col], ["request_count"])
     else:
         raise ValueError("combine must be 'sum' or 'last'")
-    return out.select(*keys, "request_count")
+    return out.join(client_types, "client_type").select(key, "client_type_id", "date", "request_count", *carry)
 
 
 def ingest_systems_by_date(
-    raw: DataFrame, client_types: DataFrame, combine: str = "sum", order_col: str | None = None
+    raw: DataFrame,
+    client_types: DataFrame,
+    combine: str = "sum",
+    order_col: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    return _truncated_feed(
-        raw, client_types, "system", system_prefix(SYSTEM_FEED_COLUMN), combine, order_col
-    )
+    return _truncated_feed(raw, client_types, "system", system_prefix(SYSTEM_FEED_COLUMN), combine, order_col, carry)
 
 
 def ingest_versions_by_date(
-    raw: DataFrame, client_types: DataFrame, combine: str = "sum", order_col: str | None = None
+    raw: DataFrame,
+    client_types: DataFrame,
+    combine: str = "sum",
+    order_col: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    return _truncated_feed(
-        raw, client_types, "version", version_prefix(VERSION_FEED_COLUMN), combine, order_col
-    )
+    return _truncated_feed(raw, client_types, "version", version_prefix(VERSION_FEED_COLUMN), combine, order_col, carry)

@@ -78,7 +78,7 @@ def merge_into_table(
     The batch is staged first (it is read several times below and may be an
     expensive ingest plan), then merged with the touched partitions only."""
     batch = stage(incoming, spec, spark)
-    target = read_table(spark, spec, root)
+    target = read_table(spark, spec, root, absent_ok=True)
     if not has_rows(target):
         staged = batch  # first load: the merge is the batch itself
     else:

@@ -25,7 +25,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from pkgpulse.operators import ingest
-from pkgpulse.operators.joins import bounded_broadcast
 from pkgpulse.operators.upsert import insert_absent
 from pkgpulse.plans.dimensions import new_packages, refresh_packages
 from pkgpulse.plans.summary import last_month_summary
@@ -44,7 +43,7 @@ from pkgpulse.schemas import (
     VERSIONS_BY_DATE,
 )
 from pkgpulse.sources.registry import client_types_frame, read_registries, union_registries
-from pkgpulse.sources.snapshots import create_if_missing, has_rows, read_feed, read_table
+from pkgpulse.sources.snapshots import create_if_missing, has_rows, read_feed, read_table, table_exists
 
 # feed name -> (target table, ingest function)
 _PACKAGE_FEEDS = {
@@ -58,6 +57,21 @@ _PLATFORM_FEEDS = {
 }
 
 
+def _require_dimensions(spark: SparkSession, root: str) -> None:
+    """Stop before any numbering when facts are stored but a dimension that
+    they refer to is gone or empty: new ids would name other packages."""
+    lost = [
+        d.name
+        for d in (CLIENT_TYPES, PACKAGES)
+        if not table_exists(spark, d, root) or not has_rows(read_table(spark, d, root))
+    ]
+    for spec, _ in (*_PACKAGE_FEEDS.values(), *_PLATFORM_FEEDS.values()) if lost else ():
+        if table_exists(spark, spec, root) and has_rows(read_table(spark, spec, root)):
+            needs = [d for d in lost if d == CLIENT_TYPES.name or "package_id" in spec.columns]
+            if needs:
+                raise RuntimeError(f"{spec.name} has rows but {needs} cannot be found under {root}; restore it first")
+
+
 def run_update(
     spark: SparkSession,
     root: str,
@@ -73,14 +87,15 @@ def run_update(
     written: dict[str, DataFrame] = {}
 
     # Dimensions are rewritten only when something changed (bounded checks).
-    client_types = read_table(spark, CLIENT_TYPES, root)
+    _require_dimensions(spark, root)
+    client_types = read_table(spark, CLIENT_TYPES, root, absent_ok=True)
     constants = client_types_frame(spark)
     if has_rows(constants.join(client_types.select("client_type"), "client_type", "left_anti")):
         ct = insert_absent(client_types, constants, ["client_type"])
         client_types = replace_table(spark, ct, CLIENT_TYPES, root)
         written[CLIENT_TYPES.name] = client_types
 
-    packages = read_table(spark, PACKAGES, root)
+    packages = read_table(spark, PACKAGES, root, absent_ok=True)
     if registries:
         frames = [r for r in registries if isinstance(r, DataFrame)]
         paths = [r for r in registries if isinstance(r, str)]
@@ -92,7 +107,6 @@ def run_update(
             packages = replace_table(spark, refreshed, PACKAGES, root)
             written[PACKAGES.name] = packages
     dims = {PACKAGES.name: packages, CLIENT_TYPES.name: client_types}
-    packages = bounded_broadcast(packages)  # grows with the registry, not the log
 
     def load(feed: str) -> DataFrame:
         src = feeds[feed]

@@ -61,7 +61,7 @@ _CT_REF = {"client_type_id": ("client_types", "client_type_id")}
 
 REQUESTS_TOTAL = TableSpec(
     "requests_total",
-    _schema(("package_id", IntegerType()), ("client_type_id", IntegerType()), ("request_count", IntegerType())),
+    _schema(("package_id", IntegerType()), ("client_type_id", IntegerType()), ("request_count", LongType())),
     keys=("package_id", "client_type_id"),
     references=_DIM_REFS,
     measure="request_count",
@@ -72,7 +72,7 @@ REQUESTS_BY_DATE = TableSpec(
         ("package_id", IntegerType()),
         ("client_type_id", IntegerType()),
         ("date", DateType()),
-        ("request_count", IntegerType()),
+        ("request_count", LongType()),
     ),
     keys=("package_id", "client_type_id", "date"),
     references=_DIM_REFS,
@@ -86,7 +86,7 @@ REQUESTS_BY_REGION_DATE = TableSpec(
         ("client_type_id", IntegerType()),
         ("region", StringType()),
         ("date", DateType()),
-        ("request_count", IntegerType()),
+        ("request_count", LongType()),
     ),
     keys=("package_id", "client_type_id", "region", "date"),
     max_lengths={"region": 10},
@@ -96,7 +96,7 @@ REQUESTS_BY_REGION_DATE = TableSpec(
 )
 SYSTEMS_BY_DATE = TableSpec(
     "systems_by_date",
-    _schema(("system", StringType()), ("client_type_id", IntegerType()), ("date", DateType()), ("request_count", IntegerType())),
+    _schema(("system", StringType()), ("client_type_id", IntegerType()), ("date", DateType()), ("request_count", LongType())),
     keys=("system", "client_type_id", "date"),
     max_lengths={"system": 17},
     references=_CT_REF,
@@ -105,7 +105,7 @@ SYSTEMS_BY_DATE = TableSpec(
 )
 VERSIONS_BY_DATE = TableSpec(
     "versions_by_date",
-    _schema(("version", StringType()), ("client_type_id", IntegerType()), ("date", DateType()), ("request_count", IntegerType())),
+    _schema(("version", StringType()), ("client_type_id", IntegerType()), ("date", DateType()), ("request_count", LongType())),
     keys=("version", "client_type_id", "date"),
     max_lengths={"version": 4},
     references=_CT_REF,
@@ -147,14 +147,14 @@ RAW_FEEDS: dict[str, dict[str, str]] = {
         "client_type": "string",
         "status": "int",
         "request_addrs": "bigint",
-        "request_count": "int",
+        "request_count": "bigint",
     },
     "package_requests_by_date": {
         "package_uuid": "string",
         "client_type": "string",
         "status": "int",
         "date": "date",
-        "request_count": "int",
+        "request_count": "bigint",
     },
     "package_requests_by_region_by_date": {
         "package_uuid": "string",
@@ -162,19 +162,19 @@ RAW_FEEDS: dict[str, dict[str, str]] = {
         "status": "int",
         "region": "string",
         "date": "date",
-        "request_count": "int",
+        "request_count": "bigint",
     },
     "systems_by_date": {
         SYSTEM_FEED_COLUMN: "string",
         "client_type": "string",
         "date": "date",
-        "request_count": "int",
+        "request_count": "bigint",
     },
     "versions_by_date": {
         VERSION_FEED_COLUMN: "string",
         "client_type": "string",
         "date": "date",
-        "request_count": "int",
+        "request_count": "bigint",
     },
     "registry": {"package_uuid": "string", "package_name": "string"},
 }

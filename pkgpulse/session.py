@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     # after a rebalance hint (the curated tables' files)
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # a malformed value fails the cast; it never becomes a null that a filter then drops
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

@@ -29,7 +29,10 @@ def read_feed(
     the ingest's partial aggregation shuffles anyway, so the default is none.
     At scale prefer many files or a splittable codec."""
     types = RAW_FEEDS[feed]
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    header = spark.read.option("header", True).csv(path).schema
+    # enforceSchema off: a file whose header differs from the first one's fails the read
+    checked = spark.read.schema(header).option("header", True).option("enforceSchema", False)
+    raw = checked.option("mode", "FAILFAST").csv(path)
     missing = [c for c in types if c not in raw.columns]
     if missing:
         raise ValueError(f"feed {feed!r} lacks columns {missing}")
@@ -41,29 +44,37 @@ def read_feed(
     return df
 
 
-def read_table(spark: SparkSession, spec: TableSpec | str, root: str) -> DataFrame:
-    """A curated table; an empty frame with the table schema when absent."""
+def table_exists(spark: SparkSession, spec: TableSpec | str, root: str) -> bool:
+    """Whether the table's folder is there; any other failure to read it is raised."""
     spec = TABLES[spec] if isinstance(spec, str) else spec
     try:
-        df = spark.read.schema(spec.schema).parquet(table_path(root, spec))
-    except AnalysisException:
+        spark.read.schema(spec.schema).parquet(table_path(root, spec))  # path listing only, no job
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def read_table(spark: SparkSession, spec: TableSpec | str, root: str, absent_ok: bool = False) -> DataFrame:
+    """A curated table. One that does not exist is an error, or with
+    ``absent_ok`` an empty frame with the table's schema."""
+    spec = TABLES[spec] if isinstance(spec, str) else spec
+    if absent_ok and not table_exists(spark, spec, root):
         return spark.createDataFrame([], spec.schema)
-    return df.select(*spec.columns)
+    return spark.read.schema(spec.schema).parquet(table_path(root, spec)).select(*spec.columns)
 
 
 def create_if_missing(spark: SparkSession, spec: TableSpec, root: str) -> bool:
     """``CREATE TABLE IF NOT EXISTS``: write an empty table with the schema.
     Returns True when the table had to be created."""
-    path = table_path(root, spec)
-    try:
-        spark.read.schema(spec.schema).parquet(path)  # path listing only, no job
+    if table_exists(spark, spec, root):
         return False
-    except AnalysisException:
-        writer = spark.createDataFrame([], spec.schema).write.mode("overwrite")
-        if spec.partition_by:
-            writer = writer.partitionBy(*spec.partition_by)
-        writer.parquet(path)
-        return True
+    writer = spark.createDataFrame([], spec.schema).write.mode("overwrite")
+    if spec.partition_by:
+        writer = writer.partitionBy(*spec.partition_by)
+    writer.parquet(table_path(root, spec))
+    return True
 
 
 def table_path(root: str, spec: TableSpec | str) -> str:

@@ -150,7 +150,7 @@ def systems_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         raw_requests(spark, sf_dir)
         .groupBy(F.col("system_full").alias(SYSTEM_FEED_COLUMN), "client_type", "date")
-        .agg(F.count(F.lit(1)).cast("int").alias("request_count"))
+        .agg(F.count(F.lit(1)).alias("request_count"))
     )
 
 
@@ -160,7 +160,7 @@ def versions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         raw_requests(spark, sf_dir)
         .groupBy(F.col("version_full").alias(VERSION_FEED_COLUMN), "client_type", "date")
-        .agg(F.count(F.lit(1)).cast("int").alias("request_count"))
+        .agg(F.count(F.lit(1)).alias("request_count"))
     )
 
 

@@ -7,17 +7,22 @@ upsert replaces by key, so replaying a micro-batch after a failure gives the
 same table (the checkpoint records which files were done).
 
 A snapshot must be aggregated whole, and two snapshots of one feed must not
-be added up. Every row is tagged with its file (``_metadata``); the ingest
-carries that tag as an extra grouping key, and ``keep_last`` then keeps for
-each key the row of the newest file (modification time, then path). No
-``maxFilesPerTrigger`` is set, so a file is never split across micro-batches.
+be added up. Every row is tagged with its snapshot: by default the folder of
+its file, or any column of ``_metadata`` that the caller names. The ingest
+carries that tag as an extra grouping key, so all part files of a snapshot are
+summed; ``keep_last`` then keeps for each key the row of the newest snapshot
+(that of the newest file, then by name). No ``maxFilesPerTrigger`` is set, so
+what is there is read in one micro-batch. A snapshot whose files come in two
+micro-batches would replace itself by a part: it is refused with an error, by
+a list of the snapshots of earlier micro-batches next to the checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,22 +30,42 @@ from pkgpulse.operators.upsert import keep_last
 from pkgpulse.plans.tables import merge_into_table
 from pkgpulse.schemas import TableSpec
 
-SNAPSHOT_COLS = ("_snapshot_time", "_snapshot_path")
+SNAPSHOT_COLS = ("_snapshot",)
+_SEEN = "epoch long, _snapshot string"
 
 
-def tag_snapshot(df: DataFrame) -> DataFrame:
-    """Add the source file's modification time and path to every row."""
+def by_folder() -> Column:
+    """The folder of a row's file."""
+    return F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+
+
+def tag_snapshot(df: DataFrame, snapshot: Column | None = None) -> DataFrame:
+    """Add the snapshot and the source file's modification time to every row."""
     return df.select(
         "*",
+        (by_folder() if snapshot is None else snapshot).cast("string").alias("_snapshot"),
         F.col("_metadata.file_modification_time").alias("_snapshot_time"),
-        F.col("_metadata.file_path").alias("_snapshot_path"),
     )
 
 
-def newest_per_key(rows: DataFrame, spec: TableSpec, order: Sequence[str] = SNAPSHOT_COLS) -> DataFrame:
-    """One row per table key: the one from the newest snapshot."""
+def newest_per_key(rows: DataFrame, spec: TableSpec, snapshots: DataFrame) -> DataFrame:
+    """One row per table key: the one from the newest snapshot. ``snapshots``
+    is (_snapshot, _snapshot_time), one row each."""
     values = [c for c in spec.columns if c not in spec.keys]
-    return keep_last(rows, list(spec.keys), list(order), values).select(*spec.columns)
+    dated = rows.join(snapshots, "_snapshot")
+    return keep_last(dated, list(spec.keys), ["_snapshot_time", "_snapshot"], values).select(*spec.columns)
+
+
+def _refuse_parts(spark: SparkSession, snapshots: DataFrame, epoch: int, seen: str) -> None:
+    try:
+        earlier = spark.read.schema(_SEEN).parquet(seen)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    again = snapshots.join(earlier.where(F.col("epoch") != epoch), "_snapshot", "left_semi").select("_snapshot").take(5)
+    if again:
+        raise RuntimeError(f"files of {[r[0] for r in again]} came after the snapshot was ingested; load it whole")
 
 
 def run_snapshot_ingest(
@@ -56,23 +81,32 @@ def run_snapshot_ingest(
     options: dict[str, str] | None = None,
     await_termination: bool = True,
     trigger: dict | None = None,
+    snapshot: Column | None = None,
+    dims: Mapping[str, DataFrame] | None = None,
 ):
     """Start (and by default finish) the ingest stream.
 
     ``to_feed(batch)`` maps stream rows to feed rows and must keep the
     ``SNAPSHOT_COLS``; ``transform(feed, carry)`` is the batch ingest, carrying
-    those columns as extra keys. ``trigger`` defaults to
+    those columns as extra keys; ``snapshot`` names a row's snapshot (default:
+    its file's folder); ``dims`` are checked as foreign keys. ``trigger`` defaults to
     ``{"availableNow": True}`` (process what is there, then stop); pass e.g.
     ``{"processingTime": "1 hour"}`` with ``await_termination=False`` to keep
     watching the folder."""
     reader = spark.readStream.format(source_format).schema(source_schema)
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
-    stream = tag_snapshot(reader.load(source))
+    stream = tag_snapshot(reader.load(source), snapshot)
+    seen = f"{checkpoint.rstrip('/')}-snapshots"
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        rows = newest_per_key(transform(to_feed(batch), SNAPSHOT_COLS), spec)
-        merge_into_table(batch.sparkSession, rows, spec, table_root)
+        own = batch.sparkSession
+        snapshots = batch.groupBy("_snapshot").agg(F.max("_snapshot_time").alias("_snapshot_time"))
+        _refuse_parts(own, snapshots, epoch_id, seen)
+        rows = newest_per_key(transform(to_feed(batch.drop("_snapshot_time")), SNAPSHOT_COLS), spec, snapshots)
+        merge_into_table(own, rows, spec, table_root, dims)
+        done = snapshots.select(F.lit(epoch_id).cast("long").alias("epoch"), "_snapshot")
+        done.write.mode("append").parquet(seen)
 
     query = (
         stream.writeStream.foreachBatch(process)

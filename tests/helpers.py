@@ -1,6 +1,6 @@
 import datetime as dt
 
-from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
 D = dt.date
 
@@ -9,7 +9,7 @@ BY_DATE = StructType(
         StructField("package_id", IntegerType()),
         StructField("client_type_id", IntegerType()),
         StructField("date", DateType()),
-        StructField("request_count", IntegerType()),
+        StructField("request_count", LongType()),
     ]
 )
 PACKAGES = StructType(

@@ -57,7 +57,7 @@ def test_read_feed_keeps_extra_columns_and_types(spark, scratch):
     df = read_feed(spark, "package_requests", path, partitions=2)
     assert df.columns[:5] == ["package_uuid", "client_type", "status", "request_addrs", "request_count"]
     assert "cache_misses" in df.columns
-    assert dict(df.dtypes)["request_count"] == "int"
+    assert dict(df.dtypes)["request_count"] == "bigint"
     assert df.where(F.col("client_type").isNull()).count() == 1
 
 
@@ -116,9 +116,12 @@ def test_quality_failure_leaves_table_untouched(spark, scratch):
 def test_stream_two_snapshots_newest_wins(spark, scratch):
     src = f"{scratch}/incoming"
     header = "package_uuid,client_type,status,date,request_count"
-    _csv(f"{src}/snap1.csv", header, ["u1,user,200,2024-03-31,5", "u1,user,200,2024-03-30,1"])
+    _csv(f"{src}/snap1/part-0.csv", header, ["u1,user,200,2024-03-31,5"])
+    _csv(f"{src}/snap1/part-1.csv", header, ["u1,user,200,2024-03-30,1", "u1,user,200,2024-03-29,4"])
+    _csv(f"{src}/snap1/part-2.csv", header, ["u1,user,200,2024-03-29,3"])
     time.sleep(1.1)
-    _csv(f"{src}/snap2.csv", header, ["u1,user,200,2024-03-31,8"])
+    for i, n in enumerate((1, 2, 5)):
+        _csv(f"{src}/snap2/part-{i}.csv", header, [f"u1,user,200,2024-03-31,{n}"])
     pk = spark.createDataFrame([(1, "u1", "Foo")], TABLES["packages"].schema)
     from pkgpulse.sources.registry import client_types_frame
 
@@ -134,12 +137,12 @@ def test_stream_two_snapshots_newest_wins(spark, scratch):
         spec=TABLES["requests_by_date"],
         table_root=f"{scratch}/tables",
         checkpoint=f"{scratch}/chk",
-        options={"header": "true"},
+        options={"header": "true", "recursiveFileLookup": "true"},
     )
     got = rows(read_table(spark, "requests_by_date", f"{scratch}/tables"))
-    assert got == [(1, 1, D(2024, 3, 30), 1), (1, 1, D(2024, 3, 31), 8)]
+    assert got == [(1, 1, D(2024, 3, 29), 7), (1, 1, D(2024, 3, 30), 1), (1, 1, D(2024, 3, 31), 8)]
     # a later snapshot in a new micro-batch replaces again
-    _csv(f"{src}/snap3.csv", header, ["u1,user,200,2024-03-31,9"])
+    _csv(f"{src}/snap3/part-0.csv", header, ["u1,user,200,2024-03-31,9"])
     run_snapshot_ingest(
         spark,
         source=src,
@@ -150,10 +153,10 @@ def test_stream_two_snapshots_newest_wins(spark, scratch):
         spec=TABLES["requests_by_date"],
         table_root=f"{scratch}/tables",
         checkpoint=f"{scratch}/chk",
-        options={"header": "true"},
+        options={"header": "true", "recursiveFileLookup": "true"},
     )
     got = rows(read_table(spark, "requests_by_date", f"{scratch}/tables"))
-    assert got == [(1, 1, D(2024, 3, 30), 1), (1, 1, D(2024, 3, 31), 9)]
+    assert got == [(1, 1, D(2024, 3, 29), 7), (1, 1, D(2024, 3, 30), 1), (1, 1, D(2024, 3, 31), 9)]
 
 
 def schema_struct(spark, ddl):
@@ -161,7 +164,62 @@ def schema_struct(spark, ddl):
 
 
 def test_snapshot_cols_constant():
-    assert SNAPSHOT_COLS == ("_snapshot_time", "_snapshot_path")
+    assert SNAPSHOT_COLS == ("_snapshot",)
+
+
+def test_late_part_of_a_snapshot_is_refused(spark, scratch):
+    src, header = f"{scratch}/incoming", "julia_version_prefix,client_type,date,request_count"
+    from pkgpulse.sources.registry import client_types_frame
+
+    def load():
+        run_snapshot_ingest(
+            spark,
+            source=src,
+            source_format="csv",
+            source_schema=schema_struct(spark, "julia_version_prefix string, client_type string, date date, request_count bigint"),
+            to_feed=lambda b: b,
+            transform=lambda feed, carry: ingest.ingest_versions_by_date(feed, client_types_frame(spark), carry=carry),
+            spec=TABLES["versions_by_date"],
+            table_root=f"{scratch}/tables",
+            checkpoint=f"{scratch}/chk",
+            options={"header": "true", "recursiveFileLookup": "true"},
+        )
+
+    _csv(f"{src}/s1/a.csv", header, ["1.9.1,user,2024-03-31,5", "1.9.2,user,2024-03-31,2"])
+    _csv(f"{src}/s1/b.csv", header, ["1.9.3,user,2024-03-31,4"])
+    load()
+    want = [("1.9", 1, D(2024, 3, 31), 11)]
+    assert rows(read_table(spark, "versions_by_date", f"{scratch}/tables")) == want
+    _csv(f"{src}/s1/c.csv", header, ["1.9.1,user,2024-03-31,100"])
+    with pytest.raises(Exception, match="came after the snapshot"):
+        load()
+    assert rows(read_table(spark, "versions_by_date", f"{scratch}/tables")) == want
+
+
+def test_lost_dimension_stops_the_update(spark, scratch):
+    root = f"{scratch}/wh"
+    fact = spark.createDataFrame([(1, 1, 5)], TABLES["requests_total"].schema)
+    merge_into_table(spark, fact, TABLES["requests_total"], root)
+    registry = spark.createDataFrame([("u0", "New")], "package_uuid string, package_name string")
+    with pytest.raises(RuntimeError, match="packages"):
+        run_update(spark, root, {}, [registry])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_table(spark, "packages", root)
+
+
+def test_feed_with_another_header_order_fails(spark, scratch):
+    _csv(f"{scratch}/f/a.csv", "julia_system,client_type,date,request_count", ["x86_64-linux-gnu,user,2024-01-01,1"])
+    _csv(f"{scratch}/f/b.csv", "client_type,julia_system,date,request_count", ["user,x86_64-linux-gnu,2024-01-01,1"])
+    with pytest.raises(Exception, match="header|Header"):
+        read_feed(spark, "systems_by_date", f"{scratch}/f").collect()
+
+
+def test_sums_beyond_32_bits(spark):
+    from pkgpulse.sources.registry import client_types_frame
+
+    feed = spark.createDataFrame([("u1", "user", 200, 1, 2_000_000_000)] * 2, "package_uuid string, client_type string, status int, request_addrs bigint, request_count bigint")
+    pk = spark.createDataFrame([(1, "u1", "Foo")], TABLES["packages"].schema)
+    assert rows(ingest.ingest_requests_total(feed, pk, client_types_frame(spark))) == [(1, 1, 4_000_000_000)]
 
 
 def test_registry_csv_extracts_first_wins(spark, scratch):

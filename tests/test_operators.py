@@ -38,7 +38,7 @@ def test_package_feed_cleaning(spark):
         "package_id": "int",
         "client_type_id": "int",
         "date": "date",
-        "request_count": "int",
+        "request_count": "bigint",
     }
 
 

@@ -3,7 +3,6 @@
 import contextlib
 import io
 
-from pkgpulse.operators.joins import bounded_broadcast
 from pkgpulse.session import shared_dir
 
 
@@ -19,18 +18,3 @@ def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir().removeprefix("file:")
     assert current.startswith(configured.rstrip("/"))
-
-
-def test_bounded_broadcast_only_under_the_bound(spark):
-    big = spark.range(0, 1000).withColumnRenamed("id", "k")
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-    previous = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        hinted = big.join(bounded_broadcast(small, max_rows=10), "k")
-        assert "BroadcastHashJoin" in _plan(hinted)
-        plain = big.join(bounded_broadcast(small, max_rows=9), "k")
-        assert "BroadcastHashJoin" not in _plan(plain)
-        assert hinted.count() == plain.count() == 10
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", previous)
