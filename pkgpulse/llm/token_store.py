@@ -50,7 +50,7 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: a shard is closed once its payload reaches this size
 SHARD_BYTES = 4 << 20
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class WordEncoder(dict):
