@@ -50,7 +50,7 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: a shard is closed once its payload reaches this size
 SHARD_BYTES = 4 << 20
-MEMO = 1_000_000
+MEMO = 800_000
 
 
 class WordEncoder(dict):
@@ -66,17 +66,23 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text, then the end id."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in self})
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = list({w for words in cut for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
         last = np.array([end], "<u4").tobytes()
-        return [b"".join([*map(self.__getitem__, words), last]) for words in cut]
+        return [b"".join([*self.known(t.replace("\n", " ").split(" ")), last]) for t in texts]
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; those not remembered are encoded together."""
+        ids = list(map(self.get, words))
+        if None in ids:
+            new = list({w for w, x in zip(words, ids, strict=True) if x is None})
+            if len(self) + len(new) > MEMO:
+                self.clear()
+                new = list(set(words))
+            for i in range(0, len(new), 20_000):
+                part = new[i : i + 20_000]
+                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+            ids = list(map(self.__getitem__, words))
+        return ids
 
 
 @cache
