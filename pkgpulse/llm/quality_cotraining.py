@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: i
     rows = known.withColumn("label", F.col("label").cast("double")).unionByName(unknown)
     found = rows.mapInPandas(_views, "doc_id long, label double, content array<float>, meta array<float>").toPandas()
     found["order"] = [zlib.crc32(str(i).encode()) for i in found["doc_id"]]
-    found["tie"] = [x.tobytes() for x in found["content"]]
+    # arrays, or lists where the session converts without Arrow
+    found["tie"] = [np.asarray(x, np.float32).tobytes() for x in found["content"]]
     found = found.sort_values(["order", "doc_id", "label", "tie"], kind="stable")
 
     def matrix(part: pd.DataFrame, column: str, width: int) -> np.ndarray:

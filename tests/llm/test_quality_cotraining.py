@@ -23,6 +23,23 @@ def test_held_out_accuracy_and_clean_documents_stay(spark):
     assert max(abs(got[r.doc_id].score - r.score) for r in again) < 1e-6
 
 
+def test_fit_without_arrow_conversion(spark):
+    """A session with Spark's default settings fits the same model."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    want = C.fit(docs, labels)
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = C.fit(docs, labels)
+    finally:
+        spark.conf.set(key, before)
+    assert got.share == want.share and got.exchanged == want.exchanged
+    for a, b in zip(got.views, want.views, strict=True):
+        assert np.allclose(a.weights, b.weights)
+
+
 def test_each_view_teaches_the_other():
     """With few labels, the pool makes the weak view better than labels alone."""
     rng = np.random.default_rng(4)
