@@ -27,9 +27,11 @@ from pkgpulse.functions.text import cleanse_name, url_contains  # noqa: E402
 from pkgpulse.operators import ingest, quality, upsert  # noqa: E402
 from pkgpulse.operators.shares import as_series  # noqa: E402
 from pkgpulse.plans import dimensions, reports, summary  # noqa: E402
+from pkgpulse.plans.update import run_update  # noqa: E402
 from pkgpulse.schemas import TABLES  # noqa: E402
 from pkgpulse.session import shared_dir  # noqa: E402
 from pkgpulse.sources import testdata as T  # noqa: E402
+from pkgpulse.sources.snapshots import read_table  # noqa: E402
 from pkgpulse.streaming.snapshots import SNAPSHOT_COLS, run_snapshot_ingest  # noqa: E402
 
 # the training-data operators are optional: without their subpackage the rest works
@@ -136,8 +138,8 @@ def _quality(spark, d):
         "requests_total": T.requests_total(spark, d),
     }
     out = None
-    for name in oracle_queries.QUALITY_TABLES:
-        part = quality.violations(frames[name], TABLES[name], dims)
+    for name, frame in frames.items():
+        part = quality.violations(frame, TABLES[name], dims)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -152,6 +154,67 @@ def _chart_series(spark, d):
     return series.select("region", F.size("points").cast("bigint").alias("n_points"), F.to_json("points").alias("points_json"))
 
 
+def _package_region_series(spark, d):
+    totals = reports.package_requests_by(_by_region(spark, d), T.packages(spark, d), ["region", "date"])
+    series = as_series(totals, ["package_key", "region"])
+    return series.select(
+        "package_key", "region", F.size("points").cast("bigint").alias("n_points"), F.to_json("points").alias("points_json")
+    )
+
+
+def _update_job(spark, d):
+    """The whole update job, twice, from CSV part files in the shared folder.
+
+    The first run loads all but the last ten days, with failed requests
+    counted as good ones, for the first registry; the second one the correct
+    feeds, with one more registry. Returns the rows of all eight tables."""
+    root = f"{shared_dir(spark)}/update_job/{uuid.uuid4().hex}"
+    log = T.package_feed(spark, d).withColumn("region", F.replace("region", F.lit(" "), F.lit("")))
+    feeds = {
+        "package_requests": log,
+        "package_requests_by_date": log,
+        "package_requests_by_region_by_date": log,
+        "systems_by_date": T.systems_feed(spark, d),
+        "versions_by_date": T.versions_feed(spark, d),
+    }
+    cut = F.date_sub(log.select(F.max("date")).scalar(), 10)
+    early = {name: feed.where(F.col("date") <= cut) for name, feed in feeds.items()}
+    early = {n: f.withColumn("status", F.lit(200)) if "status" in f.columns else f for n, f in early.items()}
+    registered = T.packages(spark, d).select("package_uuid", "package_name")
+
+    def csv(run: str, name: str, frame: DataFrame) -> str:
+        path = f"{root}/{run}/{name}"
+        frame.repartition(3).write.option("header", True).csv(path)
+        return path
+
+    first, second = csv("in1", "registry1", registered), csv("in2", "registry2", _registry_extracts(spark, d)[1])
+    run_update(spark, f"{root}/tables", {n: csv("in1", n, f) for n, f in early.items()}, [first])
+    run_update(spark, f"{root}/tables", {n: csv("in2", n, f) for n, f in feeds.items()}, [first, second])
+    out = None
+    for name, label in (
+        ("packages", F.concat_ws(" ", "package_uuid", "package_name")),
+        ("client_types", F.col("client_type")),
+        ("requests_total", F.lit("")),
+        ("requests_by_date", F.lit("")),
+        ("requests_by_region_date", F.col("region")),
+        ("systems_by_date", F.col("system")),
+        ("versions_by_date", F.col("version")),
+        ("requests_last_month", F.lit("")),
+    ):
+        rows, spec = read_table(spark, name, f"{root}/tables"), TABLES[name]
+        has = lambda c, none, cols=spec.columns: F.col(c) if c in cols else F.lit(none)
+        part = rows.select(
+            F.lit(name).alias("table_name"),
+            has("package_id", 0).alias("package_id"),
+            has("client_type_id", 0).alias("client_type_id"),
+            label.alias("label"),
+            has("date", "").cast("string").alias("date"),
+            (F.col(spec.measure) if spec.measure else F.lit(0)).cast("bigint").alias("n"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _system_labels(spark, d):
     systems = T.systems_by_date(spark, d).select("system").distinct()
     return systems.select(
@@ -196,6 +259,34 @@ def _stream_ingest(spark, d):
     return spark.read.parquet(f"{root}/tables/requests_by_date").select(*TABLES["requests_by_date"].columns)
 
 
+def _spread_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Reports over a log of 150 dates: every window leaves rows out."""
+
+    def on(table: str, report: Callable[[DataFrame, DataFrame], DataFrame]):
+        return lambda s, d: report(T.spread_tables(s, d)[table], T.packages(s, d))
+
+    def downloads(s, d):
+        month = summary.last_month_summary(T.spread_tables(s, d)["requests_by_date"])
+        return summary.monthly_downloads(month, T.packages(s, d), _lookup_names(s, d))
+
+    R, by_date, by_region = reports, "requests_by_date", "requests_by_region_date"
+    return {
+        "spread_totals_30d": on(by_date, lambda t, p: R.requests_by(t, ["date"])),
+        "spread_totals_60d": on(by_date, lambda t, p: R.requests_by(t, ["date"], "60d")),
+        "spread_totals_120d": on(by_date, lambda t, p: R.requests_by(t, ["date"], "120d")),
+        "spread_totals_all": on(by_date, lambda t, p: R.requests_by(t, ["date"], "all", (1, 2, 3))),
+        "spread_version_share": on("versions_by_date", lambda t, p: R.share_by(t, "version", "60d")),
+        "spread_region_share": on(by_region, lambda t, p: R.share_by(t, "region", "120d")),
+        "spread_systems": on("systems_by_date", lambda t, p: R.systems_by(t, "Full")),
+        "spread_top_month": on(by_date, lambda t, p: R.top_packages(t, p, "1 month")),
+        "spread_kpis": on(by_date, lambda t, p: R.request_kpis(t)),
+        "spread_package_by_date": on(by_date, R.package_daily),
+        "spread_package_region_share": on(by_region, lambda t, p: R.package_share_by(t, p, "region")),
+        "spread_summary_last_month": on(by_date, lambda t, p: summary.last_month_summary(t)),
+        "spread_monthly_downloads": downloads,
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     R = reports
     return {
@@ -257,8 +348,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "url_contains": lambda s, d: T.table(s, d, "pages")
         .where(url_contains("url", "example.org/"))
         .select("page_id", "url"),
-        # streaming
+        "package_region_series": _package_region_series,
+        # the whole job, and streaming
+        "update_job": _update_job,
         "stream_ingest": _stream_ingest,
+        # windows over a longer log
+        **_spread_queries(),
         **(llm.queries() if llm else {}),
     }
 

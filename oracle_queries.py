@@ -8,8 +8,6 @@ plain SQL, independently of the Spark builders. Sums are cast to BIGINT
 
 from __future__ import annotations
 
-from pkgpulse.schemas import TABLES
-
 FIXTURE_CTES = """
 raw_requests AS (
 SELECT concat('uuid-', user_id % 12) AS package_uuid,
@@ -306,41 +304,71 @@ FROM asked a LEFT JOIN per_key s ON lower(a.package_name) = s.package_key""",
     )
 
 
-QUALITY_TABLES = (
-    "packages",
-    "requests_by_date",
-    "requests_by_region_date",
-    "systems_by_date",
-    "versions_by_date",
-    "requests_total",
-)
+# table -> columns, column limits, unique keys, (column, dimension) references
+_PACKAGE, _CLIENT = ("package_id", "packages"), ("client_type_id", "client_types")
+QUALITY_TABLES = {
+    "packages": (
+        ["package_id", "package_uuid", "package_name"],
+        {"package_uuid": 36, "package_name": 100},
+        ["package_id", "package_uuid"],
+        [],
+    ),
+    "requests_by_date": (
+        ["package_id", "client_type_id", "date", "request_count"],
+        {},
+        ["package_id,client_type_id,date"],
+        [_PACKAGE, _CLIENT],
+    ),
+    "requests_by_region_date": (
+        ["package_id", "client_type_id", "region", "date", "request_count"],
+        {"region": 10},
+        ["package_id,client_type_id,region,date"],
+        [_PACKAGE, _CLIENT],
+    ),
+    "systems_by_date": (
+        ["system", "client_type_id", "date", "request_count"],
+        {"system": 17},
+        ["system,client_type_id,date"],
+        [_CLIENT],
+    ),
+    "versions_by_date": (
+        ["version", "client_type_id", "date", "request_count"],
+        {"version": 4},
+        ["version,client_type_id,date"],
+        [_CLIENT],
+    ),
+    "requests_total": (
+        ["package_id", "client_type_id", "request_count"],
+        {},
+        ["package_id,client_type_id"],
+        [_PACKAGE, _CLIENT],
+    ),
+}
 
 
 def _quality() -> str:
-    """DQ checks stated in SQL for each table of the spec."""
+    """DQ checks stated in SQL, from the limits and keys above."""
     parts = []
-    for name in QUALITY_TABLES:
-        spec = TABLES[name]
-        for c in spec.columns:
+    for name, (columns, limits, keys, references) in QUALITY_TABLES.items():
+        for c in columns:
             parts.append(
                 f"SELECT '{name}' AS table_name, 'not_null' AS check_name, '{c}' AS column_name,"
                 f" CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS violations FROM {name}"
             )
-        for c, n in spec.max_lengths.items():
+        for c, n in limits.items():
             parts.append(
                 f"SELECT '{name}', 'max_length', '{c}',"
                 f" CAST(count(*) FILTER (WHERE length({c}) > {n}) AS BIGINT) FROM {name}"
             )
-        for keys in (spec.keys, *spec.unique):
-            k = ", ".join(keys)
+        for k in keys:
             parts.append(
-                f"SELECT '{name}', 'unique', '{','.join(keys)}', CAST(count(*) AS BIGINT)"
+                f"SELECT '{name}', 'unique', '{k}', CAST(count(*) AS BIGINT)"
                 f" FROM (SELECT {k} FROM {name} GROUP BY {k} HAVING count(*) > 1) d"
             )
-        for c, (dim, dc) in spec.references.items():
+        for c, dim in references:
             parts.append(
                 f"SELECT '{name}', 'foreign_key', '{c}', CAST(count(*) AS BIGINT) FROM {name} t"
-                f" WHERE NOT EXISTS (SELECT 1 FROM {dim} d WHERE d.{dc} = t.{c})"
+                f" WHERE NOT EXISTS (SELECT 1 FROM {dim} d WHERE d.{c} = t.{c})"
             )
     return _q(body="\nUNION ALL\n".join(parts))
 
@@ -429,8 +457,91 @@ SELECT DISTINCT system,
 FROM systems_by_date"""
 
 
+_PACKAGE_SERIES = f"""
+SELECT package_key, region, count(*) AS n_points,
+       CAST(to_json(list({{'date': date, 'total_requests': total_requests}} ORDER BY date)) AS VARCHAR) AS points_json
+FROM ({_package_by('requests_by_region_date', ['region', 'date'])}) t
+GROUP BY package_key, region"""
+
+
+def _update_job() -> str:
+    """Both runs of the job at once: a key that the second run's feed holds
+    has that feed's count, any other one the first run's."""
+
+    def stored(*keys: str) -> str:
+        k = ", ".join(("package_id", "client_type_id", *keys))
+        return f"""SELECT {k}, CAST(if(new_n > 0, new_n, old_n) AS BIGINT) AS n
+FROM (SELECT {k}, count(*) FILTER (good) AS new_n, count(*) FILTER (early) AS old_n FROM job_log GROUP BY {k}) g
+WHERE new_n + old_n > 0"""
+
+    def rows(name: str, source: str, package="package_id", client="client_type_id", label="''", date="''", n="n") -> str:
+        return (
+            f"SELECT '{name}' AS table_name, {package} AS package_id, {client} AS client_type_id, {label} AS label,"
+            f" CAST({date} AS VARCHAR) AS date, CAST({n} AS BIGINT) AS n FROM {source}"
+        )
+
+    month = "(SELECT max(date) FROM job_by_date) - INTERVAL 1 MONTH"
+    parts = [
+        rows("packages", "job_packages", client="0", label="concat(package_uuid, ' ', package_name)", n="0"),
+        rows("client_types", "client_types", package="0", label="client_type", n="0"),
+        rows("requests_total", f"({stored()}) t"),
+        rows("requests_by_date", "job_by_date", date="date"),
+        rows("requests_by_region_date", f"({stored('region', 'date')}) t", label="region", date="date"),
+        rows("systems_by_date", "systems_by_date", package="0", label="system", date="date", n="request_count"),
+        rows("versions_by_date", "versions_by_date", package="0", label="version", date="date", n="request_count"),
+        rows(
+            "requests_last_month",
+            f"(SELECT package_id, client_type_id, sum(n) AS n FROM job_by_date WHERE date > {month} GROUP BY ALL) t",
+        ),
+    ]
+    return _q(
+        """job_packages AS (
+SELECT CAST(row_number() OVER (ORDER BY package_uuid) AS INT) AS package_id, package_uuid, package_name, true AS at_first
+FROM packages
+UNION ALL
+SELECT CAST((SELECT count(*) FROM packages) + row_number() OVER (ORDER BY package_uuid) AS INT), package_uuid,
+       concat('Reg', substr(package_uuid, 6)), false
+FROM (SELECT DISTINCT package_uuid FROM raw_requests WHERE package_uuid NOT IN (SELECT package_uuid FROM packages)) r
+)""",
+        """job_log AS (
+SELECT package_id, client_type_id, replace(region, ' ', '') AS region, date, status < 400 AS good,
+       at_first AND date <= (SELECT max(date) FROM raw_requests) - INTERVAL 10 DAY AS early
+FROM raw_requests r JOIN job_packages USING (package_uuid)
+JOIN client_types c ON coalesce(r.client_type, 'missing') = c.client_type
+)""",
+        f"job_by_date AS ({stored('date')})",
+        body="\nUNION ALL\n".join(parts),
+    )
+
+
+def _spread(sql: str) -> str:
+    """The same statement over the log spread over 150 dates."""
+    return sql.replace("CAST(ts AS DATE) AS date", "CAST(ts AS DATE) - CAST(event_id % 5 * 30 AS INT) AS date")
+
+
+def _spread_sql() -> dict[str, str]:
+    """Reports over 150 dates, so that every window leaves rows out."""
+    region_date = _package_by("requests_by_region_date", ["region", "date"])
+    reports = {
+        "spread_totals_30d": _requests_by("requests_by_date", ["date"]),
+        "spread_totals_60d": _requests_by("requests_by_date", ["date"], "60 day"),
+        "spread_totals_120d": _requests_by("requests_by_date", ["date"], "120 day"),
+        "spread_totals_all": _requests_by("requests_by_date", ["date"], "100 years", ids=(1, 2, 3)),
+        "spread_version_share": _share("versions_by_date", "version", "60 day"),
+        "spread_region_share": _share("requests_by_region_date", "region", "120 day"),
+        "spread_systems": _q(body=_systems_sql("Full")),
+        "spread_top_month": _top("1 month"),
+        "spread_kpis": _kpis_all(),
+        "spread_package_by_date": _q(body=_package_by("requests_by_date", ["date"])),
+        "spread_package_region_share": _q(f"t AS ({region_date})", body=_share_sql("region", "package_key, date")),
+        "spread_summary_last_month": _q(body=_SUMMARY),
+        "spread_monthly_downloads": _lookup("summary_t", "total_requests"),
+    }
+    return {name: _spread(sql) for name, sql in reports.items()}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    return _spread_sql() | {
         "ingest_total": _q(body="SELECT * FROM requests_total"),
         "ingest_by_date": _q(body="SELECT * FROM requests_by_date"),
         "ingest_by_region_date": _q(body="SELECT * FROM requests_by_region_date"),
@@ -475,5 +586,7 @@ def oracle_sql() -> dict[str, str]:
         "cleanse_props": f"SELECT event_id, {_cleanse('props')} AS cleansed FROM events",
         "chart_series": _q(body=_SERIES),
         "url_contains": "SELECT page_id, url FROM pages WHERE contains(url, 'example.org/')",
+        "package_region_series": _q(body=_PACKAGE_SERIES),
+        "update_job": _update_job(),
         "stream_ingest": _q(body="SELECT * FROM requests_by_date"),
     }

@@ -40,12 +40,14 @@ def with_daily_share(
 
 def as_series(
     df: DataFrame,
-    series_col: str | None,
+    series_col: str | Sequence[str] | None,
     y_col: str = "total_requests",
     x_col: str = "date",
 ) -> DataFrame:
-    """One row per series: ``points`` = sorted array of (x, y) structs."""
+    """One row per series (one or several key columns, or None for a single
+    series): ``points`` = sorted array of (x, y) structs. Rows are summed to
+    one per series and x first, so a series is as long as its calendar."""
+    keys = [] if series_col is None else [series_col] if isinstance(series_col, str) else list(series_col)
+    summed = df.groupBy(*keys, x_col).agg(F.sum(y_col).alias(y_col))
     points = F.sort_array(F.collect_list(F.struct(F.col(x_col), F.col(y_col)))).alias("points")
-    if series_col is None:
-        return df.agg(points)
-    return df.groupBy(series_col).agg(points)
+    return summed.groupBy(*keys).agg(points)

@@ -86,6 +86,13 @@ def _named(rows: DataFrame, packages: DataFrame) -> DataFrame:
     return rows.join(names, "package_id")
 
 
+def _per_id(rows: DataFrame, cols: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Aggregates per package id, so that the name join sees one row per id
+    (and ``cols``) and not every row of the window. Sums and counts per id add
+    up to those of a name that several ids share."""
+    return rows.groupBy("package_id", *cols).agg(*aggregates)
+
+
 # ---------------------------------------------------------------- totals
 
 
@@ -120,11 +127,13 @@ def package_requests_by(
     ``order='auto'`` sorts a single package's rows for display and leaves
     the all-package batch unsorted (it feeds other jobs; a global sort of
     every package's rows would be a needless range shuffle)."""
-    rows = _named(_window_rows(fact, timeframe, client_types), packages)
+    rows = _window_rows(fact, timeframe, client_types)
     keys = list(group_cols)
     if package_name is not None:
-        rows = rows.where(name_match(package_name))
+        # the name join is a filter here: it goes before the aggregation
+        rows = _named(rows, packages).where(name_match(package_name))
     else:
+        rows = _named(_per_id(rows, keys, F.sum("request_count").alias("request_count")), packages)
         keys = ["package_key", *keys]
     out = rows.groupBy(*keys).agg(F.sum("request_count").alias("total_requests"))
     if order == "auto":
@@ -232,17 +241,17 @@ def request_kpis(
     if packages is None:
         out = rows.agg(*sums)
     else:
-        rows = _named(rows, packages)
         if package_name is not None:
-            out = rows.where(name_match(package_name)).agg(*sums)
+            out = _named(rows, packages).where(name_match(package_name)).agg(*sums)
         elif by_package:
-            per = rows.groupBy("package_key").agg(*sums)
+            named = _named(_per_id(rows, [], *sums), packages)
+            per = named.groupBy("package_key").agg(*[F.sum(n).alias(n) for n in bounds])
             keys = packages.select(package_key().alias("package_key")).distinct()
             out = keys.join(per, "package_key", "left").select(
                 "package_key", *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in bounds]
             )
         else:
-            out = rows.agg(*sums)
+            out = _named(rows, packages).agg(*sums)
     return out.select("*", *[with_thousands(n).alias(f"{n}_fmt") for n in bounds])
 
 
@@ -261,8 +270,9 @@ def top_packages(
     Ties are broken by name, so the list is deterministic. ``orderBy +
     limit`` plans as a per-partition top-n and a final merge
     (``TakeOrderedAndProject``), never a global sort."""
-    rows = _named(_window_rows(fact, timeframe, client_types), packages)
-    totals = rows.groupBy("package_name").agg(F.sum("request_count").alias("total_requests"))
+    rows = _window_rows(fact, timeframe, client_types)
+    named = _named(_per_id(rows, [], F.sum("request_count").alias("request_count")), packages)
+    totals = named.groupBy("package_name").agg(F.sum("request_count").alias("total_requests"))
     top = totals.orderBy(F.desc("total_requests"), F.asc("package_name")).limit(n)
     return top.select("package_name", "total_requests", with_thousands("total_requests").alias("total_requests_fmt"))
 
@@ -297,13 +307,17 @@ def trending_packages(
         & client_type_predicate(client_types)
         & (F.col("request_count") > daily_minimum)
     )
-    named = _named(rows, packages).where(~F.col("package_name").like(EXCLUDED_NAME_PATTERN))
-    per = named.groupBy("package_name").agg(
+    ids = _per_id(
+        rows,
+        [],
         F.sum(F.when(in_last, F.col("request_count"))).alias("last_total"),
         F.count(F.when(in_last, F.col("date"))).alias("last_rows"),
         F.sum(F.when(in_prev, F.col("request_count"))).alias("prev_total"),
         F.count(F.when(in_prev, F.col("date"))).alias("prev_rows"),
     )
+    named = _named(ids, packages).where(~F.col("package_name").like(EXCLUDED_NAME_PATTERN))
+    totals = ("last_total", "last_rows", "prev_total", "prev_rows")
+    per = named.groupBy("package_name").agg(*[F.sum(c).alias(c) for c in totals])
     growing = per.where(
         (F.col("last_rows") > min_rows)
         & (F.col("prev_rows") > min_rows)

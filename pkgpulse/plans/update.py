@@ -125,21 +125,23 @@ def run_update(
         spec, rows = item
         return spec.name, merge_into_table(spark, rows, spec, root, dims)
 
+    errors = []
     if parallel and len(loads) > 1:
         with ThreadPoolExecutor(max_workers=len(loads), thread_name_prefix="pkgpulse-load") as pool:
             futures = [pool.submit(merge, item) for item in loads]
         errors = [f.exception() for f in futures if f.exception() is not None]
         written.update(f.result() for f in futures if f.exception() is None)
-        if errors:
-            raise errors[0]
     else:
         written.update(merge(item) for item in loads)
 
-    if "package_requests_by_date" in feeds:
+    # the summary follows its table, also when the load of another table failed
+    if REQUESTS_BY_DATE.name in written:
         by_date = read_table(spark, REQUESTS_BY_DATE, root)
         written[REQUESTS_LAST_MONTH.name] = replace_table(
             spark, last_month_summary(by_date), REQUESTS_LAST_MONTH, root, dims
         )
+    if errors:
+        raise errors[0]
     # every table exists after a run, even those no feed has filled yet
     for spec in TABLES.values():
         if spec.name not in written:

@@ -164,6 +164,26 @@ def versions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
+def spread_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The fact tables of the same log over 150 dates: every request moved
+    back by 30 days times ``event_id % 5``, so that each window of less than
+    five months leaves rows out."""
+    back = (F.col("event_id") % 5 * 30).cast("int")
+    raw = raw_requests(spark, sf_dir).withColumn("date", F.date_sub("date", back))
+    dims = packages(spark, sf_dir), client_types(spark)
+    return {
+        "requests_by_date": ingest.ingest_requests_by_date(raw, *dims),
+        "requests_by_region_date": ingest.ingest_requests_by_region_date(raw, *dims),
+        "systems_by_date": ingest.ingest_systems_by_date(
+            raw.withColumnRenamed("system_full", SYSTEM_FEED_COLUMN), client_types(spark)
+        ),
+        "versions_by_date": ingest.ingest_versions_by_date(
+            raw.withColumnRenamed("version_full", VERSION_FEED_COLUMN), client_types(spark)
+        ),
+    }
+
+
 @_memo
 def requests_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_requests_by_date(

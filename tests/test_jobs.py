@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pkgpulse.plans.tables import QualityError, merge_into_table
 from pkgpulse.plans.update import run_update
 from pkgpulse.schemas import REQUESTS_BY_REGION_DATE, TABLES
+from pkgpulse.session import shared_dir
 from pkgpulse.sources.snapshots import read_feed, read_table
 from pkgpulse.streaming.snapshots import SNAPSHOT_COLS, run_snapshot_ingest
 from pkgpulse.operators import ingest
@@ -101,6 +102,26 @@ def test_update_job_end_to_end(spark, scratch):
     assert rows(read_table(spark, "requests_last_month", root)) == [(1, 1, 64), (2, 2, 1), (3, 1, 7)]
 
 
+def _files(root):
+    return {f: os.stat(f).st_mtime_ns for d, _, names in os.walk(root) for n in names for f in [os.path.join(d, n)]}
+
+
+def test_rerun_writes_only_changed_dates_and_leaves_no_staging(spark, scratch):
+    spec, root = TABLES["requests_by_date"], f"{scratch}/wh"
+    batch = [(1, 1, D(2024, 3, 29), 5), (2, 1, D(2024, 3, 29), 7), (1, 1, D(2024, 3, 30), 6)]
+    merge_into_table(spark, spark.createDataFrame(batch, spec.schema), spec, root)
+    before = _files(root)
+    staging = f"{shared_dir(spark)}/staging/{spec.name}".removeprefix("file://")
+    folders = set(os.listdir(staging)) if os.path.isdir(staging) else set()
+    merge_into_table(spark, spark.createDataFrame(batch, spec.schema), spec, root)
+    assert _files(root) == before
+    merge_into_table(spark, spark.createDataFrame([*batch[:2], (1, 1, D(2024, 3, 30), 9)], spec.schema), spec, root)
+    kept = {f for f in before if "date=2024-03-29" in f}
+    assert kept and {f: t for f, t in _files(root).items() if f in kept} == {f: before[f] for f in kept}
+    assert rows(read_table(spark, spec, root)) == [(1, 1, D(2024, 3, 29), 5), (1, 1, D(2024, 3, 30), 9), (2, 1, D(2024, 3, 29), 7)]
+    assert set(os.listdir(staging)) <= folders
+
+
 def test_quality_failure_leaves_table_untouched(spark, scratch):
     root = f"{scratch}/wh"
     spec = REQUESTS_BY_REGION_DATE
