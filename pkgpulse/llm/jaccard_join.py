@@ -211,9 +211,7 @@ def _sets(k: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text"):
             sets = list(shingle_sets(frame["text"], k))
-            yield pd.DataFrame(
-                {"fp": np.array([fingerprint(s) for s in sets], np.int64), "items": [s.view(np.int64).tolist() for s in sets]}
-            )
+            yield pd.DataFrame({"fp": np.array([fingerprint(s) for s in sets], np.int64), "items": [s.tobytes() for s in sets]})
 
     return run
 
@@ -222,7 +220,8 @@ def _verify(p: int, q: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = np.zeros(len(frame), bool)
-            for i, (x, y) in enumerate(zip(frame["x"], frame["y"], strict=True)):
+            for i, pair in enumerate(zip(frame["x"], frame["y"], strict=True)):
+                x, y = (np.frombuffer(items, U64) for items in pair)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = q * common >= p * (len(x) + len(y) - common)
             yield frame.loc[keep, ["a", "b"]]
@@ -308,9 +307,14 @@ def jaccard_components(
     members = written(both.join(sizes.select("fp", "n", "own", "half"), "fp"), "members")
 
     groups = members.select("key", "fp")
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("hub"))
-    stars = groups.join(hubs, "key").where("fp <> hub")
-    first = written(_verified(docs, sizes, _pairs(stars, "fp", "hub"), shingle, p, q), "links")
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("other"))
+    stars = groups.join(hubs, "key").where("fp <> other").select("fp", "other").distinct()
+    stars = written(_open_pairs(stars, sizes, p, q), "stars")
+    # first one hub per set, then the other hubs as far as they are still apart
+    nearest = stars.groupBy("fp").agg(F.min_by("other", F.xxhash64("other")).alias("other"))
+    one = written(_verified(docs, sizes, nearest, shingle, p, q), "links")
+    apart = _apart(stars, connected_components(one))
+    first = one.unionByName(written(_verified(docs, sizes, apart, shingle, p, q), "links"))
     roots = connected_components(first)
 
     placed = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
@@ -327,7 +331,7 @@ def jaccard_components(
         & (F.col("y.n") * p <= F.col("x.n") * q)
         & _may_link("x", "y", p, q),
     ).select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other"))
-    second = written(_verified(docs, sizes, _pairs(rest, "fp", "other"), shingle, p, q), "links")
+    second = written(_verified(docs, sizes, rest, shingle, p, q), "links")
     components = connected_components(first.unionByName(second))
 
     # smallest id of each component, then of every row's set
@@ -352,27 +356,35 @@ def _may_link(x: str, y: str, p: int, q: int) -> Column:
     return F.coalesce(apart * (q + p) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (q - p), F.lit(True))
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def _open_pairs(rows: DataFrame, sizes: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (fp, other) whose sizes and sketches allow a link."""
+    size = sizes.select("fp", "n", "own", "half")
+    sized = rows.alias("r").join(size.alias("x"), F.col("r.fp") == F.col("x.fp"))
+    sized = sized.join(size.alias("y"), F.col("r.other") == F.col("y.fp"))
+    alike = F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p
+    may = F.when(F.col("x.n") <= F.col("y.n"), _may_link("x", "y", p, q)).otherwise(_may_link("y", "x", p, q))
+    return sized.where(alike).where(may).select("r.fp", "r.other")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (fp, other) whose sets are not in one component yet."""
+    placed = pairs
+    for end in ("fp", "other"):
+        root = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        placed = placed.join(root, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return placed.where("fp_root <> other_root").select("fp", "other")
 
 
 def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
-    """The pairs whose sets, computed anew from the whole texts, are similar."""
-    size = sizes.select("fp", "n")
-    pairs = (
-        pairs.join(size.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a")
-        .join(size.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-        .where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-        .select("a", "b")
-    )
-    pairs = written(pairs, "pairs")
+    """Links (a, b): the pairs (fp, other) whose sets, computed anew from the
+    whole texts, are similar."""
+    pairs = written(pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     ids = written(needed.join(sizes.select("fp", "first_id"), "fp").select(F.col("first_id").alias("doc_id")), "ids")
-    sets = written(
-        docs.join(ids, "doc_id", "left_semi").select("text").mapInPandas(_sets(shingle), "fp long, items array<long>"), "items"
-    )
+    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInPandas(_sets(shingle), "fp long, items binary")
     return (
         pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
         .mapInPandas(_verify(p, q), "a long, b long")
+        .distinct()
     )
