@@ -304,7 +304,7 @@ def jaccard_components(
     both = probes.select("key", "fp", F.lit(True).alias("prober")).unionByName(
         index.select("key", "fp", F.lit(False).alias("prober"))
     )
-    members = written(both.join(sizes.select("fp", "n", "own", "half"), "fp"), "members")
+    members = written(both.join(sizes.select("fp", "n"), "fp"), "members")
 
     groups = members.select("key", "fp")
     hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("other"))
@@ -322,7 +322,9 @@ def jaccard_components(
     )
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     open_groups = written(placed.join(split.select("key"), "key"), "open")
-    x, y = open_groups.where("prober").alias("x"), open_groups.where("not prober").alias("y")
+    # the sketches, far longer than the other columns, join the open groups only, and are not written with them
+    sketched = open_groups.join(sizes.select("fp", "own", "half"), "fp")
+    x, y = sketched.where("prober").alias("x"), sketched.where("not prober").alias("y")
     rest = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
