@@ -7,9 +7,8 @@ encoding and decoding (adds the ids; every document stays).
 
 Each stage gets all that its predecessor kept, written as Parquet in the
 shared folder. All stages but the last return the columns of ``documents``.
-Rows with a null id are judged on their own text: quality and language decide
-as for any row; the Jaccard join and the decontamination keep or drop them by
-their own match only.
+Documents go by their id: rows with a null id stay at every stage, and of
+repeated rows with one id all go when one is rejected.
 """
 
 from __future__ import annotations
