@@ -1,11 +1,15 @@
 """Word-first language identification with back-off to character n-grams.
 
-Learning counts every word of every training text per language; the words of
-highest count (a documented bound) keep their counts. For words outside them,
-character n-grams are counted over all distinct words. A known word scores its
-log frequency in each language; an unseen word falls back to the mean of its
-known n-grams of the greatest length that has any, from ``GRAM`` down to 1. A
-text's score is the posterior of the languages under equal priors.
+Learning counts every word of every training text per language, and character
+n-grams over all distinct words; all of them keep their counts. A known word
+scores its log frequency in each language; an unseen word falls back to the
+mean of its known n-grams of the greatest length that has any, from ``GRAM``
+down to 1. A text's score is the posterior of the languages under equal priors.
+
+The commonest words and n-grams go to the tasks. Where they are not all there
+are, a text's other words are left open: each distinct open word is joined to
+the table of the other words or, when it is not there, its n-grams to that of
+the other n-grams, and the log frequencies are added to the texts by a join.
 
 Words are maximal runs of letters of the lower-cased text.
 
@@ -21,16 +25,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgpulse.llm.shared import blocks, written
 
-#: words and n-grams of each length that keep their counts: those of highest count over all languages
+#: words and n-grams of each length sent to every task (all others are joined); greatest length
 WORDS, GRAMS, GRAM = 60_000, 20_000, 5
 #: distinct entries a task counts before it hands them on; scored words it remembers
 HELD, MEMO = 300_000, 400_000
@@ -83,17 +87,28 @@ def _count_grams(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Model:
-    """Log frequencies per language: one row of ``table`` per known entry."""
+    """Log frequencies per language: one row of ``table`` per common entry;
+    ``rest`` has the others as (entry, logs) by length, words under 0."""
 
     langs: list[str]
     word_row: dict[str, int]
     gram_row: dict[str, int]
     table: np.ndarray
     unseen: np.ndarray  # a word none of whose characters was learned
+    rest: dict[int, DataFrame] = field(default_factory=dict)
+
+
+def _backed_off(model: Model, word: str, longest: int = GRAM) -> np.ndarray:
+    for n in range(longest, 0, -1):
+        known = [model.gram_row[g] for g in grams(word, n) if g in model.gram_row]
+        if known:
+            return model.table[known].mean(0)
+    return model.unseen
 
 
 class Scorer(dict):
-    """word -> row of ``rows``; unseen words are scored once and remembered."""
+    """word -> row of ``rows``; unseen words are scored once and remembered.
+    For models without ``rest``, which hold all there is to look up."""
 
     def __init__(self, model: Model):
         super().__init__(model.word_row)
@@ -110,12 +125,7 @@ class Scorer(dict):
         return at
 
     def backed_off(self, word: str) -> np.ndarray:
-        model = self.model
-        for n in range(GRAM, 0, -1):
-            known = [model.gram_row[g] for g in grams(word, n) if g in model.gram_row]
-            if known:
-                return model.table[known].mean(0)
-        return model.unseen
+        return _backed_off(self.model, word)
 
     def score(self, text: str | None) -> tuple[str, float]:
         found = words(text) if isinstance(text, str) else []
@@ -136,48 +146,156 @@ class Scorer(dict):
 
 
 def learn(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
-    """Learn from columns ``text`` and ``lang``. Counts cover all rows; what
-    reaches the driver is bounded by ``n_words``, ``n_grams`` and the number
-    of languages."""
+    """Learn from columns ``text`` and ``lang``. Counts cover all rows; of the
+    entries, at most ``n_words`` words and ``n_grams`` n-grams of each length
+    reach the driver, the others stay in a table."""
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = known.mapInPandas(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     counts = written(counts, "words")
-    totals = {r.lang: (r.n, r.types) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    langs = sorted(totals)
-
-    def top(frame: DataFrame, keys: list[str], limit: int) -> pd.DataFrame:
-        best = frame.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        best = best.orderBy(F.desc("n"), *keys).limit(limit)
-        return best.select(*keys, F.explode("by").alias("by")).select(*keys, "by.lang", "by.n").toPandas()
-
     by_gram = counts.select("word", "lang").mapInPandas(_count_grams, "size int, gram string, lang string, n long")
-    by_gram = written(by_gram.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    sums = {(r["size"], r.lang): r.n for r in by_gram.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables, word_row, gram_row, used = [], {}, {}, 0
+    by_gram = by_gram.groupBy("size", F.col("gram").alias("entry"), "lang").agg(F.sum("n").alias("n"))
+    both = counts.select(F.lit(0).alias("size"), F.col("word").alias("entry"), "lang", "n").unionByName(by_gram)
+    entries = both.groupBy("size", "entry").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    entries = written(entries, "entries")
+    by_lang = entries.select("size", F.explode("by").alias("by")).groupBy("size", "by.lang").agg(F.sum("by.n").alias("n"))
+    sums = {(r["size"], r.lang): r.n for r in by_lang.collect()}
+    langs = sorted(lang for size, lang in sums if size == 0)
+    if not langs:
+        return Model(langs, {}, {}, np.zeros((0, 0)), np.zeros(0))
+
+    # the least count of the common entries of each length, and the number of all
+    least, distinct, common = {}, Counter(), Counter()
+    for r in entries.groupBy("size", "n").agg(F.count("*").alias("types")).orderBy("size", F.desc("n")).collect():
+        distinct[r["size"]] += r.types
+        if distinct[r["size"]] <= (n_grams if r["size"] else n_words):
+            least[r["size"]], common[r["size"]] = r.n, distinct[r["size"]]
+    size = F.col("size")
+    is_common = F.lit(False)
+    for length, n in least.items():
+        is_common |= (size == length) & (F.col("n") >= n)
+    top = entries.where(is_common).select("size", "entry", F.explode("by").alias("by")).select("size", "entry", "by.lang", "by.n").toPandas()
 
-    def add(found: pd.DataFrame, column: str, rows: dict, total: np.ndarray) -> None:
-        nonlocal used
-        values = sorted(found[column].unique())
+    at = {lang: i for i, lang in enumerate(langs)}
+    tables, word_row, gram_row, rest, used = [], {}, {}, {}, 0
+    for length in sorted(distinct):
+        found = top[top["size"] == length]
+        total = np.array([sums.get((length, x), 0) for x in langs], float) + 0.5 * (distinct[length] + 1)
+        values = sorted(found["entry"].unique())
         place = {v: i for i, v in enumerate(values)}
         table = np.full((len(values), len(langs)), 0.5)
-        np.add.at(table, (found[column].map(place).to_numpy(int), found["lang"].map(at).to_numpy(int)), found["n"].to_numpy(float))
-        rows.update((v, used + i) for v, i in place.items())
-        tables.append(np.log(table / (total + 0.5 * (len(values) + 1))))
+        np.add.at(table, (found["entry"].map(place).to_numpy(int), found["lang"].map(at).to_numpy(int)), found["n"].to_numpy(float))
+        (gram_row if length else word_row).update((v, used + i) for v, i in place.items())
+        tables.append(np.log(table / total))
         used += len(values)
+        if common[length] < distinct[length]:
+            others = entries.where(size == length).where(~is_common).select("entry", F.map_from_entries("by").alias("by"))
+            log = [F.log((F.coalesce(F.col("by")[x], F.lit(0)) + 0.5) / float(t)) for x, t in zip(langs, total, strict=True)]
+            rest[length] = others.select("entry", F.array(*log).alias("logs"))
+    return Model(langs, word_row, gram_row, np.concatenate(tables), np.zeros(len(langs)), rest)
 
-    if langs:
-        add(top(counts, ["word"], n_words), "word", word_row, np.array([totals[x][0] for x in langs], float))
-        for n in range(1, GRAM + 1):
-            best = top(by_gram.where(F.col("size") == n).drop("size"), ["gram"], n_grams)
-            add(best, "gram", gram_row, np.array([sums.get((n, x), 0) for x in langs], float))
-    table = np.concatenate(tables) if tables else np.zeros((0, 0))
-    return Model(langs, word_row, gram_row, table, np.zeros(len(langs)))
+
+def _sums(logs: str, n: int, times: Column | None = None) -> Column:
+    """Element by element, the sum of an array column of ``n`` numbers."""
+    return F.array(*(F.sum(F.col(logs)[i] * times if times is not None else F.col(logs)[i]) for i in range(n)))
+
+
+def _open_words(frames: Iterable[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+    """Of each text the number of words, the sum of the logs of the common
+    ones, and the others with their counts."""
+    for frame in blocks(frames, "text"):
+        rows = []
+        for text in frame["text"]:
+            found = Counter(words(text) if isinstance(text, str) else [])
+            known = [(model.word_row[w], n) for w, n in found.items() if w in model.word_row]
+            at, times = np.array(known, np.int64).reshape(-1, 2).T
+            others = {w: n for w, n in found.items() if w not in model.word_row}
+            rows.append((found.total(), times @ model.table[at], list(others), list(others.values())))
+        out = pd.DataFrame(rows, columns=["n_words", "logs", "open", "times"])
+        out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
+        yield out
+
+
+def _unseen_logs(unseen: DataFrame, model: Model, shared) -> DataFrame:
+    """(word, logs) of words that were not learned, by their n-grams."""
+    n_langs, done = len(model.langs), []
+    for n in range(GRAM, 0, -1):
+        if not any(size in model.rest for size in range(1, n + 1)):  # the tasks have all of these
+
+            def finish(frames: Iterable[pd.DataFrame], n: int = n) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    logs = [_backed_off(shared.value, w, n) for w in frame["word"]]
+                    yield pd.DataFrame({"word": frame["word"], "logs": logs})
+
+            done.append(unseen.mapInPandas(finish, "word string, logs array<double>"))
+            break
+
+        def cut(frames: Iterable[pd.DataFrame], n: int = n) -> Iterator[pd.DataFrame]:
+            model = shared.value
+            for frame in frames:
+                rows = []
+                for word in frame["word"]:
+                    found = grams(word, n)
+                    known = [model.gram_row[g] for g in found if g in model.gram_row]
+                    rows.append((word, len(known), model.table[known].sum(0), [g for g in found if g not in model.gram_row]))
+                yield pd.DataFrame(rows, columns=["word", "known", "logs", "open"])
+
+        parts = written(unseen.mapInPandas(cut, "word string, known long, logs array<double>, open array<string>"), "grams")
+        if n in model.rest:
+            found = parts.select("word", F.explode("open").alias("entry")).join(model.rest[n], "entry").groupBy("word")
+            found = found.agg(F.count("*").alias("more"), _sums("logs", n_langs).alias("added"))
+            parts = parts.join(found, "word", "left")
+        else:
+            parts = parts.withColumns({"more": F.lit(0), "added": F.lit(None).cast("array<double>")})
+        n_known = F.col("known") + F.coalesce("more", F.lit(0))
+        mean = F.array(*((F.col("logs")[i] + F.coalesce(F.col("added")[i], F.lit(0.0))) / F.col("n_known") for i in range(n_langs)))
+        parts = written(parts.withColumn("n_known", n_known).select("word", "n_known", F.when(F.col("n_known") > 0, mean).alias("logs")), "backed")
+        done.append(parts.where("n_known > 0").select("word", "logs"))
+        unseen = parts.where("n_known = 0").select("word")
+    else:
+        none = F.array(*(F.lit(float(x)) for x in model.unseen))
+        done.append(unseen.select("word", none.alias("logs")))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _joined(docs: DataFrame, model: Model, shared) -> DataFrame:
+    """``predict`` where not all entries are with the tasks."""
+    n_langs = len(model.langs)
+    cut = docs.mapInPandas(
+        lambda frames: _open_words(frames, shared.value),
+        "doc_id long, n_words long, logs array<double>, open array<string>, times array<long>",
+    )
+    cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "scored")
+    pairs = cut.select("row", F.explode(F.arrays_zip("open", "times")).alias("x")).select("row", F.col("x.open").alias("word"), "x.times")
+    distinct = pairs.select("word").distinct()
+    if 0 in model.rest:
+        looked = written(distinct.join(model.rest[0].withColumnRenamed("entry", "word"), "word", "left"), "looked")
+        unseen = _unseen_logs(looked.where("logs is null").select("word"), model, shared)
+        logs = looked.where("logs is not null").unionByName(unseen)
+    else:
+        logs = _unseen_logs(written(distinct, "open"), model, shared)
+    added = pairs.join(logs, "word").groupBy("row").agg(_sums("logs", n_langs, F.col("times")).alias("added"))
+    total = F.array(*(F.col("logs")[i] + F.coalesce(F.col("added")[i], F.lit(0.0)) for i in range(n_langs)))
+    summed = cut.select("row", "doc_id", "n_words", "logs").join(added, "row", "left")
+    summed = summed.select("doc_id", "n_words", total.alias("total")).withColumn("best", F.array_max("total"))
+    odds = F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
+    lang = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", F.col("best")).cast("int"))
+    some = F.col("n_words") > 0
+    return summed.select(
+        "doc_id",
+        F.when(some, lang).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(some, 1 / odds).otherwise(0.0).alias("score"),
+    )
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) per row, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest={}))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if model.rest:
+        return _joined(docs, model, shared)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
@@ -185,6 +303,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = zip(*map(scorer.score, frame["text"]), strict=True)
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(), "lang_pred": langs, "score": scores})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, lang_pred string, score double"
-    )
+    return docs.mapInPandas(run, "doc_id long, lang_pred string, score double")

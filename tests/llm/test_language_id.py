@@ -78,3 +78,20 @@ def test_held_out_accuracy(spark):
     # a memo too small for the words changes nothing
     small = L.Scorer(L.learn(docs.where("doc_id % 3 <> 0"), n_words=50, n_grams=200))
     assert small.score("the of and") == L.Scorer(small.model).score("the of and")
+
+
+def test_entries_outside_the_broadcast_are_joined(spark):
+    """However few entries go to the tasks, every learned one counts."""
+    texts = ["the dog", "Katzen", "chats chiens", "xyz cat", "häuser und dogs", "THE the", "q", "Hundehaus 12", "Katze chat chat", "中文", "12", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for n_words, n_grams in ((0, 0), (2, 3), (2, 1000), (1000, 3)):
+        model = L.learn(spark.createDataFrame(ROWS, SCHEMA), n_words=n_words, n_grams=n_grams)
+        assert len(model.word_row) <= n_words and model.rest
+        got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(df, model).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            want = brute(ROWS, text) if text and L.words(text) else ("und", 0)
+            assert got[i] == (want[0], pytest.approx(want[1])), (n_words, n_grams, text)
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(300)
+    few, all_ = ({r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs, L.learn(docs.where("doc_id % 3 <> 0"), *n)).collect()} for n in ((500, 300), (10**6, 10**6)))
+    assert few.keys() == all_.keys() and all(few[i] == (all_[i][0], pytest.approx(all_[i][1])) for i in few)
