@@ -7,9 +7,9 @@ terms of each window only. A window's rarest list gives candidate places; the
 offset-adjusted lists of its next rarest terms are intersected with them, and
 what is left is compared with the whole text word by word.
 
-The index folds case with ``lower`` (cheap, and never splits or joins words);
-the final comparison lower-cases A-Z only, as words are defined: maximal runs
-of characters outside U+0000..U+007F except digits and a-z after that step.
+Index, windows and the final comparison lower-case A-Z only, as words are
+defined: maximal runs of characters outside U+0000..U+007F except digits and
+a-z after that step. So a word gives one term whatever stands around it.
 
 Only DataFrame operations are used. No text is moved but those that hold a
 candidate; rows of a document are told apart by id and a hash of the text.
@@ -36,14 +36,18 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def folded(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
 def exact_words(text: Column) -> Column:
     """The words of a text as an array."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK), "")
+    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., term, pos): the folded words of each text and their places."""
-    cut = docs.where("text is not null").select(*keep, F.split(F.lower("text"), BREAK).alias("cut"))
+    cut = docs.where("text is not null").select(*keep, F.split(folded(F.col("text")), BREAK).alias("cut"))
     first = (F.col("cut")[0] == "").cast("int").alias("lead")  # an empty piece before the first word
     rows = cut.select(*keep, first, F.posexplode("cut").alias("place", "term"))
     return rows.where("term <> ''").select(*keep, "term", (F.col("place") - F.col("lead")).alias("pos"))
@@ -67,7 +71,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def rare_terms(docs: DataFrame, windows: DataFrame, lists: int = LISTS) -> DataFrame:
     """(window, n, t0, o0, t1, o1, ...): the rarest terms of each window in the
     corpus and their offsets. A window with a term that the corpus lacks goes."""
-    terms = windows.select("window", "n", F.posexplode(F.split(F.lower("window"), " ")).alias("offset", "term"))
+    terms = windows.select("window", "n", F.posexplode(F.split("window", " ")).alias("offset", "term"))
     terms = written(terms, "terms")
     vocabulary = written(terms.select("term").distinct(), "vocabulary")
     counts = _tokens(docs).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))

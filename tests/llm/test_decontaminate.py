@@ -89,6 +89,13 @@ def test_proximity_finds_shifted_words_that_the_phrase_does_not(spark):
     assert {r.doc_id for r in D.proximity_matches(*frames_, slack=2).collect()} == {1, 3}
 
 
+def test_capital_sigma_before_marks_is_found(spark):
+    items = [(1, "ΟΔΟΣ.ΑΒΓ"), (2, "ΛΟΓΟΣ:Α ΤΕΛΟΣ'Β")]
+    docs = [(1, "x ΟΔΟΣ.ΑΒΓ y"), (2, "ΛΟΓΟΣ:Α ΤΕΛΟΣ'Β"), (3, "ΟΔΟΣ ΑΒΓ"), (4, "ΟΔΟΣ")]
+    got = sorted((tuple(r) for r in D.contamination(*frames(spark, docs, items)).collect()), key=str)
+    assert got == brute(docs, items) and [r[-1] for r in got] == [True, True, True, False]
+
+
 def test_no_python_in_the_plans(spark):
     plan = D.contamination(*frames(spark, [(1, "a")], [(1, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in NO_PYTHON)
