@@ -1,14 +1,16 @@
 """The training-data pipeline: documents -> clean, single, encoded documents.
 
 Stages, in order: quality classifier and language ID (rejected documents go),
-n-gram Jaccard join (the smallest id of each group of near copies stays),
+n-gram Jaccard join (of each group of near copies one row stays, that of the
+smallest id; a null id comes last),
 benchmark decontamination (documents that hold a benchmark passage go), BPE
 encoding and decoding (adds the ids; every document stays).
 
 Each stage gets all that its predecessor kept, written as Parquet in the
 shared folder. All stages but the last return the columns of ``documents``.
-Documents go by their id: rows with a null id stay at every stage, and of
-repeated rows with one id all go when one is rejected.
+Rows are judged and dropped by a key, a 64-bit hash of all their columns, so
+that null or repeated ids do not matter: each row goes by its own judgement,
+and only rows that are equal in every column are judged as one.
 """
 
 from __future__ import annotations
@@ -29,17 +31,26 @@ SHINGLE, P, Q = 5, 4, 5
 LANGUAGE_SCORE = 0.5
 
 
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of the row in place of its id, to be judged."""
+    return docs.withColumn("doc_id", _key(docs))
+
+
 def _keep(docs: DataFrame, judged: DataFrame, drop: Column) -> DataFrame:
-    """``docs`` without the ids that ``drop`` marks in ``judged``."""
-    gone = written(judged.where(drop).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose key ``drop`` marks in ``judged``."""
+    gone = written(judged.where(drop).select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return docs.withColumn("key", _key(docs)).join(gone, "key", "left_anti").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents of low quality go."""
     ship(spark)
     model = quality_cotraining.fit(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, quality_cotraining.judge(docs, model), ~F.col("kept"))
+    return _keep(docs, quality_cotraining.judge(_keyed(docs), model), ~F.col("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,20 +58,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = language_id.learn(docs.where(remainder("doc_id", 5) != 0))
     unsure = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)
-    return _keep(docs, language_id.predict(docs, model), unsure)
+    return _keep(docs, language_id.predict(_keyed(docs), model), unsure)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of near copies the smallest id stays."""
+    """Operator 2: of each group of near copies one row of the smallest id stays."""
     ship(spark)
-    groups = jaccard_components(docs, shingle=SHINGLE, p=P, q=Q)
-    return _keep(docs, groups, F.col("component_id") < F.col("doc_id"))
+    groups = jaccard_components(_keyed(docs), shingle=SHINGLE, p=P, q=Q)
+    groups = groups.groupBy("doc_id", "component_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times"))
+    groups = written(groups, "groups")
+    ids = docs.select(_key(docs).alias("key"), F.col("doc_id").alias("id")).distinct()
+    first = groups.join(ids, F.col("doc_id") == F.col("key")).groupBy("component_id")
+    first = first.agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "key"))["key"].alias("doc_id"))
+    kept = _keep(docs, groups.join(first, ["component_id", "doc_id"], "left_anti"), F.lit(True)).withColumn("key", _key(docs))
+    equal = written(groups.where("times > 1 and n_shingles > 0").select(F.col("doc_id").alias("key")).distinct(), "equal")
+    once = kept.join(equal, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(equal, "key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that hold a passage of the benchmark go."""
     ship(spark)
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    judged = decontaminate.contamination(_keyed(docs), table(spark, sf_dir, "benchmark"))
     return _keep(docs, judged, F.col("contaminated"))
 
 

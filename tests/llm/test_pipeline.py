@@ -56,3 +56,20 @@ def test_special_rows(spark):
     for _, stage in C.STAGES:
         empty = C.written(stage(spark, empty, SF), "stage")
     assert empty.collect() == []
+
+
+def test_null_and_repeated_ids_go_by_their_own_row(spark):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    clean = "plain words of a text that nobody has asked for in a test " * 3
+    rows = lambda *x: spark.createDataFrame([(i, t, "en", "s", 9) for i, t in x], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda stage, *x: sorted(((r.doc_id, r.text) for r in stage(spark, rows(*x), SF).collect()), key=str)
+    assert kept(C.decontamination, (None, passage), (5, passage), (5, clean), (None, clean)) == [(5, clean), (None, clean)]
+    assert kept(C.language, (None, "12 34"), (3, "12"), (3, clean), (1, clean)) == [(1, clean), (3, clean)]
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
+    near = text + " more"
+    groups = [(7, text), (7, text), (7, near), (None, text), (None, near), (None, clean), (None, clean), (8, "quite another text of some words")]
+    got = kept(C.near_duplicates, *groups)
+    assert [i for i, _ in got] == [7, 8, None] and got[0][1] in (text, near) and got[2][1] == clean
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = docs.unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("")))
+    assert C.quality_classifier(spark, mixed, SF).where("doc_id is null").count() == 0
