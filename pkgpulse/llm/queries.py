@@ -16,8 +16,11 @@ from pkgpulse.llm import (
     language_id,
     lm_mixing,
     oracles,
+    periodic_runs,
+    prefix_trie,
     quality_cotraining,
     quality_trees,
+    set_sketch,
     token_store,
 )
 from pkgpulse.llm.jaccard_join import jaccard_components
@@ -100,6 +103,34 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt on the first turns of another."""
+    convs = prefix_trie.paths(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.entries(prefix_trie.rebuilt(convs)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, one in ten of them with a periodic tail."""
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.detect(docs, text_col=periodic_runs.with_periodic_tail("doc_id", "text"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2-word shingles, Jaccard similarity of 0.8 or more."""
+    return set_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, p=4, q=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline at the repository's top."""
     import corpus_pipeline
@@ -107,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES = [op1_html_extract, op2_jaccard_join, op3_lm_mixing, op4_host_reputation, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store, pipeline]
+_QUERIES = [op1_html_extract, op2_jaccard_join, op3_lm_mixing, op4_host_reputation, op5_decontaminate, op6_quality_cotraining, op7_language_id, op8_quality_trees, op9_bpe_stream, op10_token_store, op11_prefix_trie, op12_periodic_runs, op13_set_sketch, pipeline]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
