@@ -21,10 +21,13 @@ a minimum, about ``m ln m`` points a set whatever its size.
 
 Equal sets are one vertex (64-bit fingerprint of the sorted set). Links are
 needed only as far as they connect sets: members of a key are first compared
-with one hub; while that still joins sets, members outside a key's most
-frequent component are compared with one member of it, another one each round;
-then all pairs that are still apart are compared, each at its first common band
-only. Nothing is capped or sampled.
+with one hub, the member that meets most others in its keys; while that still
+joins sets, members outside a key's most frequent component are compared with
+one member of it, another one each round; then all pairs that are still apart
+are compared, each at its first common band only, but for those whose parities
+prove that they differ too much (bit i says whether an odd number of elements
+falls into bucket i; sets differ in at least as many elements as bits). Nothing
+is capped or sampled.
 
 For far more than 10^8 distinct sets take more rows a band (and more
 registers): chance candidates grow with the square of the number of sets times
@@ -47,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgpulse.llm.components import connected_components
-from pkgpulse.llm.jaccard_join import fingerprint, shingle_sets
+from pkgpulse.llm.jaccard_join import fingerprint, parity_sketch, shingle_sets
 from pkgpulse.llm.shared import blocks, written
 from pkgpulse.llm.text_kernel import U64, mix
 
@@ -158,18 +161,34 @@ def band_keys(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def _registers(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+
+
 def _keys(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if len(frame):
-            registers = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(len(frame), -1)
-            yield frame.drop(columns="sketch").assign(keys=list(band_keys(registers).view(np.int64)))
+            keys = band_keys(_registers(frame["sketch"])).view(np.int64)
+            yield frame.drop(columns="sketch").assign(keys=list(keys))
 
 
-def _sets(k: int):
+def _sets(k: int, p: int, q: int):
+    """Full sets, and whether an odd number of their elements falls into each
+    bucket: so many buckets that linked sets differ in an eighth of them at
+    most, and half as many for comparison with smaller sets."""
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames, "text"):
             sets = list(shingle_sets(frame["text"], k))
-            yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "items": [s.tobytes() for s in sets]})
+            bits = [max(128, 1 << (8 * (len(s) * (q - p) // p + 1) - 1).bit_length()) for s in sets]
+            yield pd.DataFrame(
+                {
+                    "fp": [fingerprint(s) for s in sets],
+                    "items": [s.tobytes() for s in sets],
+                    "own": [parity_sketch(s, b) for s, b in zip(sets, bits, strict=True)],
+                    "half": [parity_sketch(s, b // 2) for s, b in zip(sets, bits, strict=True)],
+                }
+            )
 
     return run
 
@@ -178,7 +197,7 @@ def _likely(p: int, q: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                a, b = (np.frombuffer(b"".join(frame[c]), np.uint16).reshape(len(frame), -1) for c in ("x", "y"))
+                a, b = _registers(frame["x"]), _registers(frame["y"])
                 _, doubt = estimate(a, b, frame["m"].to_numpy(float), frame["n"].to_numpy(float), p / q)
                 yield frame.loc[doubt <= DOUBT, ["a", "b"]]
 
@@ -215,11 +234,16 @@ class _Join:
         )
         self.sets = written(held, "vertices")
         texts = docs.join(self.sets.select("place"), "place", "left_semi").dropDuplicates(["place"])
-        self.items = written(texts.select("text").mapInPandas(_sets(shingle), "fp long, items binary"), "items")
+        schema = "fp long, items binary, own array<long>, half array<long>"
+        self.items = written(texts.select("text").mapInPandas(_sets(shingle, p, q), schema), "items")
         keyed = self.sets.select("fp", "n", "sketch").mapInPandas(_keys, "fp long, n long, keys array<long>")
         self.keyed = written(keyed, "keyed")
         members = self.keyed.select("fp", "n", F.posexplode("keys").alias("band", "key"))
-        self.members = written(members.join(shared, "key", "left_semi"), "members")
+        members = written(members.join(shared, "key", "left_semi"), "members")
+        # a set in the middle of a crowd meets more sets in its keys than one at the edge
+        crowd = members.groupBy("key").agg(F.count("*").alias("met"))
+        met = members.join(crowd, "key").groupBy("fp").agg(F.sum("met").alias("met"))
+        self.members = written(members.join(met, "fp"), "members")
         self.tested: DataFrame | None = None
 
     def _alike(self, n: str, m: str) -> Column:
@@ -243,8 +267,8 @@ class _Join:
         return written(full.mapInPandas(_verify(self.p, self.q), "a long, b long"), "links")
 
     def stars(self) -> DataFrame:
-        """Each member of a key with the key's hub, the same for many keys."""
-        hubs = self.members.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp", "n")).alias("hub"))
+        """Each member of a key with the key's hub, the one that meets most others."""
+        hubs = self.members.groupBy("key").agg(F.max(F.struct("met", "fp", "n")).alias("hub"))
         hubs = hubs.select("key", F.col("hub.fp").alias("other"), F.col("hub.n").alias("m"))
         pairs = self.members.join(hubs, "key").where(F.col("fp") != F.col("other")).where(self._alike("n", "m"))
         return pairs.select("fp", "other")
@@ -266,17 +290,28 @@ class _Join:
         pairs = opened.join(main, "key").where(F.col("root") != F.col("main")).where(self._alike("n", "m"))
         return pairs.select("fp", "other")
 
+    def _may_link(self) -> Column:
+        """False only if the parities of x, not the larger, and y prove that
+        they differ in more elements than linked sets of their sizes can."""
+        own, other = F.col("x.own"), F.col("y.own")
+        other = F.when(F.size(own) == F.size(other), other).when(F.size(own) == F.size("y.half"), F.col("y.half"))
+        apart = F.aggregate(F.zip_with(own, other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+        most = (F.col("x.n") + F.col("y.n")) * (self.q - self.p)
+        return F.coalesce(apart * (self.q + self.p) <= most, F.lit(True))
+
     def rest(self, opened: DataFrame) -> DataFrame:
-        """All pairs of a key in different components, at their first common band."""
-        full = opened.join(self.keyed.select("fp", "keys"), "fp")
+        """All pairs of a key in different components, at their first common
+        band, but for those whose parities exclude a link."""
+        full = opened.join(self.keyed.select("fp", "keys"), "fp").join(self.items.select("fp", "own", "half"), "fp")
         x, y = full.alias("x"), full.alias("y")
         before = [F.slice(F.col(f"{side}.keys"), 1, F.col("x.band")) for side in "xy"]
         pairs = x.join(
             y,
             (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.fp") < F.col("y.fp"))
             & (F.col("x.root") != F.col("y.root"))
+            & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.fp") < F.col("y.fp"))))
             & self._alike("x.n", "y.n")
+            & self._may_link()
             & ~F.arrays_overlap(*before),
         )
         return pairs.select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other"))
@@ -307,7 +342,7 @@ def near_duplicates(
     when q * |intersection| >= p * |union| of their ``shingle``-word sets; the
     row of each component's smallest id is kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("place", F.xxhash64("text"))  # where a set's text is found again
+    docs = docs.withColumn("place", F.xxhash64("doc_id", "text"))  # the row that a set is read from again
     facts = written(docs.mapInPandas(_describe(shingle), FACTS), "sketches")
     roots = _Join(docs, facts, shingle, p, q).components()
     classes = facts.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
