@@ -8,7 +8,6 @@ log fixtures of ``pkgpulse.sources.testdata``, which Spark derives from
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 import uuid
@@ -27,20 +26,24 @@ from pkgpulse.functions.text import cleanse_name, url_contains  # noqa: E402
 from pkgpulse.operators import ingest, quality, upsert  # noqa: E402
 from pkgpulse.operators.shares import as_series  # noqa: E402
 from pkgpulse.plans import dimensions, reports, summary  # noqa: E402
+from pkgpulse.plans.tables import merge_into_table  # noqa: E402
 from pkgpulse.plans.update import run_update  # noqa: E402
-from pkgpulse.schemas import TABLES  # noqa: E402
+from pkgpulse.schemas import SYSTEM_FEED_COLUMN, TABLES  # noqa: E402
 from pkgpulse.session import shared_dir  # noqa: E402
 from pkgpulse.sources import testdata as T  # noqa: E402
-from pkgpulse.sources.snapshots import read_table  # noqa: E402
+from pkgpulse.sources import versions  # noqa: E402
+from pkgpulse.sources.snapshots import POSITION, read_feed, read_feed_checked, read_ledger, read_table  # noqa: E402
 from pkgpulse.streaming.snapshots import SNAPSHOT_COLS, run_snapshot_ingest  # noqa: E402
 
-# the training-data operators are optional: without their subpackage the rest works
-if importlib.util.find_spec("pkgpulse.llm") is not None:
+# the training-data operators are optional: without their subpackage (or what it imports) the rest works
+try:
     from pkgpulse.llm import queries as llm  # noqa: E402
-else:
+except ImportError:
     llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+#: the region names of the test tables are longer than the feeds' region codes
+LONGEST_REGION = 11
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -169,7 +172,7 @@ def _update_job(spark, d):
     counted as good ones, for the first registry; the second one the correct
     feeds, with one more registry. Returns the rows of all eight tables."""
     root = f"{shared_dir(spark)}/update_job/{uuid.uuid4().hex}"
-    log = T.package_feed(spark, d).withColumn("region", F.replace("region", F.lit(" "), F.lit("")))
+    log = T.package_feed(spark, d)
     feeds = {
         "package_requests": log,
         "package_requests_by_date": log,
@@ -188,8 +191,9 @@ def _update_job(spark, d):
         return path
 
     first, second = csv("in1", "registry1", registered), csv("in2", "registry2", _registry_extracts(spark, d)[1])
-    run_update(spark, f"{root}/tables", {n: csv("in1", n, f) for n, f in early.items()}, [first])
-    run_update(spark, f"{root}/tables", {n: csv("in2", n, f) for n, f in feeds.items()}, [first, second])
+    limits = {"region": LONGEST_REGION}
+    run_update(spark, f"{root}/tables", {n: csv("in1", n, f) for n, f in early.items()}, [first], max_lengths=limits)
+    run_update(spark, f"{root}/tables", {n: csv("in2", n, f) for n, f in feeds.items()}, [first, second], max_lengths=limits)
     out = None
     for name, label in (
         ("packages", F.concat_ws(" ", "package_uuid", "package_name")),
@@ -259,6 +263,134 @@ def _stream_ingest(spark, d):
     return spark.read.parquet(f"{root}/tables/requests_by_date").select(*TABLES["requests_by_date"].columns)
 
 
+def _keep_last_feed_order(spark, d) -> DataFrame:
+    """Of the feed rows that share a truncated platform, the last one by the
+    feed's row order: the systems feed in an order that has nothing to do with
+    its strings, written as CSV part files and read back with positions."""
+    path = f"{shared_dir(spark)}/feed_order/{uuid.uuid4().hex}"
+    feed = T.systems_feed(spark, d)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (SYSTEM_FEED_COLUMN, "client_type", "date")]
+    shuffled = feed.withColumn("mixed", F.md5(F.concat_ws("|", *parts)))
+    shuffled.repartitionByRange(5, "mixed").sortWithinPartitions("mixed").write.option("header", True).csv(path)
+    rows = read_feed(spark, "systems_by_date", path, position=True)
+    return ingest.ingest_systems_by_date(rows, T.client_types(spark), combine="last", order_col=POSITION)
+
+
+def _quality_rejects(spark, d) -> DataFrame:
+    """The rejected rows of a feed with broken values, as text, one by one."""
+    path = f"{shared_dir(spark)}/rejects/{uuid.uuid4().hex}"
+    log = T.raw_requests(spark, d)
+    kind = F.col("event_id") % 40
+    broken = log.select(
+        "package_uuid",
+        "client_type",
+        F.when(kind == 1, F.lit("ok")).when(kind != 2, F.col("status").cast("string")).alias("status"),
+        F.when(kind == 3, F.lit("2024-02-30")).otherwise(F.col("date").cast("string")).alias("date"),
+        F.when(kind == 4, F.lit("2147483648")).when(kind == 5, F.lit("-1")).otherwise(F.lit("1")).alias("request_count"),
+        "event_id",
+    )
+    broken.repartition(3).write.option("header", True).csv(path)
+    _, rejects = read_feed_checked(spark, "package_requests_by_date", path, required=("status", "request_count"))
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    return rejects.select(
+        "feed",
+        "reason",
+        field("event_id").cast("bigint").alias("event_id"),
+        field("package_uuid").alias("package_uuid"),
+        field("status").alias("status"),
+        field("date").alias("date"),
+        field("request_count").alias("request_count"),
+    )
+
+
+def _stored(spark, d, name: str) -> str:
+    """A fact table loaded twice: at first without the last ten days and with
+    failed requests counted as good ones, then whole. Returns its folder."""
+    root = f"{shared_dir(spark)}/stored/{uuid.uuid4().hex}"
+    load = {"requests_by_date": ingest.ingest_requests_by_date, "requests_by_region_date": ingest.ingest_requests_by_region_date}[name]
+    feed, pk, ct = T.package_feed(spark, d), T.packages(spark, d), T.client_types(spark)
+    cut = F.date_sub(feed.select(F.max("date")).scalar(), 10)
+    spec, dims = TABLES[name].limited({"region": LONGEST_REGION}), {"packages": pk, "client_types": ct}
+    merge_into_table(spark, load(feed.where(F.col("date") <= cut).withColumn("status", F.lit(200)), pk, ct), spec, root, dims)
+    merge_into_table(spark, load(feed, pk, ct), spec, root, dims)
+    return root
+
+
+def _ledger_by_date(spark, d) -> DataFrame:
+    """What the commits of two loads recorded per date: the rows of the table
+    (old keys stay) and of the feed that last changed it."""
+    ledger = read_ledger(spark, TABLES["requests_by_date"], _stored(spark, d, "requests_by_date"))
+    return ledger.select("date", "table_rows", "feed_rows")
+
+
+def _top_month_stored(spark, d) -> DataFrame:
+    """The top list over the stored table: its as-of date comes from the ledger."""
+    stored = read_table(spark, "requests_by_date", _stored(spark, d, "requests_by_date"))
+    return reports.top_packages(stored, T.packages(spark, d), "1 month", client_types=(1, 2, 3))
+
+
+def _package_alpha_stored(spark, d) -> DataFrame:
+    """One package's regions over the stored table, its ids looked up first."""
+    stored = read_table(spark, "requests_by_region_date", _stored(spark, d, "requests_by_region_date"))
+    packages = T.packages(spark, d)
+    ids = reports.ids_of(packages, "ALPHA")
+    return reports.package_share_by(stored, packages, "region", "ALPHA", package_ids=ids)
+
+
+def _top_page_display(spark, d) -> DataFrame:
+    """The month's top list under the page's column titles."""
+    return reports.display(_top("1 month")(spark, d).drop("total_requests"))
+
+
+def _package_name_history(spark, d) -> DataFrame:
+    """Names by successive registry extracts: on each date the packages that
+    users with a purchase asked for, under names that change twice a month."""
+    ev = T.table(spark, d, "events").where("event_type = 'purchase'")
+    date = F.to_date("ts")
+    turn = F.floor(F.dayofmonth(date) / 11).cast("string")
+    uuids = F.concat(F.lit("uuid-"), (F.col("user_id") % 97).cast("string"))
+    extracts = ev.select(date.alias("extract_date"), uuids.alias("package_uuid"), F.concat(uuids, F.lit("-"), turn).alias("package_name"))
+    return dimensions.name_history(extracts.distinct())
+
+
+def _stream_parts(spark, d) -> DataFrame:
+    """Two snapshots of the log as three part files each, in two micro-batches:
+    the first snapshot (without the last ten days) is whole at first, of the
+    second only two files are there; the third and its marker come later."""
+    root = f"{shared_dir(spark)}/stream_parts/{uuid.uuid4().hex}"
+    pk, ct, events = T.packages(spark, d), T.client_types(spark), T.table(spark, d, "events")
+    day = F.to_date("ts")
+    for name, part in (("s1", events.where(day <= F.date_sub(events.select(F.max(day)).scalar(), 10))), ("s2", events)):
+        part.repartition(3, "event_id").write.parquet(f"{root}/outside/{name}")
+    files = [f for f in versions.names(spark, f"{root}/outside/s2") if f.startswith("part-")]
+
+    def arrive(*names: str) -> None:
+        for name in names:
+            versions.move(spark, f"{root}/outside/{name}", f"{root}/landing/{name}")
+
+    def run() -> None:
+        run_snapshot_ingest(
+            spark,
+            source=f"{root}/landing",
+            source_format="parquet",
+            source_schema=events.schema,
+            to_feed=lambda batch: T.raw_requests_from_events(batch, T.table(spark, d, "region"), carry=SNAPSHOT_COLS),
+            transform=lambda feed, carry: ingest.ingest_requests_by_date(feed, pk, ct, carry=carry),
+            spec=TABLES["requests_by_date"],
+            table_root=f"{root}/tables",
+            options={"recursiveFileLookup": "true"},
+            checkpoint=f"{root}/checkpoint",
+            dims={"packages": pk, "client_types": ct},
+            marker="_SUCCESS",
+        )
+
+    arrive("s1", *(f"s2/{f}" for f in files[:-1]))
+    run()
+    arrive(f"s2/{files[-1]}", "s2/_SUCCESS")
+    run()
+    return read_table(spark, "requests_by_date", f"{root}/tables")
+
+
 def _spread_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Reports over a log of 150 dates: every window leaves rows out."""
 
@@ -349,9 +481,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .where(url_contains("url", "example.org/"))
         .select("page_id", "url"),
         "package_region_series": _package_region_series,
+        "top_page_display": _top_page_display,
+        # loads: feed order, rejected rows, stored tables and their ledger, name history
+        "keep_last_feed_order": _keep_last_feed_order,
+        "quality_rejects": _quality_rejects,
+        "ledger_by_date": _ledger_by_date,
+        "top_month_stored": _top_month_stored,
+        "package_alpha_stored": _package_alpha_stored,
+        "package_name_history": _package_name_history,
         # the whole job, and streaming
         "update_job": _update_job,
         "stream_ingest": _stream_ingest,
+        "stream_parts": _stream_parts,
         # windows over a longer log
         **_spread_queries(),
         **(llm.queries() if llm else {}),

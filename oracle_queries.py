@@ -504,7 +504,7 @@ SELECT CAST((SELECT count(*) FROM packages) + row_number() OVER (ORDER BY packag
 FROM (SELECT DISTINCT package_uuid FROM raw_requests WHERE package_uuid NOT IN (SELECT package_uuid FROM packages)) r
 )""",
         """job_log AS (
-SELECT package_id, client_type_id, replace(region, ' ', '') AS region, date, status < 400 AS good,
+SELECT package_id, client_type_id, region, date, status < 400 AS good,
        at_first AND date <= (SELECT max(date) FROM raw_requests) - INTERVAL 10 DAY AS early
 FROM raw_requests r JOIN job_packages USING (package_uuid)
 JOIN client_types c ON coalesce(r.client_type, 'missing') = c.client_type
@@ -540,6 +540,53 @@ def _spread_sql() -> dict[str, str]:
     return {name: _spread(sql) for name, sql in reports.items()}
 
 
+#: the systems feed with its row number; the last of a truncated platform's rows counts
+_FEED_ORDER = """
+SELECT system, c.client_type_id, date, CAST(request_count AS BIGINT) AS request_count
+FROM (
+  SELECT *, concat(split_part(julia_system, '-', 1), '-', split_part(julia_system, '-', 2)) AS system,
+         row_number() OVER (ORDER BY md5(concat_ws('|', julia_system, coalesce(client_type, ''), CAST(date AS VARCHAR)))) AS nth
+  FROM feed
+) f JOIN client_types c ON f.client_type = c.client_type
+QUALIFY row_number() OVER (PARTITION BY system, c.client_type_id, date ORDER BY nth DESC) = 1"""
+
+_REJECTS = """
+SELECT 'package_requests_by_date' AS feed,
+       CASE event_id % 40 WHEN 1 THEN 'cast:status' WHEN 2 THEN 'null:status' WHEN 3 THEN 'cast:date' ELSE 'range:request_count' END AS reason,
+       event_id, concat('uuid-', user_id % 12) AS package_uuid,
+       CASE event_id % 40 WHEN 1 THEN 'ok' WHEN 2 THEN NULL ELSE if(event_type = 'error', '500', '200') END AS status,
+       if(event_id % 40 = 3, '2024-02-30', CAST(CAST(ts AS DATE) AS VARCHAR)) AS date,
+       CASE event_id % 40 WHEN 4 THEN '2147483648' WHEN 5 THEN '-1' ELSE '1' END AS request_count
+FROM events JOIN region ON r_regionkey = user_id % 5
+WHERE event_id % 40 BETWEEN 1 AND 5"""
+
+#: two loads of the log: keys of either, the second load's counts first
+_LOADED = """loaded AS (
+SELECT package_id, client_type_id, {key}date, count(*) FILTER (status < 400) AS good,
+       count(*) FILTER (date <= (SELECT max(date) FROM raw_requests) - INTERVAL 10 DAY) AS early
+FROM raw_requests r JOIN packages USING (package_uuid)
+JOIN client_types c ON coalesce(r.client_type, 'missing') = c.client_type GROUP BY ALL
+),
+kept AS (SELECT * EXCLUDE (good, early), if(good > 0, good, early) AS request_count FROM loaded WHERE good + early > 0)"""
+
+_HISTORY = """
+WITH listed AS (
+  SELECT DISTINCT CAST(ts AS DATE) AS d, concat('uuid-', user_id % 97) AS package_uuid,
+         concat('uuid-', user_id % 97, '-', day(ts) // 11) AS package_name
+  FROM events WHERE event_type = 'purchase'
+),
+days AS (SELECT d, lead(d) OVER (ORDER BY d) AS following, lag(d) OVER (ORDER BY d) AS previous FROM (SELECT DISTINCT d FROM listed)),
+-- a row starts a stretch unless the extract before it has the same row
+marked AS (
+  SELECT l.*, following, b.d IS NULL AS starts
+  FROM listed l JOIN days USING (d)
+  LEFT JOIN listed b ON b.d = previous AND b.package_uuid = l.package_uuid AND b.package_name = l.package_name
+),
+stretch AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY package_uuid, package_name ORDER BY d) AS s FROM marked)
+SELECT package_uuid, package_name, min(d) AS valid_from, max(d) AS last_listed, arg_max(coalesce(following, DATE '9999-12-31'), d) AS x
+FROM stretch GROUP BY package_uuid, package_name, s"""
+
+
 def oracle_sql() -> dict[str, str]:
     return _spread_sql() | {
         "ingest_total": _q(body="SELECT * FROM requests_total"),
@@ -589,4 +636,27 @@ def oracle_sql() -> dict[str, str]:
         "package_region_series": _q(body=_PACKAGE_SERIES),
         "update_job": _update_job(),
         "stream_ingest": _q(body="SELECT * FROM requests_by_date"),
+        "stream_parts": _q(body="SELECT * FROM requests_by_date"),
+        "keep_last_feed_order": _q(f"feed AS ({_SYSTEMS_FEED})", body=_FEED_ORDER),
+        "quality_rejects": _REJECTS,
+        "ledger_by_date": _q(
+            _LOADED.format(key=""),
+            body="SELECT date, count(*) AS table_rows, count(*) FILTER (good > 0) AS feed_rows FROM loaded"
+            " WHERE good + early > 0 GROUP BY date",
+        ),
+        "top_month_stored": _q(
+            _LOADED.format(key=""),
+            body=f"""
+SELECT package_name, CAST(sum(request_count) AS BIGINT) AS total_requests,
+       format('{{:,}}', CAST(sum(request_count) AS BIGINT)) AS total_requests_fmt
+FROM kept JOIN packages USING (package_id) WHERE {_window("kept", "1 month")}
+GROUP BY package_name ORDER BY total_requests DESC, package_name LIMIT 100""",
+        ),
+        "package_alpha_stored": _q(
+            _LOADED.format(key="region, "),
+            f"t AS ({_package_by('kept', ['region', 'date'], name='ALPHA')})",
+            body=_share_sql("region"),
+        ),
+        "top_page_display": f'SELECT package_name AS "Package Name", total_requests_fmt AS "Total Requests" FROM ({_top("1 month")})',
+        "package_name_history": f"SELECT * EXCLUDE (x), nullif(x, DATE '9999-12-31') AS valid_to FROM ({_HISTORY})",
     }

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgpulse.operators.keys import assign_surrogate_keys
@@ -45,3 +45,31 @@ def refresh_packages(
             "package_id", "package_uuid", F.coalesce(F.col("f.package_name"), F.col("o.package_name")).alias("package_name")
         )
     return out
+
+
+def name_history(extracts: DataFrame) -> DataFrame:
+    """Validity intervals of package names from successive registry extracts.
+
+    ``extracts`` holds (extract_date, package_uuid, package_name), every date
+    one whole extract. One row per stretch of successive extracts that list a
+    uuid under one name: ``valid_from`` (its first extract), ``last_listed``, and
+    ``valid_to``, the first extract that no longer does (null: it still holds).
+    A uuid that goes and comes back has a gap; of several names in one extract
+    the first by text counts. The package table itself keeps the first name."""
+    listed = extracts.groupBy("package_uuid", "extract_date").agg(F.min("package_name").alias("package_name"))
+    # the extracts in order: one row per date, so one task numbers them
+    dates = extracts.select("extract_date").distinct()
+    by_date = Window.orderBy("extract_date")
+    numbered = dates.select(
+        "extract_date",
+        F.row_number().over(by_date).alias("nth"),
+        F.lead("extract_date").over(by_date).alias("next_date"),
+    )
+    # of one name, the extract's number less the row's stays the same along a stretch
+    of_name = Window.partitionBy("package_uuid", "package_name").orderBy("nth")
+    rows = listed.join(numbered, "extract_date").withColumn("stretch", F.col("nth") - F.row_number().over(of_name))
+    return rows.groupBy("package_uuid", "package_name", "stretch").agg(
+        F.min("extract_date").alias("valid_from"),
+        F.max("extract_date").alias("last_listed"),
+        F.max_by("next_date", "nth").alias("valid_to"),
+    ).drop("stretch")

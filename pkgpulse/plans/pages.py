@@ -61,21 +61,30 @@ def package_page(
     cleanse: bool = True,
 ) -> dict[str, DataFrame]:
     """The package page; the requested name is cleansed first (trimmed,
-    quotes / backslash / ``;`` / ``--`` / ``/`` / ``%`` removed)."""
+    quotes / backslash / ``;`` / ``--`` / ``/`` / ``%`` removed). Its ids are
+    looked up at once, so that the reports read those packages' row groups."""
     ct = tuple(client_types)
     if cleanse:
         package_name = cleanse_name(F.lit(package_name))
+    ids = reports.ids_of(t.packages, package_name)
     region = reports.package_requests_by(
-        t.requests_by_region_date, t.packages, ["region", "date"], package_name, timeframe, ct
+        t.requests_by_region_date, t.packages, ["region", "date"], package_name, timeframe, ct, package_ids=ids
     )
     return {
         "kpis": reports.request_kpis(
-            t.requests_by_date, timeframe, ct, packages=t.packages, package_name=package_name, week="1 week", day="1 day"
+            t.requests_by_date,
+            timeframe,
+            ct,
+            packages=t.packages,
+            package_name=package_name,
+            week="1 week",
+            day="1 day",
+            package_ids=ids,
         ),
-        "total_downloads": reports.package_daily(t.requests_by_date, t.packages, package_name, timeframe, ct),
+        "total_downloads": reports.package_daily(t.requests_by_date, t.packages, package_name, timeframe, ct, ids),
         "region_downloads": region,
         "region_share": reports.package_share_by(
-            t.requests_by_region_date, t.packages, "region", package_name, timeframe, ct
+            t.requests_by_region_date, t.packages, "region", package_name, timeframe, ct, ids
         ),
     }
 

@@ -26,7 +26,7 @@ from pkgpulse.functions.client_types import DEFAULT_CLIENT_TYPES, client_type_pr
 from pkgpulse.functions.systems import system_label
 from pkgpulse.functions.text import percent_text, with_thousands
 from pkgpulse.functions.timeframes import days_between, parse_timeframe
-from pkgpulse.operators.asof import asof_date, in_window
+from pkgpulse.operators.asof import asof_date, in_window, ledger_of
 from pkgpulse.operators.shares import with_daily_share
 
 # List sizes and trending thresholds of the reference pages.
@@ -86,6 +86,19 @@ def _named(rows: DataFrame, packages: DataFrame) -> DataFrame:
     return rows.join(names, "package_id")
 
 
+def ids_of(packages: DataFrame, package_name: str | Column, most: int = 1000) -> list[int] | None:
+    """The ids of the packages of a name (an action: the ids reach the driver),
+    or None if there are more than ``most``; given to a report, they become a
+    filter that the scan of the fact table applies to row groups."""
+    found = packages.select("package_id", package_key().alias("package_key")).where(name_match(package_name))
+    ids = [r[0] for r in found.select("package_id").distinct().limit(most + 1).collect()]
+    return sorted(ids) if len(ids) <= most else None
+
+
+def _of_ids(rows: DataFrame, package_ids: Sequence[int] | None) -> DataFrame:
+    return rows if package_ids is None else rows.where(F.col("package_id").isin(list(package_ids)))
+
+
 def _per_id(rows: DataFrame, cols: Sequence[str], *aggregates: Column) -> DataFrame:
     """Aggregates per package id, so that the name join sees one row per id
     (and ``cols``) and not every row of the window. Sums and counts per id add
@@ -119,6 +132,7 @@ def package_requests_by(
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
     order: str | None = "auto",
+    package_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """``requests_by`` for one package (name matched ignoring case; packages
     sharing it are summed), or for every package at once when
@@ -126,8 +140,9 @@ def package_requests_by(
 
     ``order='auto'`` sorts a single package's rows for display and leaves
     the all-package batch unsorted (it feeds other jobs; a global sort of
-    every package's rows would be a needless range shuffle)."""
-    rows = _window_rows(fact, timeframe, client_types)
+    every package's rows would be a needless range shuffle). ``package_ids``
+    (``ids_of`` the name) limits the scan to those packages."""
+    rows = _of_ids(_window_rows(fact, timeframe, client_types), package_ids)
     keys = list(group_cols)
     if package_name is not None:
         # the name join is a filter here: it goes before the aggregation
@@ -147,11 +162,12 @@ def package_daily(
     package_name: str | Column | None = None,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
+    package_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Daily totals of a package, date ascending (for every package at once
     when ``package_name`` is None: unsorted batch)."""
     order = "asc" if package_name is not None else None
-    return package_requests_by(fact, packages, ["date"], package_name, timeframe, client_types, order=order)
+    return package_requests_by(fact, packages, ["date"], package_name, timeframe, client_types, order, package_ids)
 
 
 # ------------------------------------------------------------- shares
@@ -175,10 +191,11 @@ def package_share_by(
     package_name: str | Column | None = None,
     timeframe: str = "30d",
     client_types: Iterable[int] = DEFAULT_CLIENT_TYPES,
+    package_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Share of a package's day per series (or of every package's day)."""
     totals = package_requests_by(
-        fact, packages, [series_col, "date"], package_name, timeframe, client_types, order=None
+        fact, packages, [series_col, "date"], package_name, timeframe, client_types, None, package_ids
     )
     parts = ["date"] if package_name is not None else ["package_key", "date"]
     return with_daily_share(totals, series_col, partition_cols=parts)
@@ -219,6 +236,7 @@ def request_kpis(
     by_package: bool = False,
     week: str = "7d",
     day: str = "1d",
+    package_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Past day, past week and selected-timeframe totals in one scan.
 
@@ -233,7 +251,9 @@ def request_kpis(
         "selected_timeframe_requests": parse_timeframe(timeframe).lower_bound(asof),
     }
     widest = F.least(*bounds.values())
-    rows = fact.where((F.col("date") > widest) & client_type_predicate(client_types))
+    # no date is beyond the as-of date, but for one whose commit the ledger does not know yet
+    inside = F.col("date") > widest if ledger_of(fact) is None else (F.col("date") > widest) & (F.col("date") <= asof)
+    rows = _of_ids(fact.where(inside & client_type_predicate(client_types)), package_ids)
     sums = [
         F.coalesce(F.sum(F.when(F.col("date") > low, F.col("request_count"))), F.lit(0)).cast("bigint").alias(name)
         for name, low in bounds.items()

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgpulse.functions.text import badge_markdown, with_thousands
-from pkgpulse.functions.timeframes import trailing
-from pkgpulse.operators.asof import asof_date
+from pkgpulse.operators.asof import in_window
 from pkgpulse.plans.reports import package_key
 
 SUMMARY_WINDOW = "1 month"
@@ -23,9 +22,8 @@ SUMMARY_CLIENT_TYPE = 1
 def last_month_summary(by_date: DataFrame, timeframe: str = SUMMARY_WINDOW) -> DataFrame:
     """Per (package_id, client_type_id): requests in the month before the
     table's latest date (open lower bound). Rebuilt in full after a load."""
-    asof = asof_date(by_date)
     return (
-        by_date.where(trailing("date", asof, timeframe))
+        in_window(by_date, timeframe)
         .groupBy("package_id", "client_type_id")
         .agg(F.sum("request_count").cast("bigint").alias("total_requests"))
     )

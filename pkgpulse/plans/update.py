@@ -11,6 +11,8 @@ Order of work (each table all-or-nothing: stage, check, commit):
 5. create any table still missing (empty, with its schema).
 
 Feeds are optional: a run with only some feeds updates only those tables.
+Feed rows that cannot be loaded fail the job, or, with ``max_rejects``, go to
+``<root>/_rejects/<feed>`` while their share stays within it.
 The fact tables are independent of each other, so their loads are submitted
 concurrently (one driver thread each; Spark runs the jobs side by side).
 Each table is still all-or-nothing; a failed load is re-raised after the
@@ -19,6 +21,7 @@ others finish, as each table commits on its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -42,8 +45,17 @@ from pkgpulse.schemas import (
     VERSION_FEED_COLUMN,
     VERSIONS_BY_DATE,
 )
+from pkgpulse.sources import versions
 from pkgpulse.sources.registry import client_types_frame, read_registries, union_registries
-from pkgpulse.sources.snapshots import create_if_missing, has_rows, read_feed, read_table, table_exists
+from pkgpulse.sources.snapshots import (
+    POSITION,
+    create_if_missing,
+    has_rows,
+    read_feed,
+    read_feed_checked,
+    read_table,
+    table_exists,
+)
 
 # feed name -> (target table, ingest function)
 _PACKAGE_FEEDS = {
@@ -72,6 +84,28 @@ def _require_dimensions(spark: SparkSession, root: str) -> None:
                 raise RuntimeError(f"{spec.name} has rows but {needs} cannot be found under {root}; restore it first")
 
 
+class RejectedError(RuntimeError):
+    """More rows of a feed than allowed cannot be loaded."""
+
+
+def quarantine(rejects: DataFrame, good: DataFrame, feed: str, root: str, most: float) -> str | None:
+    """Write the rejected rows of one load of a feed under ``root`` and return
+    the folder (None if there are none); raise if they are more than the share
+    ``most`` of the feed. They are written first, so that a refused load can be
+    looked into."""
+    path = f"{root.rstrip('/')}/_rejects/{feed}/{uuid.uuid4().hex}"
+    rejects.write.parquet(path)
+    spark = rejects.sparkSession
+    n_bad = spark.read.schema(rejects.schema).parquet(path).count()
+    if not n_bad:
+        versions.delete(spark, path)
+        return None
+    n = n_bad + good.count()
+    if n_bad > most * n:
+        raise RejectedError(f"{feed}: {n_bad} of {n} rows cannot be loaded; they are in {path}")
+    return path
+
+
 def run_update(
     spark: SparkSession,
     root: str,
@@ -81,9 +115,17 @@ def run_update(
     combine: str = "sum",
     refresh_names: bool = False,
     parallel: bool = True,
+    max_lengths: Mapping[str, int] | None = None,
+    max_rejects: float | None = None,
 ) -> dict[str, DataFrame]:
     """Run one update. ``feeds`` maps feed name -> CSV path (or a frame with
-    the feed's columns); ``registries`` are extract paths (CSV) or frames."""
+    the feed's columns); ``registries`` are extract paths (CSV) or frames.
+
+    ``combine='last'`` lets, of the feed rows that share a truncated platform
+    or version, the last one in the feed's row order win (a feed given as a
+    frame is ordered by its full string instead, as it has no row order).
+    ``max_lengths`` replaces length limits of columns. ``max_rejects`` is the
+    largest share of a feed's rows that may be rejected (feeds given as paths)."""
     written: dict[str, DataFrame] = {}
 
     # Dimensions are rewritten only when something changed (bounded checks).
@@ -108,9 +150,18 @@ def run_update(
             written[PACKAGES.name] = packages
     dims = {PACKAGES.name: packages, CLIENT_TYPES.name: client_types}
 
+    in_order = combine == "last"
+
     def load(feed: str) -> DataFrame:
         src = feeds[feed]
-        return src if isinstance(src, DataFrame) else read_feed(spark, feed, src, partitions)
+        if isinstance(src, DataFrame):
+            return src
+        if max_rejects is None:
+            return read_feed(spark, feed, src, partitions, position=in_order and feed in _PLATFORM_FEEDS)
+        required = ("status", "request_count") if feed in _PACKAGE_FEEDS else ()
+        good, rejects = read_feed_checked(spark, feed, src, required, position=in_order and feed in _PLATFORM_FEEDS)
+        quarantine(rejects, good, feed, root, max_rejects)
+        return good.repartition(partitions) if partitions else good
 
     loads = []
     for feed, (spec, fn) in _PACKAGE_FEEDS.items():
@@ -119,11 +170,13 @@ def run_update(
     for feed, (spec, fn) in _PLATFORM_FEEDS.items():
         if feed in feeds:
             order = SYSTEM_FEED_COLUMN if feed == "systems_by_date" else VERSION_FEED_COLUMN
-            loads.append((spec, fn(load(feed), client_types, combine=combine, order_col=order)))
+            rows = load(feed)
+            order = POSITION if POSITION in rows.columns else order
+            loads.append((spec, fn(rows, client_types, combine=combine, order_col=order)))
 
     def merge(item):
         spec, rows = item
-        return spec.name, merge_into_table(spark, rows, spec, root, dims)
+        return spec.name, merge_into_table(spark, rows, spec.limited(max_lengths or {}), root, dims)
 
     errors = []
     if parallel and len(loads) > 1:

@@ -8,7 +8,8 @@ one monthly summary. Spark enforces none of the constraints, so
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql.types import (
     DateType,
@@ -39,6 +40,11 @@ class TableSpec:
     def columns(self) -> list[str]:
         return [f.name for f in self.schema.fields]
 
+    def limited(self, max_lengths: Mapping[str, int]) -> TableSpec:
+        """The same table with other length limits, for the columns it has."""
+        own = {c: n for c, n in max_lengths.items() if c in self.columns}
+        return replace(self, max_lengths={**self.max_lengths, **own})
+
 
 # Column length limits of the stored tables.
 # package_uuid 36, package_name 100, client_type 20, region 10, system 17, version 4
@@ -134,6 +140,17 @@ TABLES: dict[str, TableSpec] = {
     )
 }
 
+# What the commits of a fact table record per date of the feed (null: a table
+# without dates): rows of the table, and rows and digest of the feed's rows.
+LEDGER = StructType(
+    [
+        StructField("date", DateType()),
+        StructField("table_rows", LongType()),
+        StructField("feed_rows", LongType()),
+        StructField("feed_digest", LongType()),
+    ]
+)
+
 # Raw snapshot feeds (CSV with header). Only the columns the jobs use are
 # typed; any further columns of a feed are kept as strings so a row with a
 # null in any column can still be dropped where the job requires it.

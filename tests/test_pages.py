@@ -16,12 +16,12 @@ def warehouse(spark, tmp_path_factory):
     feeds = {
         "package_requests": feed,
         "package_requests_by_date": feed,
-        "package_requests_by_region_by_date": feed.withColumn("region", F.replace(feed.region, F.lit(" "), F.lit(""))),
+        "package_requests_by_region_by_date": feed,
         "systems_by_date": T.systems_feed(spark, SF001),
         "versions_by_date": T.versions_feed(spark, SF001),
     }
     registry = T.packages(spark, SF001).select("package_uuid", "package_name")
-    run_update(spark, root, feeds, [registry])
+    run_update(spark, root, feeds, [registry], max_lengths={"region": 11})
     return root
 
 
