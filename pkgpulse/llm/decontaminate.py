@@ -32,25 +32,24 @@ from pkgpulse.llm.shared import written
 SIZE, LISTS = 10, 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: what ends a word, upper-case letters aside
+BREAKS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 
 
 def folded(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased and everything between words turned into spaces."""
+    return F.translate(text, UPPER + BREAKS, LOWER + " " * len(BREAKS))
 
 
 def exact_words(text: Column) -> Column:
     """The words of a text as an array."""
-    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), BREAK), "")
+    # one character, not a pattern: it is split without the regular expression engine
+    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), " "), "")
 
 
 def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., term, pos): the folded words of each text and their places."""
-    cut = docs.where("text is not null").select(*keep, F.split(folded(F.col("text")), BREAK).alias("cut"))
-    first = (F.col("cut")[0] == "").cast("int").alias("lead")  # an empty piece before the first word
-    rows = cut.select(*keep, first, F.posexplode("cut").alias("place", "term"))
-    return rows.where("term <> ''").select(*keep, "term", (F.col("place") - F.col("lead")).alias("pos"))
+    return docs.where("text is not null").select(*keep, F.posexplode(exact_words(F.col("text"))).alias("pos", "term"))
 
 
 def test_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -173,7 +172,7 @@ def contamination(
         lists.alias("y"), [F.col("x.row") == F.col("y.row"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))], "left"
     )
     result = written(both.select("x.doc_id", "x.row", "n_hit", "found"), "hits")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+    n_words = F.size(exact_words(F.col("text"))).cast("long")
     all_docs = _keyed(docs, id_col, text_col).select("doc_id", "row", n_words.alias("n_words"))
     joined = all_docs.alias("d").join(
         result.alias("r"), [F.col("d.row") == F.col("r.row"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))], "left"

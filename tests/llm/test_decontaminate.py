@@ -99,3 +99,11 @@ def test_capital_sigma_before_marks_is_found(spark):
 def test_no_python_in_the_plans(spark):
     plan = D.contamination(*frames(spark, [(1, "a")], [(1, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in NO_PYTHON)
+
+
+def test_every_separator_ends_a_word(spark):
+    marks = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+    text = "".join(f"{c}aZ{i}" for i, c in enumerate(marks)) + marks
+    docs, items = frames(spark, [(1, text), (2, marks), (3, "Ünd x")], [(7, "AZ3 az4 az5")])
+    got = D.contamination(docs, items).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in got) == [(1, len(marks), 3), (2, 0, 0), (3, 1, 0)]
