@@ -16,9 +16,9 @@ scheme, so no link is lost. Candidates are verified on the whole sets.
 
 Links are needed only as far as they connect texts, so equal sets are one
 vertex, and each group of sets with a common segment value is first compared
-with one hub (a star); then only pairs that are still in different components
-are compared, all of them, but for those whose parity sketches prove that they
-differ too much. Results are exact up to collisions of 64-bit
+with one hub, the set that meets most others (a star); then only pairs that are
+still in different components are compared, all of them, each at its first
+common value, but for those whose parity sketches prove that they differ too much. Results are exact up to collisions of 64-bit
 hashes (shingles, set fingerprints).
 
 Nulls and special cases: a null text, or one without words, has an empty set
@@ -50,7 +50,7 @@ BAND = 1.37
 #: segments of at most this many shingles may be given allowance 2
 SMALL = 2
 
-FACTS = "doc_id long, n_shingles long, fp long, own array<long>, half array<long>"
+FACTS = "doc_id long, place long, n_shingles long, fp long, own array<long>, half array<long>"
 
 # kinds of postings
 FULL, DELETION, WIDE_PROBE = 0, 1, 2
@@ -167,6 +167,7 @@ def _describe(k: int, p: int, q: int):
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"].astype("Int64"),
+                    "place": frame["place"],
                     "n_shingles": np.array(sizes, np.int64),
                     "fp": pd.array(prints, "Int64"),
                     "own": own,
@@ -273,10 +274,14 @@ def jaccard_components(
     """(doc_id, n_shingles, component_id) per row of ``docs``: texts link when
     q * |intersection| >= p * |union| of their ``shingle``-word sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("place", F.xxhash64("doc_id", "text"))  # the row that a set is read from again
     scheme = _scheme(p, q)
     facts = written(docs.mapInPandas(_describe(shingle, p, q), FACTS), "sets")
     classes = facts.where("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count("*").alias("members")
+        F.min("doc_id").alias("first_id"),
+        F.min("place").alias("place"),
+        F.max("n_shingles").alias("n"),
+        F.count("*").alias("members"),
     )
 
     same_key = Window.partitionBy("key")
@@ -307,7 +312,10 @@ def jaccard_components(
     members = written(both.join(sizes.select("fp", "n"), "fp"), "members")
 
     groups = members.select("key", "fp")
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("other"))
+    # a key's hub is the set that meets most others in its keys: one in the middle of a crowd
+    crowd = groups.groupBy("key").agg(F.count("*").alias("met"))
+    met = written(groups.join(crowd, "key").groupBy("fp").agg(F.sum("met").alias("met")), "met")
+    hubs = groups.join(met, "fp").groupBy("key").agg(F.max(F.struct("met", F.xxhash64("fp"), "fp"))["fp"].alias("other"))
     stars = groups.join(hubs, "key").where("fp <> other").select("fp", "other").distinct()
     stars = written(_open_pairs(stars, sizes, p, q), "stars")
     # first one hub per set, then the other hubs as far as they are still apart
@@ -322,16 +330,20 @@ def jaccard_components(
     )
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     open_groups = written(placed.join(split.select("key"), "key"), "open")
+    # a pair is made at its first common key only: each set comes with its sorted keys
+    keyed = open_groups.groupBy("fp", "root", "n", "prober").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     # the sketches, far longer than the other columns, join the open groups only, and are not written with them
-    sketched = open_groups.join(sizes.select("fp", "own", "half"), "fp")
+    sketched = keyed.join(sizes.select("fp", "own", "half"), "fp").select("*", F.posexplode("keys").alias("at", "key"))
     x, y = sketched.where("prober").alias("x"), sketched.where("not prober").alias("y")
+    before = [F.slice(F.col(f"{side}.keys"), 1, F.col(f"{side}.at")) for side in "xy"]
     rest = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.root") != F.col("y.root"))
         & (F.col("x.n") <= F.col("y.n"))
         & (F.col("y.n") * p <= F.col("x.n") * q)
-        & _may_link("x", "y", p, q),
+        & _may_link("x", "y", p, q)
+        & ~F.arrays_overlap(*before),
     ).select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other"))
     second = written(_verified(docs, sizes, rest, shingle, p, q), "links")
     components = connected_components(first.unionByName(second))
@@ -382,8 +394,9 @@ def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, shingle: int,
     whole texts, are similar."""
     pairs = written(pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = written(needed.join(sizes.select("fp", "first_id"), "fp").select(F.col("first_id").alias("doc_id")), "ids")
-    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInPandas(_sets(shingle), "fp long, items binary")
+    places = written(needed.join(sizes.select("fp", "place"), "fp").select("place"), "places")
+    texts = docs.join(places, "place", "left_semi").dropDuplicates(["place"]).select("text")
+    sets = texts.mapInPandas(_sets(shingle), "fp long, items binary")
     return (
         pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")

@@ -144,3 +144,13 @@ def test_connected_components(spark):
     assert roots == {i: find(i) for i in list(parent)}
     none = spark.createDataFrame([], "a long, b long")
     assert connected_components(none.select("a", F.col("b"))).collect() == []
+
+
+def test_a_row_without_an_id_links_the_rows_beside_it(spark):
+    base = [f"w{i}" for i in range(80)]
+    bridge = [*base[:-2], "x1", "x2"]
+    far = [*bridge[2:], "y1", "y2"]
+    rows = [(1, " ".join(base)), (None, " ".join(bridge)), (3, " ".join(far)), (None, None)]
+    got = jaccard_components(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), shingle=3, p=9, q=10)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id) == [(1, 1), (3, 1)]
+    assert [r.component_id for r in got.collect() if r.doc_id is None] == [None, None]
