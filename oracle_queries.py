@@ -519,6 +519,17 @@ def _spread(sql: str) -> str:
     return sql.replace("CAST(ts AS DATE) AS date", "CAST(ts AS DATE) - CAST(event_id % 5 * 30 AS INT) AS date")
 
 
+def _windows_sql() -> str:
+    windows = {"past_1d": "1 day", "past_7d": "7 day", "past_30d": "30 day", "past_120d": "120 day", "all_time": "100 years"}
+    sums = ", ".join(
+        f"CAST(coalesce(sum(b.request_count) FILTER (b.{_window('requests_by_date', t)}), 0) AS BIGINT) AS {name}"
+        for name, t in windows.items()
+    )
+    return f"""
+SELECT lower(p.package_name) AS package_key, {sums}
+FROM packages p LEFT JOIN requests_by_date b ON b.package_id = p.package_id AND b.{_ct()} GROUP BY 1"""
+
+
 def _spread_sql() -> dict[str, str]:
     """Reports over 150 dates, so that every window leaves rows out."""
     region_date = _package_by("requests_by_region_date", ["region", "date"])
@@ -536,6 +547,8 @@ def _spread_sql() -> dict[str, str]:
         "spread_package_region_share": _q(f"t AS ({region_date})", body=_share_sql("region", "package_key, date")),
         "spread_summary_last_month": _q(body=_SUMMARY),
         "spread_monthly_downloads": _lookup("summary_t", "total_requests"),
+        "summary_incremental": _q(body=_SUMMARY),
+        "kpis_by_prefix": _q(body=_windows_sql()),
     }
     return {name: _spread(sql) for name, sql in reports.items()}
 

@@ -294,3 +294,34 @@ def test_snapshots_wait_for_their_marker(spark, scratch):
     put("s2/late.csv", line(7), 2000)
     assert load() == {30: 5, 31: 17}  # a late part: its snapshot is summed anew
     assert load() == {30: 5, 31: 17}
+
+
+# ------------------------------------------------- summary and running totals
+
+
+def test_summary_advances_like_a_full_recompute(spark):
+    from pkgpulse.plans import summary
+
+    before = [(1, 1, D(2024, 2, 20), 5), (2, 1, D(2024, 3, 1), 7), (3, 1, D(2024, 3, 15), 0), (4, 1, D(2024, 3, 20), 2)]
+    after = [*before[:3], (4, 1, D(2024, 3, 20), 9), (3, 2, D(2024, 3, 20), 1), (1, 1, D(2024, 4, 5), 4)]
+    old, new = facts(spark, *before), facts(spark, *after)
+    state = summary.summary_state(old.where(F.col("date") > "2024-02-20"))
+    got = summary.advance_summary(state, old, new, [D(2024, 3, 20), D(2024, 4, 5)], D(2024, 3, 20), D(2024, 4, 5))
+    # 03-01 is left behind; a key whose total is zero stays while it has a row
+    assert rows(got.drop("n_rows")) == [(1, 1, 4), (3, 1, 0), (3, 2, 1), (4, 1, 9)]
+    assert rows(got.drop("n_rows")) == rows(summary.last_month_summary(new))
+    with pytest.raises(ValueError, match="goes back"):
+        summary.advance_summary(state, old, new, [], D(2024, 3, 20), D(2024, 3, 19))
+
+
+def test_running_totals_carry_over_missing_days(spark):
+    from pkgpulse.plans import summary
+
+    by_date = facts(spark, (1, 1, D(2024, 1, 1), 5), (1, 1, D(2024, 1, 4), 2), (2, 1, D(2024, 1, 5), 1), (1, 2, D(2024, 1, 5), 50))
+    running = summary.running_totals(by_date)
+    assert rows(running.where("package_id = 1 and client_type_id = 1"), "date", "running") == [
+        (D(2024, 1, d), n) for d, n in ((1, 5), (2, 5), (3, 5), (4, 7), (5, 7))
+    ]
+    pk = packages(spark, (1, "u1", "A"), (2, "u2", "a"), (3, "u3", "None"))
+    got = summary.window_totals(running, pk, {"one": "1d", "two": "2d", "all": "all"})
+    assert rows(got) == [("a", 1, 3, 8), ("none", 0, 0, 0)]
