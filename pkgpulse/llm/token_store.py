@@ -50,7 +50,10 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: a shard is closed once its payload reaches this size
 SHARD_BYTES = 4 << 20
-MEMO = 800_000
+#: words remembered by a task; new words that are encoded as one text
+MEMO, JOINED = 800_000, 256
+#: text that one task encodes
+PART_BYTES = 16 << 20
 
 
 class WordEncoder(dict):
@@ -67,18 +70,35 @@ class WordEncoder(dict):
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text, then the end id."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in self})
+        words = set().union(*cut)
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > MEMO:
             self.clear()
-            new = list({w for words in cut for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+            new = list(words)
+        # letters and ASCII keep their places under the file's normalizers
+        plain = [w for w in new if w.isascii() or w.isalpha()]
+        for i in range(0, len(plain), JOINED):
+            self._add_joined(plain[i : i + JOINED])
+        other = [w for w in new if not (w.isascii() or w.isalpha())]
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
         last = np.array([end], "<u4").tobytes()
         return [b"".join([*map(self.__getitem__, words), last]) for words in cut]
 
 
+    def _add_joined(self, words: list[str]) -> None:
+        """Encode the words as one text, which costs half of encoding each, and
+        cut the ids where the tokens' places in the text reach the next word."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.array([at for at, _ in found.offsets], np.int64)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        ids, low = np.array(found.ids, "<u4").tobytes(), 0
+        for word, high in zip(words, (4 * np.searchsorted(starts, ends)).tolist(), strict=True):
+            self[word], low = ids[low:high], high
+
+
 @cache
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -121,7 +141,8 @@ def write_store(
     """Encode every text and write the store; returns its folder.
 
     Rows are dealt by ranges of the id, so that parts, and shards in them,
-    follow the id order without one task seeing all rows."""
+    follow the id order without one task seeing all rows; their number follows
+    the size of the texts."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     folder = folder or f"{shared_dir(spark)}/llm/tokens-{uuid.uuid4().hex}"
@@ -156,15 +177,14 @@ def write_store(
         if rows:
             yield close()
 
-    dealt = docs.repartitionByRange(_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # by the size of the texts, whatever the shuffle's setting; equal ids are split by how their texts begin
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = docs.repartitionByRange(size // PART_BYTES + 1, "doc_id", F.substring("text", 1, 32))
+    dealt = ranged.sortWithinPartitions("doc_id", "text")
     dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInPandas(shards, SHARDS).write.parquet(f"{folder}/shards")
     return folder
 
 
-def _parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _dictionary(spark: SparkSession, folder: str) -> tuple[str, bytes]:
     row = spark.read.parquet(f"{folder}/dictionary").first()
     dictionary = bytes(row.dictionary)

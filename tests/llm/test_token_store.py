@@ -69,3 +69,15 @@ def test_another_dictionary_is_refused(spark):
     spark.read.parquet(f"{folder}/dictionary").write.parquet(f"{other}/dictionary")
     with pytest.raises(Exception, match="another dictionary"):
         S.read_store(spark, other).collect()
+
+
+def test_joined_words_are_cut_where_they_were(spark):
+    words = ["plain", "Ünïcode", "don't", "a1b2", "x" * 300, "'s", "--", "\x7f", "\x00", "\x1c", "a\tb", "한글", "é", "é", "İ", "ǅ", "ﬁ", "①", " ", "a b", "하", "🙂", "ß", "ſ", ""]
+    text = " ".join(words * 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = S.WordEncoder(path)
+    (got,) = encoder.encode([text], 2)
+    want = [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert np.frombuffer(got, "<u4").tolist() == want
+    for word in words:
+        assert np.frombuffer(encoder[word], "<u4").tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids
