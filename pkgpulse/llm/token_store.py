@@ -116,8 +116,11 @@ def train_dictionary(docs: DataFrame, path: str, end: int) -> bytes:
         for frame in frames:
             yield pd.DataFrame({"ids": [x[: 4 * SAMPLE_IDS] for x in _encoder(path).encode(_texts(frame["text"]), end)]})
 
-    starts = docs.select("doc_id", F.substring("text", 1, 2 * SAMPLE_IDS).alias("text"))
-    rows = starts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).select("text")
+    # keys are ordered and limited without their texts; at most SAMPLE_ROWS of them are broadcast
+    placed = docs.withColumn("place", F.xxhash64("doc_id", "text"))
+    keys = placed.select("doc_id", "place").orderBy(F.xxhash64("doc_id"), "doc_id", "place").limit(SAMPLE_ROWS)
+    starts = placed.join(F.broadcast(keys.select("place").distinct()), "place", "left_semi").dropDuplicates(["place"])
+    rows = starts.select(F.substring("text", 1, 2 * SAMPLE_IDS).alias("text"))
     samples = [bytes(r.ids) for r in rows.mapInPandas(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL, threads=0).as_bytes()
