@@ -1,7 +1,6 @@
 """Page builders over curated tables written by the update job."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from pkgpulse.plans import pages
 from pkgpulse.plans.update import run_update
