@@ -5,11 +5,12 @@ two neighbours are (the pair is what BPE makes of its joined bytes). So the
 result for a prefix ends with the longest token that is a suffix of it and
 fits the last token of what precedes, and one pass from left to right keeps,
 for each position, the last token of the prefix that ends there. A boundary
-is stable once the results of all prefixes ending within the longest token's
-length of the head agree on it: whatever follows, the final result passes
-through one of those prefixes. Stable tokens are emitted and forgotten; the
-merge list bounds how far back the prefixes may disagree (``lookahead``), so
-memory is constant however long the text is.
+is stable once the results of all prefixes that may go on agree on it: whatever
+follows, the final result passes through the head, or through a place from
+which the bytes up to the head are the beginning of a longer token. Stable
+tokens are emitted and forgotten, every pretoken's alike; the merge list bounds
+how far back the prefixes may disagree (``lookahead``), so memory is constant
+however long the text is.
 
 Decoding. Token bytes are fed to a byte-to-text state machine one token at a
 time; bytes of an unfinished character wait for the next token, malformed
@@ -47,6 +48,8 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 #: entries of the memo of encoded chunks; it is emptied when full
 MEMO = 400_000
+#: bytes between two looks for a stable boundary
+STEP = 8
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,15 +79,12 @@ class Transducer:
         # a token can stand in a result only if BPE makes it of its own bytes
         self.ids = {b: i for b, i in ids.items() if self.merge(b) == [i]}
         self.longest = max(map(len, self.ids))
-        # a byte trie of the tokens (a node's token under -1), and each token's longest proper prefix that is a token
-        self.trie: dict = {}
-        self.shorter: dict[int, int | None] = {}
-        for b, i in sorted(self.ids.items()):
-            node, prefix = self.trie, None
+        self.trie: dict = {}  # a byte trie of the tokens, a node's token under -1
+        for b, i in self.ids.items():
+            node = self.trie
             for byte in b:
-                prefix = node.get(-1, prefix)
                 node = node.setdefault(byte, {})
-            node[-1], self.shorter[i] = i, prefix
+            node[-1] = i
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self._spines()
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -143,60 +143,39 @@ class Transducer:
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one pretoken whose bytes come in pieces, each id as
-        soon as it is stable. Prefix results are only followed once there is
-        more than a window of bytes; what ends within it is searched at once."""
-        ids, fits, longest = self.ids, self.fits, self.longest
-        held = b""  # the bytes after the last stable boundary
-        last: list[int | None] = [None]  # last[i]: last token of the result that ends at held[:i]
-        check, follow = 2 * longest, False
+        soon as it is stable. Kept are the last token of each prefix since the
+        last stable boundary, and the places from which a token may still go on."""
+        fits, trie = self.fits, self.trie
+        last: list[int | None] = [None]  # last[i]: last token of the result of the first i bytes
+        going: list[tuple[int, dict]] = []  # (start, trie node) of tokens that hold all bytes since their start
+        check = STEP
         for piece in pieces:
-            held += piece
-            follow = follow or len(held) >= check
-            while follow and len(last) <= len(held):
-                end = len(last)
-                for size in range(min(end, longest), 0, -1):
-                    token = ids.get(held[end - size : end])
-                    if token is not None and ((before := last[end - size]) is None or fits[before << 32 | token]):
-                        break
+            for byte in piece:
+                token, still = None, []
+                going.append((len(last) - 1, trie))
+                for start, node in going:  # the longest first
+                    node = node.get(byte)
+                    if node is None:
+                        continue
+                    still.append((start, node))
+                    if token is None and (ends := node.get(-1)) is not None:
+                        before = last[start]
+                        if before is None or fits[before << 32 | ends]:
+                            token = ends
                 last.append(token)
-                if end >= check:
-                    if cut := self._stable(last):
+                going = still
+                if len(last) > check:
+                    if cut := self._stable(last, going):
                         yield from self._path(last, cut)
-                        held, last = held[cut:], last[cut:]
-                    check = len(last) - 1 + longest
-        yield from self._path(last, len(held)) if follow else self._search(held)
-
-    def _search(self, data: bytes) -> list[int]:
-        """The one sequence of tokens in which all neighbours fit: longest
-        match first, back from positions that no result passes through."""
-        shorter, size, fits, trie = self.shorter, self.size, self.fits, self.trie
-        out: list[int] = []
-        dead: set[int] = set()
-        at, before, end = 0, -1, len(data)
-        while at < end:
-            node, token = trie, None
-            for byte in data[at : at + self.longest]:  # the longest token that stands here
-                node = node.get(byte)
-                if node is None:
-                    break
-                token = node.get(-1, token)
-            while True:
-                if token is None:  # no result passes through here
-                    dead.add(at)
-                    token = out.pop()
-                    at -= size[token]
-                    before = out[-1] if out else -1
-                elif at + size[token] not in dead and (before < 0 or fits[before << 32 | token]):
-                    break
-                token = shorter[token]
-            out.append(token)
-            at += size[token]
-            before = token
-        return out
-
-    def _stable(self, last: list) -> int:
-        """The last boundary on which all results that may go on agree."""
-        heads = set(range(len(last) - self.longest, len(last)))
+                        last, going = last[cut:], [(start - cut, node) for start, node in going if start >= cut]
+                    check = len(last) + STEP
+        yield from self._path(last, len(last) - 1)
+
+    def _stable(self, last: list, going: list[tuple[int, dict]]) -> int:
+        """The last boundary on which all results that may go on agree. The
+        token over the head begins at the head or where a longer token may
+        still go on, and what precedes it is the result of that prefix."""
+        heads = {len(last) - 1, *(start for start, node in going if len(node) > (-1 in node))}
         while len(heads) > 1:
             head = max(heads)
             heads.remove(head)

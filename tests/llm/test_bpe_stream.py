@@ -44,6 +44,24 @@ def test_same_ids_and_text_as_the_library(library, transducer):
         assert B.decode_ids(transducer, ids, step=3) == library.decode(expected, skip_special_tokens=False) == text
 
 
+def test_tokens_of_short_pretokens_come_out_before_the_end(transducer):
+    """Every pretoken goes through the same states, whatever its length."""
+    for text in [" internationalization", "antidisestablishmentarianism", " Donaudampfschifffahrtsgesellschaft"]:
+        data, given, early = text.encode(), 0, 0
+
+        def pieces(data=data):
+            nonlocal given
+            for given in range(1, len(data) + 1):
+                yield data[given - 1 : given]
+
+        ids = []
+        for token in transducer.stream(pieces()):
+            ids.append(token)
+            early += given < len(data)
+        assert b"".join(transducer.bytes_of[i] for i in ids) == data
+        assert ids == transducer.merge(data) and early > 0, text
+
+
 def test_pieces_of_any_size_give_the_same_tokens(transducer):
     rng = random.Random(5)
     data = "".join(rng.choice("etaoin") for _ in range(3000)).encode()
