@@ -60,7 +60,7 @@ def blocks(page: str | None) -> list[Block]:
     def end_block() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 path = tuple(x for tag, own in stack if tag not in INLINE for x in own)
                 out.append(Block(path, text, min(linked, len(text))))
@@ -70,7 +70,7 @@ def blocks(page: str | None) -> list[Block]:
     def text(piece: str) -> None:
         nonlocal linked
         if piece:
-            parts.append(piece)
+            parts.append(html.unescape(piece))  # a reference ends where markup begins
             if inside_link:
                 linked += len(piece)
 

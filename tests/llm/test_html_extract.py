@@ -93,3 +93,10 @@ def test_given_pages_give_their_article(spark):
     got = {r.page_id: r.text for r in X.extract(pages).collect()}
     want = {r.page_id: "\n".join(b.text for b in blocks(r.html) if "article" in b.path) for r in pages.collect()}
     assert got == want
+
+
+def test_references_are_decoded_piece_by_piece():
+    """Markup ends a character reference: pieces are decoded before they are joined."""
+    text = lambda page: [b.text for b in blocks(page)]
+    assert text("<p>&am<b>p;x</b></p>") == ["&amp;x"]
+    assert text("<p>a &lt;<i>b</i>&gt; &amp;amp; c</p>") == ["a <b> &amp; c"]
