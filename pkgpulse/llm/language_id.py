@@ -11,6 +11,10 @@ are, a text's other words are left open: each distinct open word is joined to
 the table of the other words or, when it is not there, its n-grams to that of
 the other n-grams, and the log frequencies are added to the texts by a join.
 
+The posterior is near 1 after a few words, whatever they are. So ``predict``
+also counts the known words: those learned from other texts of the predicted
+language. Gibberish and languages that were not learned have few.
+
 Words are maximal runs of letters of the lower-cased text.
 
 Nulls and special cases: a null text, or one without a letter, is ``und``
@@ -22,13 +26,13 @@ other; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ WORDS, GRAMS, GRAM = 60_000, 20_000, 5
 HELD, MEMO = 300_000, 400_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words(text: str) -> list[str]:
@@ -95,9 +99,16 @@ class Model:
     gram_row: dict[str, int]
     table: np.ndarray
     unseen: np.ndarray  # a word none of whose characters was learned
+    totals: np.ndarray = field(default_factory=lambda: np.zeros(0))  # what the counts of words are divided by
     rest: dict[int, DataFrame] = field(default_factory=dict)
 
 
+def _known(logs: np.ndarray, times: np.ndarray, own: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Per language, how many of a text's learned words were counted more
+    often than in the text itself (``own``, if it was learned from)."""
+    return times @ (logs > np.log((own[:, None] + 0.75) / totals))
+
+
 def _backed_off(model: Model, word: str, longest: int = GRAM) -> np.ndarray:
     for n in range(longest, 0, -1):
         known = [model.gram_row[g] for g in grams(word, n) if g in model.gram_row]
@@ -127,22 +138,27 @@ class Scorer(dict):
     def backed_off(self, word: str) -> np.ndarray:
         return _backed_off(self.model, word)
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        found = words(text) if isinstance(text, str) else []
+    def score(self, text: str | None, learned: bool = False) -> tuple[str, float, int, int]:
+        """Language, posterior, number of words, number of known ones."""
+        found = list(Counter(words(text)).items()) if isinstance(text, str) else []
         langs = self.model.langs
         if not found or not langs:
-            return UNKNOWN, 0.0
-        total = sum(self._total(found[i : i + MEMO // 2]) for i in range(0, len(found), MEMO // 2))
+            return UNKNOWN, 0.0, sum(n for _, n in found), 0
+        total, known = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
+        for i in range(0, len(found), MEMO // 2):
+            part = found[i : i + MEMO // 2]
+            if self.used + len(part) > len(self.rows):  # forget the unseen words
+                self.clear()
+                self.update(self.model.word_row)
+                self.used = len(self.model.table)
+            at, times = np.array([(self[w], n) for w, n in part], np.int64).T
+            total += times @ self.rows[at]
+            word = at < len(self.model.word_row)
+            at, times = at[word], times[word]
+            known += _known(self.rows[at], times, times * learned, self.model.totals)
         odds = np.exp(total - total.max())
         best = int(total.argmax())
-        return langs[best], float(odds[best] / odds.sum())
-
-    def _total(self, found: list[str]) -> np.ndarray:
-        if self.used + len(found) > len(self.rows):  # forget the unseen words
-            self.clear()
-            self.update(self.model.word_row)
-            self.used = len(self.model.table)
-        return self.rows[[self[w] for w in found]].sum(0)
+        return langs[best], float(odds[best] / odds.sum()), sum(n for _, n in found), int(known[best])
 
 
 def learn(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
@@ -176,10 +192,11 @@ def learn(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
     top = entries.where(is_common).select("size", "entry", F.explode("by").alias("by")).select("size", "entry", "by.lang", "by.n").toPandas()
 
     at = {lang: i for i, lang in enumerate(langs)}
-    tables, word_row, gram_row, rest, used = [], {}, {}, {}, 0
+    tables, word_row, gram_row, rest, used, totals = [], {}, {}, {}, 0, np.zeros(0)
     for length in sorted(distinct):
         found = top[top["size"] == length]
         total = np.array([sums.get((length, x), 0) for x in langs], float) + 0.5 * (distinct[length] + 1)
+        totals = total if length == 0 else totals
         values = sorted(found["entry"].unique())
         place = {v: i for i, v in enumerate(values)}
         table = np.full((len(values), len(langs)), 0.5)
@@ -191,7 +208,7 @@ def learn(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
             others = entries.where(size == length).where(~is_common).select("entry", F.map_from_entries("by").alias("by"))
             log = [F.log((F.coalesce(F.col("by")[x], F.lit(0)) + 0.5) / float(t)) for x, t in zip(langs, total, strict=True)]
             rest[length] = others.select("entry", F.array(*log).alias("logs"))
-    return Model(langs, word_row, gram_row, np.concatenate(tables), np.zeros(len(langs)), rest)
+    return Model(langs, word_row, gram_row, np.concatenate(tables), np.zeros(len(langs)), totals, rest)
 
 
 def _sums(logs: str, n: int, times: Column | None = None) -> Column:
@@ -201,16 +218,19 @@ def _sums(logs: str, n: int, times: Column | None = None) -> Column:
 
 def _open_words(frames: Iterable[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     """Of each text the number of words, the sum of the logs of the common
-    ones, and the others with their counts."""
+    ones, per language how many of these are known, and the others with their
+    counts."""
     for frame in blocks(frames, "text"):
         rows = []
-        for text in frame["text"]:
+        for text, learned in zip(frame["text"], frame["learned"], strict=True):
             found = Counter(words(text) if isinstance(text, str) else [])
             known = [(model.word_row[w], n) for w, n in found.items() if w in model.word_row]
             at, times = np.array(known, np.int64).reshape(-1, 2).T
             others = {w: n for w, n in found.items() if w not in model.word_row}
-            rows.append((found.total(), times @ model.table[at], list(others), list(others.values())))
-        out = pd.DataFrame(rows, columns=["n_words", "logs", "open", "times"])
+            logs = model.table[at]
+            n_known = _known(logs, times, times * bool(learned), model.totals)
+            rows.append((bool(learned), found.total(), times @ logs, n_known, list(others), list(others.values())))
+        out = pd.DataFrame(rows, columns=["learned", "n_words", "logs", "known", "open", "times"])
         out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
         yield out
 
@@ -265,42 +285,56 @@ def _joined(docs: DataFrame, model: Model, shared) -> DataFrame:
     n_langs = len(model.langs)
     cut = docs.mapInPandas(
         lambda frames: _open_words(frames, shared.value),
-        "doc_id long, n_words long, logs array<double>, open array<string>, times array<long>",
+        "doc_id long, learned boolean, n_words long, logs array<double>, known array<long>, open array<string>, times array<long>",
     )
     cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "scored")
-    pairs = cut.select("row", F.explode(F.arrays_zip("open", "times")).alias("x")).select("row", F.col("x.open").alias("word"), "x.times")
+    pairs = cut.select("row", "learned", F.explode(F.arrays_zip("open", "times")).alias("x"))
+    pairs = pairs.select("row", "learned", F.col("x.open").alias("word"), "x.times")
     distinct = pairs.select("word").distinct()
     if 0 in model.rest:
         looked = written(distinct.join(model.rest[0].withColumnRenamed("entry", "word"), "word", "left"), "looked")
         unseen = _unseen_logs(looked.where("logs is null").select("word"), model, shared)
-        logs = looked.where("logs is not null").unionByName(unseen)
+        logs = looked.where("logs is not null").withColumn("is_word", F.lit(True))
+        logs = logs.unionByName(unseen.withColumn("is_word", F.lit(False)))
     else:
-        logs = _unseen_logs(written(distinct, "open"), model, shared)
-    added = pairs.join(logs, "word").groupBy("row").agg(_sums("logs", n_langs, F.col("times")).alias("added"))
+        logs = _unseen_logs(written(distinct, "open"), model, shared).withColumn("is_word", F.lit(False))
+    own = F.when(F.col("learned"), F.col("times")).otherwise(0) + 0.75
+    more = [F.when(F.col("is_word") & (F.col("logs")[i] > F.log(own / float(t))), F.col("times")) for i, t in enumerate(model.totals)]
+    added = pairs.join(logs, "word").groupBy("row").agg(
+        _sums("logs", n_langs, F.col("times")).alias("added"), F.array(*(F.coalesce(F.sum(x), F.lit(0)) for x in more)).alias("more")
+    )
     total = F.array(*(F.col("logs")[i] + F.coalesce(F.col("added")[i], F.lit(0.0)) for i in range(n_langs)))
-    summed = cut.select("row", "doc_id", "n_words", "logs").join(added, "row", "left")
-    summed = summed.select("doc_id", "n_words", total.alias("total")).withColumn("best", F.array_max("total"))
+    known = F.array(*(F.col("known")[i] + F.coalesce(F.col("more")[i], F.lit(0)) for i in range(n_langs)))
+    summed = cut.select("row", "doc_id", "n_words", "logs", "known").join(added, "row", "left")
+    summed = summed.select("doc_id", "n_words", total.alias("total"), known.alias("known")).withColumn("best", F.array_max("total"))
     odds = F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
-    lang = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", F.col("best")).cast("int"))
+    place = F.array_position("total", F.col("best")).cast("int")
     some = F.col("n_words") > 0
     return summed.select(
         "doc_id",
-        F.when(some, lang).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(some, F.element_at(F.array(*map(F.lit, model.langs)), place)).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(some, 1 / odds).otherwise(0.0).alias("score"),
+        "n_words",
+        F.when(some, F.element_at("known", place)).otherwise(0).cast("long").alias("n_known"),
     )
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) per row, from the text alone."""
+def predict(docs: DataFrame, model: Model, learned: Column | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, n_words, n_known) per row, from the text
+    alone. ``learned`` marks rows that the model was learned from: their own
+    words do not make them known."""
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest={}))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("learned"))
     if model.rest:
         return _joined(docs, model, shared)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for frame in blocks(frames, "text"):
-            langs, scores = zip(*map(scorer.score, frame["text"]), strict=True)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(), "lang_pred": langs, "score": scores})
+            rows = list(map(scorer.score, frame["text"], frame["learned"]))
+            out = pd.DataFrame(rows, columns=["lang_pred", "score", "n_words", "n_known"])
+            out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
+            yield out
 
-    return docs.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInPandas(run, "doc_id long, lang_pred string, score double, n_words long, n_known long")

@@ -1,10 +1,10 @@
 """Language identification: held-out accuracy, and a brute-force scorer."""
 
 import math
-import re
 from collections import Counter
 
 import pytest
+import regex
 
 from pkgpulse.llm import language_id as L
 
@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string"
 
 def brute(rows, text):
     """Word log frequency, else the mean over the longest n-grams known."""
-    find = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    find = lambda t: regex.findall(r"\p{L}+", t.lower())
     train = [(find(t), lang) for _, t, lang in rows if t is not None and lang is not None]
     langs = sorted({lang for _, lang in train})
     counts = {lang: Counter(w for ws, x in train if x == lang for w in ws) for lang in langs}
@@ -47,14 +47,14 @@ def test_matches_brute_force(spark):
     model = L.learn(spark.createDataFrame(ROWS, SCHEMA))
     scorer = L.Scorer(model)
     for text in ["the dog", "Katzen", "chats chiens", "xyz cat", "häuser und dogs", "THE the", "q", "Hundehaus 12"]:
-        lang, score = scorer.score(text)
+        lang, score, _, _ = scorer.score(text)
         want, p = brute(ROWS, text)
         assert (lang, score) == (want, pytest.approx(p)), text
 
 
 def test_special_rows(spark):
     model = L.learn(spark.createDataFrame(ROWS, SCHEMA))
-    docs = [(1, None, None), (2, "", None), (3, "12 !! _ 3", "en"), (3, "das Haus", "en"), (None, "le chat", "x"), (9, "中文", "z")]
+    docs = [(1, None, None), (2, "½ ² ① Ⅷ", None), (3, "12 !! _ 3", "en"), (3, "das Haus", "en"), (None, "le chat", "x"), (9, "中文", "z")]
     docs.append((10, "the " * 300_000 + " ".join(f"w{chr(97 + i % 26)}{'xyz'[i % 3] * (i % 17)}" for i in range(9000)), None))
     df = spark.createDataFrame(docs, "doc_id long, text string, score string")
     got = sorted(((r.doc_id or 0, r.lang_pred, round(r.score, 3)) for r in L.predict(df, model).collect()))
@@ -95,3 +95,23 @@ def test_entries_outside_the_broadcast_are_joined(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(300)
     few, all_ = ({r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs, L.learn(docs.where("doc_id % 3 <> 0"), *n)).collect()} for n in ((500, 300), (10**6, 10**6)))
     assert few.keys() == all_.keys() and all(few[i] == (all_[i][0], pytest.approx(all_[i][1])) for i in few)
+
+
+def test_known_words_are_those_of_other_texts(spark):
+    """By brute force, with all entries at hand and with all of them joined."""
+    rows = [*ROWS, (8, "the zog zog", "en"), (9, "kjsdhf ksjdhf kjsdhf", "de")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    find = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    by_lang = {}
+    for _, text, lang in rows:
+        if lang:
+            by_lang.setdefault(lang, Counter()).update(find(text))
+    for kwargs in ({}, {"n_words": 0, "n_grams": 0}):
+        got = L.predict(df, L.learn(df, **kwargs), df.lang.isNotNull()).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            _, text, lang = rows[r.doc_id - 1]
+            own = Counter(find(text))
+            known = sum(n for w, n in own.items() if by_lang.get(r.lang_pred, {}).get(w, 0) > (n if lang else 0))
+            assert (r.n_words, r.n_known) == (own.total(), known), (kwargs, r)
+        assert {r.doc_id: r.n_known for r in got}[9] == 0

@@ -65,6 +65,13 @@ def test_null_and_repeated_ids_go_by_their_own_row(spark):
     kept = lambda stage, *x: sorted(((r.doc_id, r.text) for r in stage(spark, rows(*x), SF).collect()), key=str)
     assert kept(C.decontamination, (None, passage), (5, passage), (5, clean), (None, clean)) == [(5, clean), (None, clean)]
     assert kept(C.language, (None, "12 34"), (3, "12"), (3, clean), (1, clean)) == [(1, clean), (3, clean)]
+    gibberish = ["kjsdhf ksjdhf skdjfh sdkfjh", "zxq vbn qwrt plmk jhgfd wqx " * 5]
+    other = "kaikki ihmiset syntyvät vapaina tasavertaisina arvoltaan oikeuksiltaan heille annettu järki omatunto " * 2
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    strange = [(9000 + i, t) for i, t in enumerate([*gibberish, other])]
+    mixed = spark.read.parquet(f"{SF}/documents.parquet").unionByName(rows(*strange))
+    stays = sorted((r.doc_id, r.text) for r in C.language(spark, mixed, SF).collect())
+    assert stays == sorted(given)
     text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
     near = text + " more"
     groups = [(7, text), (7, text), (7, near), (None, text), (None, near), (None, clean), (None, clean), (8, "quite another text of some words")]
