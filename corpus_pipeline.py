@@ -27,8 +27,8 @@ from pkgpulse.llm.shared import remainder, ship, table, written
 
 #: near copies: shingles of this many words, similarity of p / q or more
 SHINGLE, P, Q = 5, 4, 5
-#: a language is accepted from this score on
-LANGUAGE_SCORE = 0.5
+#: a language is accepted from this score on, and, in texts of so many words or more, from this share of known words on
+LANGUAGE_SCORE, LANGUAGE_WORDS, KNOWN_SHARE = 0.5, 4, 0.2
 
 
 def _key(docs: DataFrame) -> Column:
@@ -54,11 +54,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents without a language, or of an unsure one, go."""
+    """Operator 7: documents without a language, or of an unsure one, go, and
+    those that share few words with other documents of the language."""
     ship(spark)
-    model = language_id.learn(docs.where(remainder("doc_id", 5) != 0))
+    learned = remainder("doc_id", 5) != 0
+    model = language_id.learn(docs.where(learned))
+    keyed = docs.withColumn("learned", learned & F.col("lang").isNotNull()).withColumn("doc_id", _key(docs))
     unsure = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)
-    return _keep(docs, language_id.predict(_keyed(docs), model), unsure)
+    strange = (F.col("n_words") >= LANGUAGE_WORDS) & (F.col("n_known") < KNOWN_SHARE * F.col("n_words"))
+    return _keep(docs, language_id.predict(keyed, model, F.col("learned")), unsure | strange)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
