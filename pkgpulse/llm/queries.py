@@ -24,7 +24,7 @@ from pkgpulse.llm import (
     token_store,
 )
 from pkgpulse.llm.jaccard_join import jaccard_components
-from pkgpulse.llm.shared import remainder, ship, table
+from pkgpulse.llm.shared import remainder, ship, table, written
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combined score of both views for every document."""
-    docs = table(spark, sf_dir, "documents")
-    return quality_cotraining.judge(docs, quality_cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    seen = written(quality_cotraining.views(table(spark, sf_dir, "documents")), "views")
+    return quality_cotraining.judge_views(seen, quality_cotraining.fit_views(seen, table(spark, sf_dir, "labels")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Co-training: held-out accuracy, exchange between views, special rows."""
 
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pkgpulse.llm import quality_cotraining as C
 
@@ -48,13 +51,36 @@ def test_each_view_teaches_the_other():
     weak = np.hstack([(y * 2 - 1)[:, None] + rng.normal(size=(6000, 1)) * 1.2, rng.normal(size=(6000, 30))])
     held = np.arange(80) % 2 == 0
     part = lambda a, b: [strong[a:b], weak[a:b]]
-    with_pool = C.cotrain(part(0, 80), y[:80], held, part(80, 3000))
-    alone = C.cotrain(part(0, 80), y[:80], held, [x[:0] for x in part(0, 1)])
+    with_pool = C.cotrain(part(0, 80), y[:80], held, lambda now: now.sums(part(80, 3000)))
+    alone = C.cotrain(part(0, 80), y[:80], held, lambda now: now.sums([x[:0] for x in part(0, 1)]))
     right = lambda m: ((m.views[1].logit(weak[3000:]) > 0) == y[3000:].astype(bool)).mean()
     assert with_pool.exchanged > 0 and alone.exchanged == 0
     assert right(with_pool) > right(alone)
 
 
+def test_sums_over_all_rows_by_brute_force(spark):
+    """Rows of repeated and null ids take part, in any partitions: the model is
+    that of all rows in one matrix."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet").where("doc_id % 3 <> 1")
+    more = docs.where("doc_id % 3 = 1").unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(more)
+    got = C.fit(docs.repartition(4), labels)
+    given = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    seen = C.views(docs).toPandas()
+    views = C._matrices(seen)
+    ids = [None if i != i or i is None else int(i) for i in seen["doc_id"]]
+    first = sorted((zlib.crc32(str(i).encode()), i, n) for n, i in enumerate(ids) if i in given)
+    at = np.array([n for _, _, n in first])
+    label = np.array([given[i] for _, i, _ in first], float)
+    held = np.array([c % C.FOLD == 0 for c, _, _ in first])
+    others = [x[[n for n, i in enumerate(ids) if i not in given]] for x in views]
+    assert len(others[0]) > 80
+    want = C.cotrain([x[at] for x in views], label, held, lambda now: now.sums(others))
+    assert got.exchanged == want.exchanged > 0
+    assert np.allclose(got.score(*views), want.score(*views), atol=1e-7)
+
+
 def test_special_rows(spark):
     rows = [(1, None, "en", "s", 3, "x", "x"), (2, "", None, None, None, "x", "x"), (None, "some words here", "en", "s", 5, "x", "x")]
     docs = spark.createDataFrame([*rows, rows[2]], SCHEMA)
@@ -64,6 +90,8 @@ def test_special_rows(spark):
     one = spark.createDataFrame([(1, 0), (2, 0), (2, None)], "doc_id long, quality int")
     assert {r.kept for r in C.judge(docs, C.fit(docs, one)).collect()} == {False}
     assert C.judge(docs.limit(0), C.fit(docs.limit(0), one)).collect() == []
+    long = spark.createDataFrame([(7, "many words " * 500_000, "en", "s", 5_500_000, None, None)], SCHEMA)
+    assert [r.doc_id for r in C.judge(long, C.fit(long.unionByName(docs), none)).collect()] == [7]
 
 
 def test_calibrated_logistic():
