@@ -49,8 +49,10 @@ def _keep(docs: DataFrame, judged: DataFrame, drop: Column) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents of low quality go."""
     ship(spark)
-    model = quality_cotraining.fit(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, quality_cotraining.judge(_keyed(docs), model), ~F.col("kept"))
+    seen = written(quality_cotraining.views(docs, key=_key(docs)), "views")
+    model = quality_cotraining.fit_views(seen, table(spark, sf_dir, "labels"))
+    judged = quality_cotraining.judge_views(seen.withColumn("doc_id", F.col("key")), model)
+    return _keep(docs, judged, ~F.col("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
