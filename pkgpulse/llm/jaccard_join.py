@@ -334,8 +334,9 @@ def jaccard_components(
     keyed = open_groups.groupBy("fp", "root", "n", "prober").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     # the sketches, far longer than the other columns, join the open groups only, and are not written with them
     sketched = keyed.join(sizes.select("fp", "own", "half"), "fp").select("*", F.posexplode("keys").alias("at", "key"))
+    # at each key only the earlier ones travel
+    sketched = sketched.withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at")
     x, y = sketched.where("prober").alias("x"), sketched.where("not prober").alias("y")
-    before = [F.slice(F.col(f"{side}.keys"), 1, F.col(f"{side}.at")) for side in "xy"]
     rest = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
@@ -343,7 +344,7 @@ def jaccard_components(
         & (F.col("x.n") <= F.col("y.n"))
         & (F.col("y.n") * p <= F.col("x.n") * q)
         & _may_link("x", "y", p, q)
-        & ~F.arrays_overlap(*before),
+        & ~F.arrays_overlap("x.before", "y.before"),
     ).select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other"))
     second = written(_verified(docs, sizes, rest, shingle, p, q), "links")
     components = connected_components(first.unionByName(second))
