@@ -69,13 +69,18 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     lock step for all spans, xxhash for what exceeds ``_LONG_WORD`` bytes."""
     lengths = ends - starts
     out = lengths.astype(U64) * U64(0xD6E8FEB86659FD93)
-    order = np.argsort(-lengths, kind="stable")
+    # longest first; one byte a span, which numpy sorts by radix
+    clipped = np.minimum(lengths, _LONG_WORD + 1).astype(np.uint8)
+    order = np.argsort(np.uint8(_LONG_WORD + 1) - clipped, kind="stable")
+    longer = len(lengths) - np.cumsum(np.bincount(clipped, minlength=_LONG_WORD + 2))  # spans longer than k
     at, left = starts[order], lengths[order]
     acc = out[order]
-    for k in range(min(_LONG_WORD, int(left[0]) if len(left) else 0)):
-        live = int(np.searchsorted(-left, -k, side="left"))  # spans longer than k
+    for k in range(_LONG_WORD):
+        live = int(longer[k])
+        if not live:
+            break
         acc[:live] = acc[:live] * _MULTIPLIER + _BYTE_VALUES[buf[at[:live] + k]]
-    for i in range(int(np.searchsorted(-left, -_LONG_WORD, side="left"))):
+    for i in range(int(longer[_LONG_WORD])):
         rest = buf[at[i] + _LONG_WORD : at[i] + left[i]].tobytes()
         acc[i] ^= U64(xxhash.xxh3_64_intdigest(rest))
     out[order] = acc
