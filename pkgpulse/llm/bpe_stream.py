@@ -79,12 +79,12 @@ class Transducer:
         # a token can stand in a result only if BPE makes it of its own bytes
         self.ids = {b: i for b, i in ids.items() if self.merge(b) == [i]}
         self.longest = max(map(len, self.ids))
-        self.trie: dict = {}  # a byte trie of the tokens, a node's token under -1
-        for b, i in self.ids.items():
-            node = self.trie
-            for byte in b:
-                node = node.setdefault(byte, {})
-            node[-1] = i
+        self.trie: dict = {}  # byte -> (token that ends here or None, the bytes that may follow)
+        for b, i in sorted(self.ids.items()):  # a token comes before those it begins
+            nodes = self.trie
+            for byte in b[:-1]:
+                nodes = nodes.setdefault(byte, (None, {}))[1]
+            nodes[b[-1]] = (i, {})
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self._spines()
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -147,27 +147,30 @@ class Transducer:
         last stable boundary, and the places from which a token may still go on."""
         fits, trie = self.fits, self.trie
         last: list[int | None] = [None]  # last[i]: last token of the result of the first i bytes
-        going: list[tuple[int, dict]] = []  # (start, trie node) of tokens that hold all bytes since their start
+        going: list[tuple[int, dict]] = []  # (start, bytes that may follow) of tokens that hold all bytes since their start
         check = STEP
         for piece in pieces:
             for byte in piece:
-                token, still = None, []
-                going.append((len(last) - 1, trie))
-                for start, node in going:  # the longest first
-                    node = node.get(byte)
-                    if node is None:
-                        continue
-                    still.append((start, node))
-                    if token is None and (ends := node.get(-1)) is not None:
-                        before = last[start]
-                        if before is None or fits[before << 32 | ends]:
-                            token = ends
-                last.append(token)
+                token, still, head = None, [], len(last) - 1
+                for start, follow in going:  # the longest first
+                    if byte in follow:
+                        ends, follow = follow[byte]
+                        if follow:
+                            still.append((start, follow))
+                        if token is None and ends is not None:
+                            before = last[start]
+                            if before is None or fits[before << 32 | ends]:
+                                token = ends
+                ends, follow = trie[byte]
+                if follow:
+                    still.append((head, follow))
+                # the byte itself, where no longer token fits
+                last.append(ends if token is None else token)
                 going = still
                 if len(last) > check:
                     if cut := self._stable(last, going):
                         yield from self._path(last, cut)
-                        last, going = last[cut:], [(start - cut, node) for start, node in going if start >= cut]
+                        last, going = last[cut:], [(start - cut, follow) for start, follow in going if start >= cut]
                     check = len(last) + STEP
         yield from self._path(last, len(last) - 1)
 
@@ -175,7 +178,7 @@ class Transducer:
         """The last boundary on which all results that may go on agree. The
         token over the head begins at the head or where a longer token may
         still go on, and what precedes it is the result of that prefix."""
-        heads = {len(last) - 1, *(start for start, node in going if len(node) > (-1 in node))}
+        heads = {len(last) - 1, *(start for start, _ in going)}
         while len(heads) > 1:
             head = max(heads)
             heads.remove(head)
