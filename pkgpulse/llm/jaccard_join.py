@@ -8,8 +8,10 @@ sets differ in at most H shingles and segments are given allowances a_i in
 shingles: allowance 1 looks for an equal segment, allowance 2 also for one
 that differs by a single shingle (one-deletion neighbourhood), allowance 0
 skips the segment. Each smaller set spends its H + 1 units where the segment
-values are rarest in the corpus (cost-based allocation); values that no other
-set has cost nothing, and a set with H + 1 such units has no partner at all.
+values are rarest in the corpus (cost-based allocation): of all units that its
+segments can take, one or (few shingles) two each, it leaves out the dearest.
+Values that no other set has cost nothing, and a set with H + 1 such units has
+no partner at all.
 
 Every set larger than or equal to the prober's is indexed under the same
 scheme, so no link is lost. Candidates are verified on the whole sets.
@@ -33,7 +35,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -50,7 +52,7 @@ BAND = 1.37
 #: segments of at most this many shingles may be given allowance 2
 SMALL = 2
 
-FACTS = "doc_id long, place long, n_shingles long, fp long, own array<long>, half array<long>"
+FACTS = "doc_id long, place long, n_shingles long, fp long, spare long, own array<long>, half array<long>"
 
 # kinds of postings
 FULL, DELETION, WIDE_PROBE = 0, 1, 2
@@ -77,6 +79,11 @@ class Scheme:
         largest = n * self.q // self.p
         return (n + largest) * (self.q - self.p) // (self.q + self.p) + 1
 
+    def slices(self) -> int:
+        """Into how many parts the postings are cut, which are shuffled one
+        after the other: they grow with the differences allowed to a set."""
+        return max(1, 18 * (self.q - self.p) // (self.q + self.p))
+
     @cache  # noqa: B019 - a few schemes live as long as the process
     def shape(self, band: int) -> tuple[int, int]:
         """(number of segments, spare segments) of a band."""
@@ -112,9 +119,22 @@ def fingerprint(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - 2**63
 
 
+def _segments_of(values: np.ndarray, segments: int) -> np.ndarray:
+    return ((values >> U64(20)) % U64(segments)).astype(np.int64)
+
+
+def spare_units(scheme: Scheme, values: np.ndarray) -> int:
+    """Units that a set may leave out: those that its segments can take, one
+    each and small ones a second, beyond the H + 1 it needs."""
+    band = scheme.band(len(values))
+    used, segments = scheme.used(len(values), band), scheme.shape(band)[0]
+    counts = np.bincount(_segments_of(values, segments), minlength=segments)[:used]
+    return used + int((counts <= SMALL).sum()) - scheme.units(len(values))
+
+
 def _segment_keys(values: np.ndarray, band: int, segments: int, used: int):
     """Postings of one set under one scheme: (key, segment, kind, small)."""
-    where = ((values >> U64(20)) % U64(segments)).astype(np.int64)
+    where = _segments_of(values, segments)
     take = where < used
     where, values = where[take], mix(values[take] ^ U64(0x51ED270B27A1F39D))
     order = np.argsort(where, kind="stable")
@@ -157,10 +177,11 @@ def _describe(k: int, p: int, q: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme = _scheme(p, q)
         for frame in blocks(frames, "text"):
-            sizes, prints, own, half = [], [], [], []
+            sizes, prints, spare, own, half = [], [], [], [], []
             for values in shingle_sets(frame["text"], k):
                 sizes.append(len(values))
                 prints.append(fingerprint(values) if len(values) else None)
+                spare.append(spare_units(scheme, values) if len(values) else 0)
                 bits = _sketch_bits(scheme.units(len(values)))
                 own.append(parity_sketch(values, bits))
                 half.append(parity_sketch(values, bits // 2))
@@ -170,6 +191,7 @@ def _describe(k: int, p: int, q: int):
                     "place": frame["place"],
                     "n_shingles": np.array(sizes, np.int64),
                     "fp": pd.array(prints, "Int64"),
+                    "spare": np.array(spare, np.int64),
                     "own": own,
                     "half": half,
                 }
@@ -178,7 +200,9 @@ def _describe(k: int, p: int, q: int):
     return run
 
 
-def _postings(k: int, p: int, q: int):
+def _postings(k: int, p: int, q: int, nth: int, slices: int):
+    """Postings of the ``nth`` of ``slices`` parts of all keys."""
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme, seen = _scheme(p, q), set()
         for frame in blocks(frames, "text"):
@@ -198,6 +222,9 @@ def _postings(k: int, p: int, q: int):
                     if band != own or scheme.units(n) == 1:  # larger than any prober of that band: index only
                         index = kind != WIDE_PROBE
                         key, at, kind, small = key[index], at[index], kind[index], small[index]
+                    if slices > 1:
+                        mine = (key >> U64(33)) % U64(slices) == nth
+                        key, at, kind, small = key[mine], at[mine], kind[mine], small[mine]
                     probes = int(band == own and scheme.units(n) > 1)
                     keys.append(key.view(np.int64))
                     prints.append(np.full(len(key), fp, np.int64))
@@ -230,7 +257,26 @@ def _verify(p: int, q: int):
     return run
 
 
-def _allocate(live: DataFrame, sizes: DataFrame, spare: str) -> DataFrame:
+def _live(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(key, fp, slot, freq): the postings whose key several sets have, one of
+    them at least to be found. Each part's shuffle goes before the next begins."""
+    same_key = Window.partitionBy("key")
+    is_index = F.col("slot").bitwiseAND(3) != WIDE_PROBE
+    parts, slices = [], _scheme(p, q).slices()
+    for nth in range(slices):
+        postings = docs.select("text").mapInPandas(_postings(k, p, q, nth, slices), "key long, fp long, slot long")
+        live = (
+            postings.withColumn("low", F.min("fp").over(same_key))
+            .withColumn("high", F.max("fp").over(same_key))
+            .withColumn("freq", F.sum(is_index.cast("long")).over(same_key))
+            .where("low <> high and freq > 0")
+            .select("key", "fp", "slot", "freq")
+        )
+        parts.append(written(live, "postings"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _allocate(live: DataFrame, sizes: DataFrame) -> DataFrame:
     """(fp, key) to look up: each set gives its units to the segments whose
     values are rarest, all but its ``spare`` dearest units."""
     probing = live.where(F.col("slot").bitwiseAND(8) > 0).where(F.col("slot").bitwiseAND(3) != DELETION)
@@ -264,8 +310,8 @@ def _allocate(live: DataFrame, sizes: DataFrame, spare: str) -> DataFrame:
         .select("fp", "segment", "unit.*")
     )
     dearest = Window.partitionBy("fp").orderBy(F.desc("cost"), F.desc("nth"), F.desc("segment"))
-    ranked = segments.withColumn("nth_dearest", F.row_number().over(dearest)).join(sizes.select("fp", spare), "fp")
-    return ranked.where(F.col("nth_dearest") > F.col(spare)).select("fp", F.explode("keys").alias("key")).distinct()
+    ranked = segments.withColumn("nth_dearest", F.row_number().over(dearest)).join(sizes.select("fp", "spare"), "fp")
+    return ranked.where("nth_dearest > spare").select("fp", F.explode("keys").alias("key")).distinct()
 
 
 def jaccard_components(
@@ -275,37 +321,23 @@ def jaccard_components(
     q * |intersection| >= p * |union| of their ``shingle``-word sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("place", F.xxhash64("doc_id", "text"))  # the row that a set is read from again
-    scheme = _scheme(p, q)
     facts = written(docs.mapInPandas(_describe(shingle, p, q), FACTS), "sets")
     classes = facts.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("first_id"),
         F.min("place").alias("place"),
         F.max("n_shingles").alias("n"),
+        F.max("spare").alias("spare"),
         F.count("*").alias("members"),
     )
 
-    same_key = Window.partitionBy("key")
-    postings = docs.select("text").mapInPandas(_postings(shingle, p, q), "key long, fp long, slot long")
-    is_index = F.col("slot").bitwiseAND(3) != WIDE_PROBE
-    live = written(
-        postings.withColumn("low", F.min("fp").over(same_key))
-        .withColumn("high", F.max("fp").over(same_key))
-        .withColumn("freq", F.sum(is_index.cast("long")).over(same_key))
-        .where("low <> high and freq > 0")
-        .select("key", "fp", "slot", "freq"),
-        "postings",
-    )
-    # units that a set may leave out: those posted beyond the H + 1 it needs
-    spare_of = F.udf(lambda n: scheme.used(n, scheme.band(n)) - scheme.units(n), "int")
+    live = _live(docs, shingle, p, q)
     lives = live.select("fp").distinct().join(classes, "fp")
-    by_size = lives.select("n").distinct().withColumn("spare", spare_of("n"))
     sketches = facts.where("fp is not null").select("fp", "own", "half").dropDuplicates(["fp"])
-    sizes = written(lives.join(by_size, "n").join(sketches, "fp"), "sizes")
+    sizes = written(lives.join(sketches, "fp"), "sizes")
 
-    probes = _allocate(live, sizes, "spare")
-    probes = written(probes, "probes")
+    probes = written(_allocate(live, sizes), "probes")
     wanted = probes.select("key").distinct()
-    index = live.where(is_index).select("key", "fp").distinct().join(wanted, "key")
+    index = live.where(F.col("slot").bitwiseAND(3) != WIDE_PROBE).select("key", "fp").distinct().join(wanted, "key")
     both = probes.select("key", "fp", F.lit(True).alias("prober")).unionByName(
         index.select("key", "fp", F.lit(False).alias("prober"))
     )

@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pkgpulse.llm import jaccard_join as J
 from pkgpulse.llm.components import connected_components
 from pkgpulse.llm.jaccard_join import _scheme, jaccard_components, parity_sketch
 
@@ -154,3 +156,36 @@ def test_a_row_without_an_id_links_the_rows_beside_it(spark):
     got = jaccard_components(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), shingle=3, p=9, q=10)
     assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id) == [(1, 1), (3, 1)]
     assert [r.component_id for r in got.collect() if r.doc_id is None] == [None, None]
+
+
+def test_unrelated_texts_need_not_look_up_small_segments(spark, monkeypatch):
+    """Texts of one size meet in segments of no or one shingle: second units
+    there are left out first, as far as the others suffice."""
+    seen = {}
+    keep = J.written
+    monkeypatch.setattr(J, "written", lambda df, name: seen.setdefault(name, []).append(keep(df, name)) or seen[name][-1])
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(124)), None) for i in range(400)]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA), 5, 4, 5).collect()
+    assert all(r.doc_id == r.component_id for r in got)
+    assert seen["probes"][0].count() < 400  # 1,972 when only as many units were left out as there are spare segments
+    assert len(seen["postings"]) == 2  # one part's shuffle goes before the next begins
+
+
+@pytest.mark.parametrize("p,q,n", [(4, 5, 3), (4, 5, 150), (9, 10, 700), (1, 2, 40)])
+def test_spare_units_leave_as_many_as_a_set_needs(p, q, n):
+    scheme, rng = _scheme(p, q), np.random.default_rng(n)
+    values = np.unique(rng.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64))
+    band = scheme.band(n)
+    segments, used = scheme.shape(band)[0], scheme.used(n, band)
+    held = [sum((int(v) >> 20) % segments == s for v in values) for s in range(used)]
+    allowances = sum(2 if x <= J.SMALL else 1 for x in held)
+    assert allowances - J.spare_units(scheme, values) == scheme.units(n)
+
+
+def test_parts_of_the_postings_are_all_of_them():
+    frame = lambda: iter([pd.DataFrame({"text": [t for _, t in corpus(5, 30, [4, 30, 200], [1, 4])]})])
+    rows = lambda nth, slices: [tuple(r) for f in J._postings(2, 4, 5, nth, slices)(frame()) for r in f.itertuples(index=False)]
+    parts = [rows(i, 3) for i in range(3)]
+    assert sorted(sum(parts, [])) == sorted(rows(0, 1)) and all(parts)
+    assert not {r[0] for r in parts[0]} & {r[0] for r in parts[1]}
