@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ from pkgpulse.llm.shared import blocks, written
 
 #: words and n-grams of each length sent to every task (all others are joined); greatest length
 WORDS, GRAMS, GRAM = 60_000, 20_000, 5
-#: distinct entries a task counts before it hands them on; scored words it remembers
-HELD, MEMO = 300_000, 400_000
+#: distinct entries a task counts before it hands them on; words whose n-grams it counts at once; scored words it remembers
+HELD, GRAM_WORDS, MEMO = 300_000, 500, 400_000
 UNKNOWN = "und"
 
 _WORD = regex.compile(r"\p{L}+")
@@ -73,19 +74,21 @@ def _count_words(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_grams(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: Counter = Counter()
+    held: dict[str, Counter] = {}
 
     def flush() -> pd.DataFrame:
-        rows = [(len(g), g, lang, n) for (g, lang), n in held.items()]
+        rows = [(len(g), g, lang, n) for lang, c in held.items() for g, n in c.items()]
         held.clear()
         return pd.DataFrame(rows, columns=["size", "gram", "lang", "n"])
 
     for frame in frames:
-        for word, lang in zip(frame["word"], frame["lang"], strict=True):
-            for n in range(1, GRAM + 1):
-                held.update((g, lang) for g in grams(word, n))
-            if len(held) > HELD:
-                yield flush()
+        for lang, own in frame.groupby("lang", sort=False)["word"]:
+            counter, of_words = held.setdefault(lang, Counter()), own.tolist()
+            for i in range(0, len(of_words), GRAM_WORDS):
+                counter.update([g for word in of_words[i : i + GRAM_WORDS] for n in range(1, GRAM + 1) for g in grams(word, n)])
+                if sum(map(len, held.values())) > HELD:
+                    yield flush()
+                    counter = held.setdefault(lang, Counter())
     yield flush()
 
 
@@ -224,12 +227,12 @@ def _open_words(frames: Iterable[pd.DataFrame], model: Model) -> Iterator[pd.Dat
         rows = []
         for text, learned in zip(frame["text"], frame["learned"], strict=True):
             found = Counter(words(text) if isinstance(text, str) else [])
-            known = [(model.word_row[w], n) for w, n in found.items() if w in model.word_row]
-            at, times = np.array(known, np.int64).reshape(-1, 2).T
-            others = {w: n for w, n in found.items() if w not in model.word_row}
+            every = np.fromiter(map(model.word_row.get, found, repeat(-1)), np.int64, len(found))
+            counts, open_ = np.fromiter(found.values(), np.int64, len(found)), every < 0
+            at, times = every[~open_], counts[~open_]
             logs = model.table[at]
             n_known = _known(logs, times, times * bool(learned), model.totals)
-            rows.append((bool(learned), found.total(), times @ logs, n_known, list(others), list(others.values())))
+            rows.append((bool(learned), int(counts.sum()), times @ logs, n_known, list(compress(found, open_)), counts[open_]))
         out = pd.DataFrame(rows, columns=["learned", "n_words", "logs", "known", "open", "times"])
         out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
         yield out

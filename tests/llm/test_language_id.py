@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pandas as pd
 import pytest
 import regex
 
@@ -115,3 +116,17 @@ def test_known_words_are_those_of_other_texts(spark):
             known = sum(n for w, n in own.items() if by_lang.get(r.lang_pred, {}).get(w, 0) > (n if lang else 0))
             assert (r.n_words, r.n_known) == (own.total(), known), (kwargs, r)
         assert {r.doc_id: r.n_known for r in got}[9] == 0
+
+
+def test_grams_are_counted_per_language_and_handed_on(monkeypatch):
+    """Whatever is held: the same counts, and no more held than allowed by one run of words."""
+    rows = [(f"wort{i % 7}x{i}é", lang) for i in range(60) for lang in ("de", "fr")] + [("é", "fr"), ("", "de")]
+    frames = lambda: iter([pd.DataFrame(rows[:50], columns=["word", "lang"]), pd.DataFrame(rows[50:], columns=["word", "lang"])])
+    want = Counter((n, g, lang) for w, lang in rows for n in range(1, L.GRAM + 1) for g in L.grams(w, n))
+    for held, run in ((10**6, 500), (100, 3)):
+        monkeypatch.setattr(L, "HELD", held)
+        monkeypatch.setattr(L, "GRAM_WORDS", run)
+        got, parts = Counter(), [p for p in L._count_grams(frames()) if len(p)]
+        for r in (r for p in parts for r in p.itertuples(index=False)):
+            got[(r.size, r.gram, r.lang)] += r.n
+        assert got == want and max(map(len, parts)) <= held + 3 * 60 and (held > 100 or len(parts) > 5)
