@@ -29,6 +29,8 @@ from pkgpulse.llm.shared import remainder, ship, table, written
 SHINGLE, P, Q = 5, 4, 5
 #: a language is accepted from this score on, and, in texts of so many words or more, from this share of known words on
 LANGUAGE_SCORE, LANGUAGE_WORDS, KNOWN_SHARE = 0.5, 4, 0.2
+#: texts that go to an encoding worker at once
+BPE_ROWS = 1000
 
 
 def _key(docs: DataFrame) -> Column:
@@ -99,7 +101,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
-    return coded
+    return written(coded, "coded", batch=BPE_ROWS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

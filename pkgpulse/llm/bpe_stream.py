@@ -46,10 +46,11 @@ from pkgpulse.llm.shared import blocks
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: entries of the memo of encoded chunks; it is emptied when full
-MEMO = 400_000
+#: entries of the memos of encoded pretokens, of chunks and of neighbours that fit; each is emptied when full
+MEMO, CHUNKS, PAIRS = 250_000, 80_000, 150_000
 #: bytes between two looks for a stable boundary
 STEP = 8
+_LEAF: dict = {}  # what may follow a token that begins no longer one
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -83,8 +84,12 @@ class Transducer:
         for b, i in sorted(self.ids.items()):  # a token comes before those it begins
             nodes = self.trie
             for byte in b[:-1]:
-                nodes = nodes.setdefault(byte, (None, {}))[1]
-            nodes[b[-1]] = (i, {})
+                ends, follow = nodes.get(byte, (None, _LEAF))
+                if follow is _LEAF:
+                    follow = {}
+                    nodes[byte] = (ends, follow)
+                nodes = follow
+            nodes[b[-1]] = (i, _LEAF)
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self._spines()
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -110,16 +115,7 @@ class Transducer:
             rank > max(made[part][0] if part in made else -1 for part in pair) for rank, pair in made.values()
         )
 
-        def spine(token: int, side: int) -> list[tuple[int, int]]:
-            out, dies = [(token, never)], never
-            while token in made:
-                dies, pair = made[token]
-                token = pair[side]
-                out.append((token, dies))
-            return out
-
-        self.right = {i: spine(i, 1) for i in self.bytes_of}
-        self.left = {i: spine(i, 0) for i in self.bytes_of}
+        self.right, self.left = Spines(made, 1, never), Spines(made, 0, never)
 
     def border_holds(self, a: int, b: int) -> bool:
         """Whether BPE leaves the two tokens side by side: no merge across
@@ -203,6 +199,23 @@ def packed(ids: Iterable[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Spines(dict):
+    """The tokens at one end of a token, made when the token is first met."""
+
+    def __init__(self, made: dict[int, tuple[int, tuple[int, int]]], side: int, never: int):
+        super().__init__()
+        self.made, self.side, self.never = made, side, never
+
+    def __missing__(self, token: int) -> tuple[tuple[int, int], ...]:
+        out, at = [(token, self.never)], token
+        while at in self.made:
+            dies, pair = self.made[at]
+            at = pair[self.side]
+            out.append((at, dies))
+        spine = self[token] = tuple(out)
+        return spine
+
+
 class Fits(dict):
     """A bounded memo of ``border_holds``: left token << 32 | right token."""
 
@@ -211,7 +224,7 @@ class Fits(dict):
         self.transducer = transducer
 
     def __missing__(self, pair: int) -> bool:
-        if len(self) >= MEMO:
+        if len(self) >= PAIRS:
             self.clear()
         holds = self[pair] = self.transducer.border_holds(pair >> 32, pair & 0xFFFFFFFF)
         return holds
@@ -235,7 +248,7 @@ class Encoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.pieces(" " + chunk)
-        if len(self) >= MEMO:
+        if len(self) >= CHUNKS:
             self.clear()
         if len(chunk) < 64:
             self[chunk] = ids

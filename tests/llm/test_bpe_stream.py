@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from pkgpulse.llm import bpe_stream as B
+from pkgpulse.llm.shared import written
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SPACES = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0  　​"
@@ -107,3 +109,30 @@ def test_table_with_nulls_repeats_and_extra_columns(spark, library):
     encoded = B.encode(df, PATH)
     assert sorted(r.decoded for r in B.decode(encoded, PATH).collect()) == sorted(t or "" for _, t, _ in rows)
     assert B.round_trip(df.limit(0), PATH).collect() == []
+
+
+def test_what_a_worker_holds_is_small(transducer):
+    """Ends of tokens are made as they are met, tokens that begin no longer one
+    share one node, and the memos are emptied when full."""
+    fresh = B.Transducer(PATH)
+    assert not fresh.right and not fresh.left
+    met = list(fresh.stream([b" internationalization"]))
+    assert met == list(transducer.stream([b" internationalization"])) and len(fresh.right) < 1000 > len(fresh.left)
+
+    def leaves(nodes):
+        return [follow for _, follow in nodes.values() if not follow] + [x for _, follow in nodes.values() for x in leaves(follow)]
+
+    assert all(x is B._LEAF for x in leaves(fresh.trie)) and not B._LEAF
+    assert B.CHUNKS + B.MEMO + B.PAIRS <= 500_000
+
+
+def test_a_worker_gets_so_many_rows_at_once(spark):
+    def sizes(frames):
+        for frame in frames:
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    got = written(spark.range(100).coalesce(1).mapInPandas(sizes, "n long"), "sizes", batch=7).collect()
+    assert max(r.n for r in got) == 7 and sum(r.n for r in got) == 100
+    assert spark.conf.get(key, None) == before
