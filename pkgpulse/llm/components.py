@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    both = both.where("node is not null and other is not null").distinct()
+    both = both.where("node is not null and other is not null")  # a repeated link changes no minimum
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root"))
     labels = written(labels, "labels")
     while True:

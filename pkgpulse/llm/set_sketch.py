@@ -60,7 +60,7 @@ REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
 ROWS = 5
 #: log likelihood ratio beyond which a pair is not verified
 DOUBT = 20.0
-#: hub rounds go on while a round leaves at most this share of the open postings
+#: hub rounds go on while a round leaves at most this share of the open postings, and links more than the rest of its pairs
 SHRINKS = 0.9
 
 FACTS = "doc_id long, place long, n_shingles long, fp long, sketch binary"
@@ -245,6 +245,7 @@ class _Join:
         met = members.join(crowd, "key").groupBy("fp").agg(F.sum("met").alias("met"))
         self.members = written(members.join(met, "fp"), "members")
         self.tested: DataFrame | None = None
+        self.tried = 0  # pairs that were tested last
 
     def _alike(self, n: str, m: str) -> Column:
         """Whether the sizes allow a link."""
@@ -256,6 +257,7 @@ class _Join:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        self.tried = pairs.count()
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         size = self.sets.select("fp", "n", "sketch")
         sketched = pairs.join(size.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a")
@@ -324,7 +326,10 @@ class _Join:
         left = opened.count()
         while left:
             before, turn = left, turn + 1
-            found = found.unionByName(self.links(self.outliers(opened, turn)))
+            more = self.links(self.outliers(opened, turn))
+            found = found.unionByName(more)
+            if more.count() <= (1 - SHRINKS) * self.tried:
+                break  # hardly a component was joined: all open pairs are compared, as the components were before
             roots = connected_components(found)
             opened = self.open(opened.drop("root"), roots)
             left = opened.count()

@@ -148,3 +148,19 @@ def test_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert found(op13_set_sketch(spark, folder)) == brute(rows, 2, 4, 5)
+
+
+def test_a_round_that_joins_hardly_anything_is_the_last(spark, monkeypatch):
+    """Sets that meet in keys but do not link: the components are found once
+    after the hubs and once after all open pairs."""
+    rng, rows = random.Random(8), []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(40):  # pairs differ in about 40 of 200 words, copies link
+        text = [f"x{i}_{j}" if rng.random() < 0.12 else w for j, w in enumerate(base)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "end"]))]
+    calls, true = [], S.connected_components
+    monkeypatch.setattr(S, "connected_components", lambda links: calls.append(1) or true(links))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, 2, 4, 5).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+    assert len(calls) <= 2
