@@ -27,6 +27,9 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -38,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pkgpulse.llm.bpe_stream import byte_alphabet
 from pkgpulse.llm.shared import blocks
 from pkgpulse.session import shared_dir
 
@@ -50,43 +54,104 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: a shard is closed once its payload reaches this size
 SHARD_BYTES = 4 << 20
-#: words remembered by a task; new words that are encoded as one text
-MEMO, JOINED = 800_000, 256
+#: words and pretokens remembered by a task; new words that are encoded as one text
+MEMO, PRETOKENS, JOINED = 400_000, 400_000, 256
 #: text that one task encodes
 PART_BYTES = 16 << 20
 
+# The normalizer and the pre-tokenizer by which words of ``_SIMPLE`` characters are cut here.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PRETOKEN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# printable ASCII and the letters of Latin-1 from U+00C0 on: NFC leaves them alone, and str.lower does as the library
+_SIMPLE, _NEVER = re.compile("[!-~À-ÖØ-öø-ÿ]*"), re.compile("(?!)")
+_PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# a character's bytes by the byte-level alphabet, in which each byte of these letters is a character
+_STANDS_FOR = {byte: char for char, byte in byte_alphabet().items()}
+_BYTE_LEVEL = {i: "".join(_STANDS_FOR[b] for b in chr(i).encode()) for i in range(0xC0, 0x100)}
+
+
+class Pretokens(dict):
+    """Ids of pretokens by the file's merges; a memo."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, pretoken: str) -> bytes:
+        if len(self) >= PRETOKENS:
+            self.clear()
+        found = self.model.tokenize(pretoken if pretoken.isascii() else pretoken.translate(_BYTE_LEVEL))
+        ids = self[pretoken] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
+
 
 class WordEncoder(dict):
     """Ids of texts by the tokenizer of the file, a memo of words between
     single spaces or line breaks: the file's pre-tokenizer drops white space,
-    so what lies between is encoded alike on its own."""
+    so what lies between is encoded alike on its own.
+
+    A word of ``_SIMPLE`` characters is cut into pretokens here, if the file
+    has the normalizer and pre-tokenizer that this is written for; the file's
+    model encodes each. All other words go through the whole tokenizer, those
+    of a run of texts at once."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["model"]["type"] == "BPE"
+        self.simple = _SIMPLE.fullmatch if known else _NEVER.fullmatch
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.special = re.compile("|".join(map(re.escape, added)) if added else "(?!)").search
+        self.pretokens = Pretokens(self.tokenizer.model)
+        self.later: list[str] = []  # words seen that have to go through the whole tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        if not self.simple(word) or self.special(word):
+            self.later.append(word)
+            return b""
+        ids = self[word] = b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower())))
+        return ids
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text, then the end id."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*cut)
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO:
+        if len(self) > MEMO:
             self.clear()
-            new = list(words)
+        last, out, again = np.array([end], "<u4").tobytes(), [], []
+        for i, text in enumerate(texts):
+            words, seen = text.replace("\n", " ").split(" "), len(self.later)
+            out.append(b"".join([*map(self.__getitem__, words), last]))
+            if len(self.later) > seen:
+                again.append(i)
+        self._add(list(dict.fromkeys(self.later)))
+        self.later.clear()
+        for i in again:
+            out[i] = b"".join([*map(self.__getitem__, texts[i].replace("\n", " ").split(" ")), last])
+        return out
+
+    def _add(self, words: list[str]) -> None:
         # letters and ASCII keep their places under the file's normalizers
-        plain = [w for w in new if w.isascii() or w.isalpha()]
+        plain = [w for w in words if w.isascii() or w.isalpha()]
         for i in range(0, len(plain), JOINED):
             self._add_joined(plain[i : i + JOINED])
-        other = [w for w in new if not (w.isascii() or w.isalpha())]
+        other = [w for w in words if not (w.isascii() or w.isalpha())]
         for i in range(0, len(other), 20_000):
             part = other[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        last = np.array([end], "<u4").tobytes()
-        return [b"".join([*map(self.__getitem__, words), last]) for words in cut]
-
 
     def _add_joined(self, words: list[str]) -> None:
         """Encode the words as one text, which costs half of encoding each, and

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from pkgpulse.llm import token_store as S
 
@@ -81,3 +81,29 @@ def test_joined_words_are_cut_where_they_were(spark):
     assert np.frombuffer(got, "<u4").tolist() == want
     for word in words:
         assert np.frombuffer(encoder[word], "<u4").tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_a_pretoken_is_encoded_once_in_whatever_words_it_stands(tmp_path):
+    rng = random.Random(4)
+    marks = "aZ'sStTrReEvVlLmMdD09.,-<|>~\"`_ \n\tÀÉßéÿÞ×÷²ªµ\x85\xa0ʼnſİıσς́​中🙂"
+    texts = ["".join(rng.choices(marks, k=rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["It's I'LL", "a<|endoftext|>b <|startoftext|>", "", " "]
+    library = Tokenizer.from_file(PATH)
+    want = [[*t.ids, 2] for t in library.encode_batch(texts, add_special_tokens=False)]
+
+    def ids(encoder, texts):
+        return [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts, 2)]
+
+    encoder = S.WordEncoder(PATH)
+    assert ids(encoder, texts) == want == ids(encoder, texts)
+    encoder = S.WordEncoder(PATH)
+    encoder.encode(["Été, été. (ÉTÉ) ended ENDED; 'Ended'"], 2)
+    assert sorted(encoder.pretokens) == ["'", "(", ")", ",", ".", ";", "ended", "été"]
+    # a file with another pre-tokenizer goes through the whole tokenizer
+    other = str(tmp_path / "other.json")
+    library.pre_tokenizer = pre_tokenizers.Whitespace()
+    library.save(other)
+    words = [" ".join(rng.choices(["it's", "Ended.", "2001", "a_b"], k=20)) for _ in range(30)]
+    encoder = S.WordEncoder(other)
+    assert ids(encoder, words) == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in words]
+    assert not encoder.pretokens
