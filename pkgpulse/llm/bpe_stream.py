@@ -46,10 +46,13 @@ from pkgpulse.llm.shared import blocks
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: entries of the memos of encoded pretokens, of chunks and of neighbours that fit; each is emptied when full
-MEMO, CHUNKS, PAIRS = 250_000, 80_000, 150_000
+#: entries of the memos of encoded pretokens and of neighbours that fit, whose half not used for longest goes when full;
+#: characters of a text whose pretokens are cut at once; steps of the automaton held besides those along a token
+MEMO, PAIRS, CHUNKS, STEPS = 280_000, 150_000, 65_536, 100_000
+#: characters of the pretokens that are remembered, below
+SHORT = 64
 #: bytes between two looks for a stable boundary
-STEP = 8
+STEP = 16
 _LEAF: dict = {}  # what may follow a token that begins no longer one
 
 
@@ -90,6 +93,7 @@ class Transducer:
                     nodes[byte] = (ends, follow)
                 nodes = follow
             nodes[b[-1]] = (i, _LEAF)
+        self.suffixes = Suffixes(self.trie)
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self._spines()
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -140,41 +144,31 @@ class Transducer:
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one pretoken whose bytes come in pieces, each id as
         soon as it is stable. Kept are the last token of each prefix since the
-        last stable boundary, and the places from which a token may still go on."""
-        fits, trie = self.fits, self.trie
-        last: list[int | None] = [None]  # last[i]: last token of the result of the first i bytes
-        going: list[tuple[int, dict]] = []  # (start, bytes that may follow) of tokens that hold all bytes since their start
-        check = STEP
+        last stable boundary, and the longest beginning of a token at the head."""
+        fits, suffixes, ends = self.fits, self.suffixes, self.suffixes.ends
+        last = [-1]  # last[i]: last token of the result of the first i bytes
+        state, check = 0, STEP
         for piece in pieces:
             for byte in piece:
-                token, still, head = None, [], len(last) - 1
-                for start, follow in going:  # the longest first
-                    if byte in follow:
-                        ends, follow = follow[byte]
-                        if follow:
-                            still.append((start, follow))
-                        if token is None and ends is not None:
-                            before = last[start]
-                            if before is None or fits[before << 32 | ends]:
-                                token = ends
-                ends, follow = trie[byte]
-                if follow:
-                    still.append((head, follow))
-                # the byte itself, where no longer token fits
-                last.append(ends if token is None else token)
-                going = still
-                if len(last) > check:
-                    if cut := self._stable(last, going):
+                state = suffixes[state << 8 | byte]
+                head = len(last)
+                for size, token in ends[state]:  # the longest first
+                    if fits[last[head - size] << 32 | token]:
+                        break
+                last.append(token)  # the byte itself, where no longer token fits
+                if head >= check:
+                    if cut := self._stable(last, suffixes.going(state)):
                         yield from self._path(last, cut)
-                        last, going = last[cut:], [(start - cut, follow) for start, follow in going if start >= cut]
-                    check = len(last) + STEP
+                        last = last[cut:]
+                    check = len(last) + STEP - 1
         yield from self._path(last, len(last) - 1)
 
-    def _stable(self, last: list, going: list[tuple[int, dict]]) -> int:
+    def _stable(self, last: list[int], going: list[int]) -> int:
         """The last boundary on which all results that may go on agree. The
         token over the head begins at the head or where a longer token may
         still go on, and what precedes it is the result of that prefix."""
-        heads = {len(last) - 1, *(start for start, _ in going)}
+        end = len(last) - 1
+        heads = {end, *(end - size for size in going)}
         while len(heads) > 1:
             head = max(heads)
             heads.remove(head)
@@ -199,6 +193,47 @@ def packed(ids: Iterable[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Suffixes(dict):
+    """An automaton over the beginnings of tokens: its state is the longest one
+    that the bytes so far end with. State << 8 | byte -> next state; states are
+    made from the trie when first met, one for each beginning at most."""
+
+    def __init__(self, trie: dict):
+        super().__init__()
+        # of each state: its bytes, the state of its longest proper end, the bytes that may follow, and (size, token)
+        # of the tokens that it ends with, the longest first
+        self.size, self.shorter, self.follow, self.ends = [0], [0], [trie], [()]
+        self.others = 0
+
+    def __missing__(self, at: int) -> int:
+        state, byte = at >> 8, at & 0xFF
+        found = self.follow[state].get(byte)
+        # every byte is a token, so the empty beginning has a step for each
+        shorter = self[self.shorter[state] << 8 | byte] if state else 0
+        if found is None:
+            if self.others < STEPS:
+                self.others += 1
+                self[at] = shorter
+            return shorter
+        token, follow = found
+        size, to = self.size[state] + 1, len(self.size)
+        self[at] = to
+        self.size.append(size)
+        self.shorter.append(shorter)
+        self.follow.append(follow)
+        self.ends.append(self.ends[shorter] if token is None else ((size, token), *self.ends[shorter]))
+        return to
+
+    def going(self, state: int) -> list[int]:
+        """How many bytes back the tokens begin that may still go on."""
+        out = []
+        while state:
+            if self.follow[state]:
+                out.append(self.size[state])
+            state = self.shorter[state]
+        return out
+
+
 class Spines(dict):
     """The tokens at one end of a token, made when the token is first met."""
 
@@ -216,62 +251,63 @@ class Spines(dict):
         return spine
 
 
-class Fits(dict):
-    """A bounded memo of ``border_holds``: left token << 32 | right token."""
+class Memo(dict):
+    """A bounded memo of ``make``. Half of its entries, once there, are set
+    aside for the next half; what is used again meanwhile stays."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, most: int):
         super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, pair: int) -> bool:
-        if len(self) >= PAIRS:
+        self.half, self.aside = most // 2, {}
+
+    def __missing__(self, key):
+        value = self.aside.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.aside = dict(self)
             self.clear()
-        holds = self[pair] = self.transducer.border_holds(pair >> 32, pair & 0xFFFFFFFF)
-        return holds
+        self[key] = value
+        return value
+
 
+class Fits(Memo):
+    """``border_holds``: left token << 32 | right token; at the start (-1) all fit."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__(PAIRS)
+        self.transducer = transducer
 
-class Encoder(dict):
-    """Ids (little-endian unsigned 32-bit) of texts; a memo of chunks.
+    def make(self, pair: int) -> bool:
+        return pair < 0 or self.transducer.border_holds(pair >> 32, pair & 0xFFFFFFFF)
 
-    A chunk is a space and what follows up to the next space that precedes a
-    visible character; the pretoken pattern always has a boundary there, and
-    looks no further. The memo maps the chunk, without its space, to ids.
-    """
+
+class Words(Memo):
+    """Ids (little-endian unsigned 32-bit) of pretokens; long ones are not remembered."""
 
     def __init__(self, transducer: Transducer):
-        super().__init__()
+        super().__init__(MEMO)
         self.transducer = transducer
-        self.pretokens = regex.compile(PRETOKEN)
-        self.awkward = re.compile(r" (?:\s|$)")
-        self.cut = re.compile(r"(?= \S)")
-        self.words: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.pieces(" " + chunk)
-        if len(self) >= CHUNKS:
-            self.clear()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+    def __missing__(self, word: str) -> bytes:
+        return super().__missing__(word) if len(word) < SHORT else packed(self.transducer.stream(utf8_pieces(word)))
 
-    def pieces(self, text: str) -> bytes:
-        out = []
-        for word in self.pretokens.findall(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = packed(self.transducer.stream(utf8_pieces(word)))
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                if len(word) < 64:
-                    self.words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+    def make(self, word: str) -> bytes:
+        return packed(self.transducer.stream((word.encode("utf-8", "surrogatepass"),)))
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32-bit) of texts, cut into pretokens."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+        self.pretokens = regex.compile(PRETOKEN)
+        self.words = Words(transducer)
 
     def plain(self, text: str) -> bytes:
-        if self.awkward.search(text):
-            return b"".join([self.pieces(x) if x[0] != " " else self[x[1:]] for x in self.cut.split(text) if x])
-        first, *rest = text.split(" ")
-        return self.pieces(first) + b"".join([self[x] for x in rest])
+        words = self.words
+        if len(text) <= CHUNKS:
+            return b"".join([words[x] for x in self.pretokens.findall(text)])
+        return b"".join(words[m[0]] for m in self.pretokens.finditer(text))
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -136,3 +136,34 @@ def test_a_worker_gets_so_many_rows_at_once(spark):
     got = written(spark.range(100).coalesce(1).mapInPandas(sizes, "n long"), "sizes", batch=7).collect()
     assert max(r.n for r in got) == 7 and sum(r.n for r in got) == 100
     assert spark.conf.get(key, None) == before
+
+
+def test_pretokens_in_use_are_encoded_once_though_the_memo_is_full(transducer, monkeypatch):
+    monkeypatch.setattr(B, "MEMO", 8)
+    monkeypatch.setattr(B, "CHUNKS", 8)
+    asked = []
+
+    class Counting:
+        special, added = transducer.special, transducer.added
+
+        def stream(self, pieces):
+            data = b"".join(pieces)
+            asked.append(data)
+            return transducer.stream([data])
+
+    encoder = B.Encoder(Counting())
+    text = "".join(f" common w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26))
+    assert encoder.encode(text) == B.packed(transducer.merge(b" common")).join(
+        [b"", *(B.packed(transducer.merge(w.encode())) for w in text.replace(" common", "|").split("|")[1:])]
+    )
+    assert asked.count(b" common") == 1 and len(asked) == 677
+
+
+def test_automaton_makes_the_states_it_meets(transducer):
+    fresh = B.Suffixes(transducer.trie)
+    state = 0
+    for byte in b" theatre":
+        state = fresh[state << 8 | byte]
+    assert len(fresh.size) < 60 and fresh.size[state] == max(fresh.going(state) + [n for n, _ in fresh.ends[state]])
+    for (size, token), (less, _) in zip(fresh.ends[state], [*fresh.ends[state][1:], (0, None)], strict=True):
+        assert size > less and transducer.bytes_of[token] == b" theatre"[-size:]
