@@ -92,6 +92,15 @@ def _count_grams(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+def _pack(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each length the entries, none of which holds a line break, as one
+    string, and their counts per language as 64-bit integers."""
+    for frame in frames:
+        for size, own in frame.groupby("size", sort=False):
+            counts = np.stack(own["n"].to_list()).astype(np.int64)
+            yield pd.DataFrame({"size": [size], "entries": ["\n".join(own["entry"])], "n": [counts.tobytes()]})
+
+
 @dataclass
 class Model:
     """Log frequencies per language: one row of ``table`` per common entry;
@@ -192,19 +201,21 @@ def learn(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
     is_common = F.lit(False)
     for length, n in least.items():
         is_common |= (size == length) & (F.col("n") >= n)
-    top = entries.where(is_common).select("size", "entry", F.explode("by").alias("by")).select("size", "entry", "by.lang", "by.n").toPandas()
+    counted = F.map_from_entries("by")
+    top = entries.where(is_common).select("size", "entry", F.array(*(F.coalesce(counted[x], F.lit(0)) for x in langs)).alias("n"))
+    packed = {}  # entries and counts of each length
+    for r in top.mapInPandas(_pack, "size int, entries string, n binary").collect():
+        packed.setdefault(r["size"], []).append((r.entries, r.n))
 
-    at = {lang: i for i, lang in enumerate(langs)}
     tables, word_row, gram_row, rest, used, totals = [], {}, {}, {}, 0, np.zeros(0)
     for length in sorted(distinct):
-        found = top[top["size"] == length]
+        found = packed.pop(length, [])
         total = np.array([sums.get((length, x), 0) for x in langs], float) + 0.5 * (distinct[length] + 1)
         totals = total if length == 0 else totals
-        values = sorted(found["entry"].unique())
-        place = {v: i for i, v in enumerate(values)}
-        table = np.full((len(values), len(langs)), 0.5)
-        np.add.at(table, (found["entry"].map(place).to_numpy(int), found["lang"].map(at).to_numpy(int)), found["n"].to_numpy(float))
-        (gram_row if length else word_row).update((v, used + i) for v, i in place.items())
+        values = [v for text, _ in found for v in text.split("\n")]
+        order = sorted(range(len(values)), key=values.__getitem__)
+        table = np.frombuffer(b"".join(n for _, n in found), np.int64).reshape(-1, len(langs))[order] + 0.5
+        (gram_row if length else word_row).update((values[at], used + i) for i, at in enumerate(order))
         tables.append(np.log(table / total))
         used += len(values)
         if common[length] < distinct[length]:
@@ -264,7 +275,7 @@ def _unseen_logs(unseen: DataFrame, model: Model, shared) -> DataFrame:
 
         parts = written(unseen.mapInPandas(cut, "word string, known long, logs array<double>, open array<string>"), "grams")
         if n in model.rest:
-            found = parts.select("word", F.explode("open").alias("entry")).join(model.rest[n], "entry").groupBy("word")
+            found = parts.select("word", F.explode("open").alias("entry")).join(model.rest[n].hint("merge"), "entry").groupBy("word")
             found = found.agg(F.count("*").alias("more"), _sums("logs", n_langs).alias("added"))
             parts = parts.join(found, "word", "left")
         else:
@@ -295,7 +306,7 @@ def _joined(docs: DataFrame, model: Model, shared) -> DataFrame:
     pairs = pairs.select("row", "learned", F.col("x.open").alias("word"), "x.times")
     distinct = pairs.select("word").distinct()
     if 0 in model.rest:
-        looked = written(distinct.join(model.rest[0].withColumnRenamed("entry", "word"), "word", "left"), "looked")
+        looked = written(distinct.join(model.rest[0].withColumnRenamed("entry", "word").hint("merge"), "word", "left"), "looked")
         unseen = _unseen_logs(looked.where("logs is null").select("word"), model, shared)
         logs = looked.where("logs is not null").withColumn("is_word", F.lit(True))
         logs = logs.unionByName(unseen.withColumn("is_word", F.lit(False)))

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 import regex
@@ -130,3 +131,19 @@ def test_grams_are_counted_per_language_and_handed_on(monkeypatch):
         for r in (r for p in parts for r in p.itertuples(index=False)):
             got[(r.size, r.gram, r.lang)] += r.n
         assert got == want and max(map(len, parts)) <= held + 3 * 60 and (held > 100 or len(parts) > 5)
+
+
+def test_entries_reach_the_driver_packed(spark, monkeypatch):
+    """One row a batch and length, not one an entry and language, and no table of objects."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    want = L.learn(docs)
+
+    def rows_of_objects(*_):
+        raise AssertionError("rows come to the driver one by one")
+
+    monkeypatch.setattr(type(docs), "toPandas", rows_of_objects)
+    got = L.learn(docs)
+    assert got.word_row == want.word_row and got.gram_row == want.gram_row and (got.table == want.table).all()
+    frame = pd.DataFrame({"size": [0, 1, 0], "entry": ["ab", "a", "c"], "n": [[1, 2], [3, 4], [5, 0]]})
+    packed = {r["size"]: (r["entries"], np.frombuffer(r["n"], np.int64).tolist()) for part in L._pack([frame]) for r in part.to_dict("records")}
+    assert packed == {0: ("ab\nc", [1, 2, 5, 0]), 1: ("a", [3, 4])}
