@@ -8,9 +8,11 @@ for each position, the last token of the prefix that ends there. A boundary
 is stable once the results of all prefixes that may go on agree on it: whatever
 follows, the final result passes through the head, or through a place from
 which the bytes up to the head are the beginning of a longer token. Stable
-tokens are emitted and forgotten, every pretoken's alike; the merge list bounds
+tokens are emitted and forgotten; the merge list bounds
 how far back the prefixes may disagree (``lookahead``), so memory is constant
-however long the text is.
+however long the text is. New short pretokens (``SHORT``) of a run of texts take
+the same steps in order, so that each goes on from the beginning it shares with
+the one before; their tokens come out when they end.
 
 Decoding. Token bytes are fed to a byte-to-text state machine one token at a
 time; bytes of an unfinished character wait for the next token, malformed
@@ -44,11 +46,15 @@ from pkgpulse.llm.shared import blocks
 
 # The byte-level pretoken pattern, and the printable bytes that stand for themselves.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same for ASCII texts, in the classes of the faster ``re``.
+ASCII_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: entries of the memos of encoded pretokens and of neighbours that fit, whose half not used for longest goes when full;
+#: entries of the memo of encoded pretokens, whose half not used for longest goes when full, and of neighbours that fit;
 #: characters of a text whose pretokens are cut at once; steps of the automaton held besides those along a token
-MEMO, PAIRS, CHUNKS, STEPS = 280_000, 150_000, 65_536, 100_000
+MEMO, PAIRS, CHUNKS, STEPS = 260_000, 220_000, 16_384, 100_000
+#: characters of the texts whose new pretokens are met together
+RUN = 1 << 21
 #: characters of the pretokens that are remembered, below
 SHORT = 64
 #: bytes between two looks for a stable boundary
@@ -78,6 +84,9 @@ class Transducer:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = model["vocab"][left], model["vocab"][right]
             self.merges.setdefault((a, b), (rank, model["vocab"][left + right]))
+        self.ranks: dict[int, dict[int, int]] = {}  # left token -> right token -> rank of their merge
+        for (a, b), (rank, _) in self.merges.items():
+            self.ranks.setdefault(a, {})[b] = rank
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
         self.fits = Fits(self)
         # a token can stand in a result only if BPE makes it of its own bytes
@@ -93,7 +102,7 @@ class Transducer:
                     nodes[byte] = (ends, follow)
                 nodes = follow
             nodes[b[-1]] = (i, _LEAF)
-        self.suffixes = Suffixes(self.trie)
+        self.suffixes = Suffixes(self.trie, self.fits)
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self._spines()
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -127,11 +136,12 @@ class Transducer:
         equal merges the left one comes first."""
         if not self.simple:
             return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        left = self.left[b]
         for x, x_dies in self.right[a]:
-            for y, y_dies in self.left[b]:
-                merge = self.merges.get((x, y))
-                if merge is not None and merge[0] < x_dies and merge[0] <= y_dies:
-                    return False
+            if ranks := self.ranks.get(x):
+                for y, y_dies in left:
+                    if y in ranks and ranks[y] < x_dies and ranks[y] <= y_dies:
+                        return False
         return True
 
     @property
@@ -145,24 +155,45 @@ class Transducer:
         """Token ids of one pretoken whose bytes come in pieces, each id as
         soon as it is stable. Kept are the last token of each prefix since the
         last stable boundary, and the longest beginning of a token at the head."""
-        fits, suffixes, ends = self.fits, self.suffixes, self.suffixes.ends
-        last = [-1]  # last[i]: last token of the result of the first i bytes
-        state, check = 0, STEP
+        states, last = [0], [-1]  # last[i]: last token of the result of the first i bytes
+        check = STEP
         for piece in pieces:
-            for byte in piece:
-                state = suffixes[state << 8 | byte]
-                head = len(last)
-                for size, token in ends[state]:  # the longest first
-                    if fits[last[head - size] << 32 | token]:
-                        break
-                last.append(token)  # the byte itself, where no longer token fits
-                if head >= check:
-                    if cut := self._stable(last, suffixes.going(state)):
+            for at in range(0, len(piece), STEP):
+                self._advance(piece[at : at + STEP], states, last)
+                del states[:-1]
+                if len(last) > check:
+                    if cut := self._stable(last, self.suffixes.going(states[0])):
                         yield from self._path(last, cut)
                         last = last[cut:]
                     check = len(last) + STEP - 1
         yield from self._path(last, len(last) - 1)
 
+    def streams(self, words: Iterable[bytes]) -> Iterator[list[int]]:
+        """Token ids of many short pretokens, best given in order: the stream of
+        each goes on from what it has in common with the one before it."""
+        states, last, before = [0], [-1], b""
+        for data in words:
+            same = 0
+            for x, y in zip(before, data, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del states[same + 1 :], last[same + 1 :]
+            self._advance(data[same:], states, last)
+            yield self._path(last, len(data))
+            before = data
+
+    def _advance(self, piece: bytes, states: list[int], last: list[int]) -> None:
+        """One step of the automaton a byte, and the last token of each prefix."""
+        suffixes, checks, state = self.suffixes, self.suffixes.checks, states[-1]
+        for byte in piece:
+            state = suffixes[state << 8 | byte]
+            for back, token, fits in checks[state]:  # the longest first
+                if fits[last[back]]:
+                    break
+            last.append(token)  # the byte itself, where no longer token fits
+            states.append(state)
+
     def _stable(self, last: list[int], going: list[int]) -> int:
         """The last boundary on which all results that may go on agree. The
         token over the head begins at the head or where a longer token may
@@ -198,11 +229,13 @@ class Suffixes(dict):
     that the bytes so far end with. State << 8 | byte -> next state; states are
     made from the trie when first met, one for each beginning at most."""
 
-    def __init__(self, trie: dict):
+    def __init__(self, trie: dict, fits: dict | None = None):
         super().__init__()
         # of each state: its bytes, the state of its longest proper end, the bytes that may follow, and (size, token)
         # of the tokens that it ends with, the longest first
         self.size, self.shorter, self.follow, self.ends = [0], [0], [trie], [()]
+        # the same tokens, each with where what it must fit stands, from the head, and with its row of ``fits``
+        self.checks, self.fits = [()], fits
         self.others = 0
 
     def __missing__(self, at: int) -> int:
@@ -222,6 +255,9 @@ class Suffixes(dict):
         self.shorter.append(shorter)
         self.follow.append(follow)
         self.ends.append(self.ends[shorter] if token is None else ((size, token), *self.ends[shorter]))
+        if self.fits is not None:
+            checks = self.checks[shorter]
+            self.checks.append(checks if token is None else ((-size, token, self.fits[token]), *checks))
         return to
 
     def going(self, state: int) -> list[int]:
@@ -263,22 +299,51 @@ class Memo(dict):
         value = self.aside.get(key)
         if value is None:
             value = self.make(key)
+        self.enter(key, value)
+        return value
+
+    def enter(self, key, value) -> None:
         if len(self) >= self.half:
             self.aside = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
-class Fits(Memo):
-    """``border_holds``: left token << 32 | right token; at the start (-1) all fit."""
+class Fits(dict):
+    """``border_holds``: right token -> left token -> whether they fit. All rows
+    share one bound; when it is reached, they are emptied one after another."""
 
     def __init__(self, transducer: Transducer):
-        super().__init__(PAIRS)
-        self.transducer = transducer
+        super().__init__()
+        self.transducer, self.held, self.turn = transducer, 0, iter(())
+
+    def __missing__(self, token: int) -> Row:
+        row = self[token] = Row(self, token)
+        return row
+
+    def make_room(self) -> None:
+        """For one entry more."""
+        while self.held >= PAIRS:
+            row = next(self.turn, None)
+            if row is None:
+                self.turn = iter(list(self.values()))
+            else:
+                self.held -= len(row)
+                row.clear()
+        self.held += 1
+
 
-    def make(self, pair: int) -> bool:
-        return pair < 0 or self.transducer.border_holds(pair >> 32, pair & 0xFFFFFFFF)
+class Row(dict):
+    """Of one right token: left token -> whether they fit; at the start (-1) it does."""
+
+    def __init__(self, fits: Fits, token: int):
+        super().__init__()
+        self.fits, self.token = fits, token
+
+    def __missing__(self, left: int) -> bool:
+        self.fits.make_room()
+        value = self[left] = left < 0 or self.fits.transducer.border_holds(left, self.token)
+        return value
 
 
 class Words(Memo):
@@ -294,20 +359,38 @@ class Words(Memo):
     def make(self, word: str) -> bytes:
         return packed(self.transducer.stream((word.encode("utf-8", "surrogatepass"),)))
 
+    def meet(self, words: Iterable[str]) -> None:
+        """Makes what is missing of the words, in their order."""
+        new = []
+        for word in words:
+            if word not in self and len(word) < SHORT:
+                value = self.aside.get(word)
+                if value is None:
+                    new.append(word)
+                else:
+                    self.enter(word, value)
+        new.sort()
+        streams = self.transducer.streams(word.encode("utf-8", "surrogatepass") for word in new)
+        for word, ids in zip(new, streams, strict=True):
+            self.enter(word, packed(ids))
+
 
 class Encoder:
     """Ids (little-endian unsigned 32-bit) of texts, cut into pretokens."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
-        self.pretokens = regex.compile(PRETOKEN)
+        self.pretokens, self.ascii_pretokens = regex.compile(PRETOKEN), re.compile(ASCII_PRETOKEN)
         self.words = Words(transducer)
 
     def plain(self, text: str) -> bytes:
         words = self.words
         if len(text) <= CHUNKS:
-            return b"".join([words[x] for x in self.pretokens.findall(text)])
-        return b"".join(words[m[0]] for m in self.pretokens.finditer(text))
+            return b"".join([words[x] for x in self.pattern(text).findall(text)])
+        return b"".join(words[m[0]] for m in self.pattern(text).finditer(text))
+
+    def pattern(self, text: str):
+        return self.ascii_pretokens if text.isascii() else self.pretokens
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -323,6 +406,25 @@ class Encoder:
             at = m.end()
         return b"".join([*out, self.plain(text[at:]) if at < len(text) else b""])
 
+    def encode_all(self, texts: list) -> list[bytes]:
+        """``encode`` of each text, some at a time."""
+        out, at, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= RUN or end == len(texts):
+                out += self._together(texts[at:end])
+                at, size = end, 0
+        return out
+
+    def _together(self, texts: list) -> list[bytes]:
+        """What the texts bring of new pretokens is met at once; long texts and
+        those with added tokens go by themselves."""
+        special, words = self.transducer.special, self.words
+        plain = (text and len(text) <= CHUNKS and (special is None or not special.search(text)) for text in texts)
+        cut = [self.pattern(text).findall(text) if x else None for text, x in zip(texts, plain, strict=True)]
+        words.meet(set().union(*(x for x in cut if x)))
+        return [self.encode(text) if x is None else b"".join([words[w] for w in x]) for text, x in zip(texts, cut, strict=True)]
+
 
 def decode_ids(transducer: Transducer, ids: bytes, step: int = 4096) -> str:
     """The text of ids: token bytes go through the incremental byte-to-text
@@ -356,7 +458,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def _encode(encoder: Encoder, texts: list) -> dict:
-    return {"ids": [encoder.encode(t) for t in texts]}
+    return {"ids": encoder.encode_all(texts)}
 
 
 def _decode(encoder: Encoder, ids: list) -> dict:
@@ -364,7 +466,7 @@ def _decode(encoder: Encoder, ids: list) -> dict:
 
 
 def _both(encoder: Encoder, texts: list) -> dict:
-    ids = [encoder.encode(t) for t in texts]
+    ids = encoder.encode_all(texts)
     return {"ids": ids, "decoded": [decode_ids(encoder.transducer, x) for x in ids]}
 
 

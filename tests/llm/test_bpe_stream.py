@@ -167,3 +167,40 @@ def test_automaton_makes_the_states_it_meets(transducer):
     assert len(fresh.size) < 60 and fresh.size[state] == max(fresh.going(state) + [n for n, _ in fresh.ends[state]])
     for (size, token), (less, _) in zip(fresh.ends[state], [*fresh.ends[state][1:], (0, None)], strict=True):
         assert size > less and transducer.bytes_of[token] == b" theatre"[-size:]
+
+
+def test_ascii_texts_are_cut_by_the_same_pattern(transducer):
+    encoder = B.Encoder(transducer)
+    rng = random.Random(9)
+    signs = [chr(i) for i in range(128)]
+    texts = ["".join(a + b for a in signs for b in signs), "it's 'tis we'll ''s 'd\n\n 'x  '"]
+    texts += ["".join(rng.choice(signs[:70] if i % 2 else signs) for _ in range(60)) for i in range(2000)]
+    for text in texts:
+        assert encoder.pattern(text) is encoder.ascii_pretokens
+        assert encoder.pattern(text).findall(text) == encoder.pretokens.findall(text), repr(text)
+    assert encoder.pattern("é") is encoder.pretokens
+
+
+def test_texts_encoded_together_are_the_same_as_one_by_one(library, transducer, monkeypatch):
+    texts = [None, *cases(), None, "lone \ud800 surrogate"]
+    want = [B.Encoder(transducer).encode(t) for t in texts]
+    assert want[1:-2] == [B.packed(library.encode(t, add_special_tokens=False).ids) for t in texts[1:-2]]
+    for run, memo, pairs in [(B.RUN, B.MEMO, B.PAIRS), (300, 8, 5), (1, 40, 50)]:
+        monkeypatch.setattr(B, "RUN", run)
+        monkeypatch.setattr(B, "MEMO", memo)
+        monkeypatch.setattr(B, "PAIRS", pairs)
+        fresh = B.Transducer(PATH)
+        assert B.Encoder(fresh).encode_all(texts) == want
+        assert sum(map(len, fresh.fits.values())) == fresh.fits.held <= pairs
+    assert B.Encoder(transducer).encode_all([]) == []
+
+
+def test_new_pretokens_go_on_from_what_they_share(transducer, monkeypatch):
+    """Each byte of a beginning that the one before has too is read once."""
+    words = sorted(f" inter{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")
+    read = []
+    advance = B.Transducer._advance
+    monkeypatch.setattr(B.Transducer, "_advance", lambda self, piece, *rest: (read.append(len(piece)), advance(self, piece, *rest))[1])
+    B.Encoder(transducer).encode_all(["".join(words[::-1])] * 3)
+    assert sum(read) == 6 + 10 + 100
+    assert list(transducer.streams(w.encode() for w in words)) == [transducer.merge(w.encode()) for w in words]
